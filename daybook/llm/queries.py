@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality_rules, simhash
+from . import decontamination, line_dedup, packing, quality_rules, simhash, warc
 from .common import table
 
 OPERATORS = {
+    "op2_revisit_resolution": ("pages", warc.op2),
     "op3_sum_of_squares_packing": ("documents", packing.op3),
     "op5_rule_ledger": ("documents", quality_rules.op5),
     "op7_simhash_blocks": ("documents", simhash.op7),
     "op10_site_line_dedup": ("documents", line_dedup.op10),
 }
 
-SQL = {"op10_site_line_dedup": line_dedup.SQL}
+SQL = {"op2_revisit_resolution": warc.SQL, "op10_site_line_dedup": line_dedup.SQL}
 
 
 def queries() -> dict:
-    return {
+    found = {
         name: (lambda spark, sf_dir, t=t, f=f: f(table(spark, sf_dir, t))) for name, (t, f) in OPERATORS.items()
     }
+    found["op9_qgram_decontamination"] = lambda spark, sf_dir: decontamination.op9(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
