@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality_rules, simhash, warc
+from . import decontamination, line_dedup, packing, quality_rules, recompression, simhash, warc
 from .common import table
 
 OPERATORS = {
     "op2_revisit_resolution": ("pages", warc.op2),
     "op3_sum_of_squares_packing": ("documents", packing.op3),
     "op5_rule_ledger": ("documents", quality_rules.op5),
+    "op6_recompression": ("documents", recompression.op6),
     "op7_simhash_blocks": ("documents", simhash.op7),
     "op10_site_line_dedup": ("documents", line_dedup.op10),
 }
 
-SQL = {"op2_revisit_resolution": warc.SQL, "op10_site_line_dedup": line_dedup.SQL}
+SQL = {"op6_recompression": recompression.SQL, "op2_revisit_resolution": warc.SQL, "op10_site_line_dedup": line_dedup.SQL}
 
 
 def queries() -> dict:
