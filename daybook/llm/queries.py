@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality_rules, recompression, simhash, warc
+from . import decontamination, line_dedup, packing, quality_rules, recompression, simhash, suffix_dedup, warc
 from .common import table
 
 OPERATORS = {
@@ -11,6 +11,7 @@ OPERATORS = {
     "op5_rule_ledger": ("documents", quality_rules.op5),
     "op6_recompression": ("documents", recompression.op6),
     "op7_simhash_blocks": ("documents", simhash.op7),
+    "op8_induced_suffix_sorting": ("documents", suffix_dedup.op8),
     "op10_site_line_dedup": ("documents", line_dedup.op10),
 }
 
