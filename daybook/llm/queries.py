@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality_rules, recompression, simhash, suffix_dedup, warc
+from . import decontamination, html_extraction, line_dedup, packing, quality_classifier, quality_rules, recompression, simhash, suffix_dedup, warc
 from .common import table
 
 OPERATORS = {
     "op2_revisit_resolution": ("pages", warc.op2),
     "op3_sum_of_squares_packing": ("documents", packing.op3),
+    "op4_recurrent_blocks": ("pages", html_extraction.op4),
     "op5_rule_ledger": ("documents", quality_rules.op5),
     "op6_recompression": ("documents", recompression.op6),
     "op7_simhash_blocks": ("documents", simhash.op7),
@@ -25,6 +26,7 @@ def queries() -> dict:
     found["op9_qgram_decontamination"] = lambda spark, sf_dir: decontamination.op9(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+    found["op1_quadratic_discriminant"] = quality_classifier.query
     return found
 
 
