@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there, so a lost
-    executor costs nothing that came before, and later plans scan only the columns they need."""
+    executor costs nothing that came before, and later plans scan only the columns they need.  The shuffle files
+    behind df are of no more use, so the cleaner is asked to drop them."""
     path = f"{shared_dir(df.sparkSession)}/daybook-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

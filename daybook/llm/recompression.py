@@ -22,6 +22,7 @@ SPAN = 9
 CHUNK = 1 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_INVERSE = np.uint64(pow(int(_A), -1, 1 << 64))
 EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -32,6 +33,12 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def levels(names: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
     """(name, lo, hi, words) of every round's symbols over a row of word names, 0 being an end of a text.
 
@@ -63,8 +70,11 @@ def levels(names: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray
 
 def anchors(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(key, place) for each window start: the window's strongest interior symbol, from the highest round that
-    has one (longest first, then by name), and the word where it was decided; key 0 where there is none."""
+    has one (longest first, then by name), named together with all the words that decided it, and the first of these
+    words; key 0 where there is none."""
     n = len(names) - window + 1
+    powers, back = _powers(_A, len(names)), _powers(_INVERSE, len(names))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * powers, dtype=np.uint64)))
     key, place = np.zeros(max(n, 0), np.uint64), np.full(max(n, 0), -1)
     if n <= 0:
         return key, place
@@ -88,7 +98,8 @@ def anchors(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
             x, y = best[:-width], best[width:]
             best = np.concatenate((np.where(weight[x] >= weight[y], x, y), best[len(best) - width :]))
             width *= 2
-        key[ask] = weight[won]
+        decided = (sums[hi[won] + 1] - sums[lo[won]]) * back[lo[won]]
+        key[ask] = mix(decided, weight[won]) | np.uint64(1)
         place[ask] = lo[won]
         todo = todo[~some]
     return key, place
@@ -141,42 +152,36 @@ def text_id(words: list[bytes]) -> bytes:
 
 
 def scan_anchors(docs: DataFrame) -> DataFrame:
-    """(route, doc, tid, mark): the anchors of every text of at least WINDOW words.
+    """(route, doc, key, mark): the anchors of every text of at least WINDOW words.
 
-    mark 0: one text's anchor, to meet others at route = its key.  mark 1: the key is known to repeat (twice in
-    one text, or in two texts of one chunk), to be told to others.  mark 2: a text's key known to repeat,
-    which goes to a route of its own: however common a key is, only one row a chunk travels to it.
+    mark 0: one text's anchor, to meet others at route = its key (key is 0).  mark 1: the anchor at route is known to repeat
+    (twice in one text, or in two texts of one chunk), to be told to others.  mark 2: a text's key known to repeat,
+    which goes to a route of its own: however common a key is, only one row a chunk travels to it.  Of
+    copies in one chunk only the smallest doc_id counts; copies in two chunks do meet, which only adds windows to verify.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(batches, "text", 6 * CHUNK):
-            part = part[part["doc_id"].notna()]
-            words = [words_of(t) for t in part["text"]]
-            at = [i for i, w in enumerate(words) if len(w) >= WINDOW]
-            if not at:
+            part = part[part["doc_id"].notna()].sort_values("doc_id")
+            words = {text_id(w): (d, w) for d, w in zip(part["doc_id"][::-1], map(words_of, part["text"][::-1])) if len(w) >= WINDOW}
+            if not words:
                 continue
-            words, ids = [words[i] for i in at], part["doc_id"].to_numpy()[at].astype(np.int64)
-            tids = np.array([int.from_bytes(text_id(w)[:8], "little", signed=True) for w in words], np.int64)
-            chunk = Chunk(words)
+            ids = np.array([d for d, _ in words.values()], np.int64)
+            chunk = Chunk([w for _, w in words.values()])
             key, place = anchors(chunk.names)
             key, place, text = key[chunk.starts], place[chunk.starts], chunk.text[chunk.starts]
             own = pd.DataFrame({"key": key, "place": place, "text": text}).drop_duplicates()
-            many = own.duplicated(["text", "key"], keep=False).to_numpy() | (own["key"] == 0).to_numpy()
-            own = own.assign(tid=tids[own["text"]], many=many).groupby(["text", "key"], sort=False).agg(
-                tid=("tid", "first"), many=("many", "any")
-            ).reset_index()
-            by = own.groupby("key").agg(low=("tid", "min"), high=("tid", "max"), many=("many", "any"))
-            known = by.index[(by["low"] != by["high"]) | by["many"]]
-            told = own["key"].isin(known).to_numpy()
-            doc = ids[own["text"]]
-            keys = own["key"].to_numpy().view(np.int64)
-            out = pd.DataFrame({"route": keys, "key": keys, "doc": doc, "tid": own["tid"], "mark": np.where(told, 2, 0)})
-            out.loc[told, "route"] = mix(doc[told].view(np.uint64), np.uint64(5)).view(np.int64)
-            marks = known[known != 0].to_numpy().view(np.int64)
-            yield out
-            yield pd.DataFrame({"route": marks, "key": marks, "doc": 0, "tid": 0, "mark": 1})
-
-    return docs.select("doc_id", "text").mapInPandas(scan, "route long, key long, doc long, tid long, mark int")
+            told = (own.duplicated("key", keep=False) | (own["key"] == 0)).to_numpy()
+            own = own.assign(told=told).drop_duplicates(["text", "key"])
+            told, doc, keys = own["told"].to_numpy(), ids[own["text"]], own["key"].to_numpy().view(np.int64)
+            home = mix(doc.view(np.uint64), np.uint64(5)).view(np.int64)
+            yield pd.DataFrame(
+                {"route": np.where(told, home, keys), "doc": doc, "key": np.where(told, keys, 0), "mark": np.where(told, 2, 0)}
+            )
+            marks = np.unique(keys[told & (keys != 0)])
+            yield pd.DataFrame({"route": marks, "doc": 0, "key": 0, "mark": 1})
+
+    return docs.select("doc_id", "text").mapInPandas(scan, "route long, doc long, key long, mark int")
 
 
 def carried(batches: Iterator[pd.DataFrame], col: str) -> Iterator[pd.DataFrame]:
@@ -202,15 +207,13 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in carried(batches, "route"):
-            key, tid, mark = part["key"].to_numpy(), part["tid"].to_numpy(), part["mark"].to_numpy()
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | ((mark[1:] == 2) != (mark[:-1] == 2))))
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            repeats = (tid != tid[first][group]) | (mark == 1)
-            good = (np.bincount(group, repeats, minlength=len(first)) > 0)[group] & (mark == 0) | (mark == 2)
-            yield pd.DataFrame({"doc_id": part["doc"].to_numpy()[good], "key": key[good]})
-
-    met = rows.repartition("route").sortWithinPartitions("route", "key", "mark").mapInPandas(meet, "doc_id long, key long")
+            route, key, mark = part["route"].to_numpy(), part["key"].to_numpy(), part["mark"].to_numpy()
+            group = np.cumsum(np.concatenate(([True], route[1:] != route[:-1]))) - 1
+            several = np.bincount(group, (mark < 2) + (mark == 1)) > 1
+            good = several[group] & (mark == 0) | (mark == 2)
+            yield pd.DataFrame({"doc_id": part["doc"].to_numpy()[good], "key": np.where(mark == 2, key, route)[good]})
+
+    met = rows.repartition("route").sortWithinPartitions("route").mapInPandas(meet, "doc_id long, key long")
     return met.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
@@ -288,7 +291,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for part in chunks(batches, "text", 6 * CHUNK):
             words = [words_of(t) for t in part["text"]]
             yield pd.DataFrame(
-                {"doc_id": part["doc_id"], "sha": [text_id(w) for w in words], "z": [pack(b" ".join(w)) for w in words]}
+                {"doc_id": part["doc_id"], "own": [text_id(w) for w in words], "z": [pack(b" ".join(w)) for w in words]}
             )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,8 +313,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     one = base.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("sha", "n")).alias("t")).select("doc_id", "t.*")
     first = one.where(F.col("n") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
     keys = shared_anchors(scan_anchors(docs)).join(first, "doc_id")
-    pressed = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(press, "doc_id long, sha binary, z binary")
-    texts = settle(pressed.join(keys, ["doc_id", "sha"]).dropDuplicates(["doc_id"]).drop("sha"))
+    pressed = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(press, "doc_id long, own binary, z binary")
+    pressed = pressed.groupBy("doc_id").agg(F.min_by("z", "own").alias("z"))
+    texts = settle(pressed.join(keys.drop("sha"), "doc_id"))
     ranges = repeated_windows(texts)
     lost = texts.select("doc_id", "z").join(ranges, "doc_id").mapInPandas(
         cut, "doc_id long, n_cut long, cut_sha binary, cut_z binary"
