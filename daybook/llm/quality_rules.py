@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_col
+from .common import settle, words_col
 
 #: Policy version -> the rules that reject.  v1: the base rules alone; v2: all.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -141,7 +141,10 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps; the ledger is computed in the row, so no join is needed."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("__row"), F.col("text").alias("__text"))
-    return apply_policy(ledger(rows, ["__row"], "__text")).where("kept").select("__row.*")
+    """Documents that the current policy keeps.
+
+    The ledger is written beside the rows before the policy reads it: a filter right on it would be pushed below
+    the measurements and compute them again for every use."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
+    entries = settle(ledger(rows, ["__row"], "__text").select("__row", "fail_bits"))
+    return apply_policy(entries).where("kept").select("__row.*")
