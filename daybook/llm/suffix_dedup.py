@@ -71,7 +71,8 @@ def anchors(x: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int =
     for level, (name, lo, hi) in reversed(list(enumerate(levels(x)))):
         if not len(todo_a):
             break
-        cuts = np.unique(np.concatenate((lo + 1, hi - length + 1, todo_a, todo_b)))
+        cuts = np.sort(np.concatenate((lo + 1, hi - length + 1, todo_a, todo_b)))
+        cuts = cuts[np.concatenate(([True], cuts[1:] != cuts[:-1]))]
         inside = np.searchsorted(todo_a, cuts[:-1], "right") - 1
         good = (inside >= 0) & (cuts[:-1] < todo_b[np.maximum(inside, 0)])
         start, end = cuts[:-1][good], cuts[1:][good]
@@ -229,8 +230,7 @@ def shard_repeats(regions: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, count): window starts of regions(key, doc, start, count, z) whose window occurs at another
     place too, from one suffix array for each shard of whole anchors."""
 
-    def one(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        own = pd.concat(parts, ignore_index=True)
+    def one(own: pd.DataFrame) -> pd.DataFrame:
         raw, x, begins, sizes = lay(list(own["z"]))
         # the raw row's ends must not join suffixes: a window start has length bytes before the next end
         sa = suffix_array(x, length)
@@ -251,16 +251,15 @@ def shard_repeats(regions: DataFrame, length: int = LENGTH) -> DataFrame:
         return ranges(doc[found], pos[found])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
         for part in carried(batches, "key"):
-            for _, own in part.groupby("key", sort=False):
-                if size and size + own["z"].map(len).sum() > SHARD:
-                    yield one(held)
-                    held, size = [], 0
-                held.append(own)
-                size += int(own["z"].map(len).sum())
-        if held:
-            yield one(held)
+            key, size = part["key"].to_numpy(), np.cumsum(part["z"].map(len).to_numpy())
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            at, start = 0, 0
+            while start < len(key):  # as many whole anchors as fit, at least one
+                full = (size[start - 1] if start else 0) + SHARD
+                at = max(at + 1, int(np.searchsorted(size[ends - 1], full, "right")))
+                yield one(part.iloc[start : ends[at - 1]])
+                start = int(ends[at - 1])
 
     return regions.repartition("key").sortWithinPartitions("key").mapInPandas(scan, "doc_id long, start int, count int")
 
@@ -331,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for part in chunks(batches, "text", CHUNK):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part["text"]]
             yield pd.DataFrame(
-                {"doc": part["doc_id"], "sha": [hashlib.sha256(t).digest() for t in texts], "z": [pack(t) for t in texts]}
+                {"doc": part["doc_id"], "own": [hashlib.sha256(t).digest() for t in texts], "z": [pack(t) for t in texts]}
             )
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,8 +373,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = met.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "count")).alias("runs"))
     single = heads.where("copies = 1").select("doc_id", F.lit(True).alias("single"))
     runs = runs.join(one.join(single, "doc_id", "left").select(F.col("doc_id").alias("doc"), "sha", "single"), "doc")
-    pressed = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(press, "doc long, sha binary, z binary")
-    texts = settle(pressed.join(runs, ["doc", "sha"]).dropDuplicates(["doc"]).drop("sha"))
+    pressed = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(press, "doc long, own binary, z binary")
+    pressed = pressed.groupBy("doc").agg(F.min_by("z", "own").alias("z"))
+    texts = settle(pressed.join(runs.drop("sha"), "doc"))
     regions = texts.select("doc", "z", "runs").mapInPandas(slices, "key long, doc long, start int, count int, z binary")
     known = texts.select("doc", F.inline("runs")).where(F.col("kind") == KNOWN)
     found = (
