@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+#: Rows of a batch between JVM and Python; texts can be long, so few.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +41,7 @@ def settle(df: DataFrame) -> DataFrame:
     executor costs nothing that came before, and later plans scan only the columns they need.  The shuffle files
     behind df are of no more use, so the cleaner is asked to drop them."""
     path = f"{shared_dir(df.sparkSession)}/daybook-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     spark, schema = df.sparkSession, df.schema
     del df

@@ -157,9 +157,11 @@ def op7(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id.
 
-    A document without an id cannot be compared by it and stays; of rows repeating a kept id one stays."""
-    groups = near_duplicates(docs)
+    A document without an id cannot be compared by it and stays; of rows repeating a kept id one stays (only then
+    are texts shuffled for it)."""
+    groups = settle(near_duplicates(docs).select("id", "component"))
     keep = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").unionByName(
-        docs.where("doc_id is null")
-    ).select(*docs.columns)
+    named = docs.where("doc_id is not null").join(fit(keep, 16), "doc_id", "left_semi")
+    if not groups.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
