@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,12 @@ class Corpus:
 
 
 def build(strips: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> Corpus:
+    """The vocabulary and the statistics are kept on disk, as every stage of a search asks for them again."""
     rows = C.fields(strips)
     posts = C.postings(rows, lexicon)
-    return Corpus(strips, rows, posts, C.vocabulary(posts, rows), C.corpus_stats(rows, lexicon), C.field_lengths(rows, lexicon))
+    vocab = C.vocabulary(posts, rows).persist(StorageLevel.DISK_ONLY)
+    stats = C.corpus_stats(rows, lexicon).persist(StorageLevel.DISK_ONLY)
+    return Corpus(strips, rows, posts, vocab, stats, C.field_lengths(rows, lexicon))
 
 
 def query_terms(queries: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> DataFrame:
@@ -83,9 +87,11 @@ def _distance(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("int")
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_distance(x, y) for x, y in zip(a, b, strict=True)])
+def edit_distance(a: str, b: str) -> Column:
+    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_distance(p, q) for p, q in zip(x, y, strict=True)])
+
+    return F.pandas_udf(each, "int")(a, b)
 
 
 def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:

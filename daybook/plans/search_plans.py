@@ -175,8 +175,8 @@ def q30(spark, d):
 
 def flagship(spark, d):
     """Coverage-ranked documents for every query, the first ten of each."""
-    s = S.gate(summary(spark, d)).where("corpus = 'transcript'").groupBy("query_id", "doc").agg(F.max("coverage").alias("score"))
-    return flat(R.top_k(s.join(strips(spark, d).select("doc", "date", "id"), "doc"), 10).select("query_id", "doc", "date", "score", "position", "total"))
+    s = S.gate(summary(spark, d)).where("corpus = 'transcript'").groupBy("query_id", "doc").agg(F.max(F.round("coverage", 9)).alias("score"))
+    return flat(R.top_k(s.join(strips(spark, d).select("doc", "date", F.col("doc").cast("string").alias("id")), "doc"), 10).select("query_id", "doc", "date", "score", "position", "total"))
 
 
 def scores(spark, d):
@@ -244,8 +244,8 @@ FIFTHS = TIER.format(r="CAST(score AS DOUBLE) / CAST(top AS DOUBLE)", a=0.8, b=0
 STRETCH = TIER.format(r="CASE WHEN top = low THEN 1 ELSE CAST(score - low AS DOUBLE) / CAST(top - low AS DOUBLE) END", a=0.8, b=0.6, c=0.4, e=0.2)
 
 PLANS = {
-    "q00_coverage_ranked": (flagship, TERMS + f""", b AS (SELECT query_id, doc, max(coverage) AS score FROM gate WHERE corpus = 'transcript' GROUP BY ALL),
-o AS (SELECT b.*, date, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM b JOIN strips USING (doc))
+    "q00_coverage_ranked": (flagship, TERMS + f""", b AS (SELECT query_id, doc, round(max(coverage), 9) AS score FROM gate WHERE corpus = 'transcript' GROUP BY ALL),
+o AS (SELECT b.*, date, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date, CAST(doc AS VARCHAR)) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM b JOIN strips USING (doc))
 SELECT query_id, doc, CAST(date AS VARCHAR) AS date, round(score, 6) AS score, position, total FROM o WHERE position <= 10"""),
     "q01_query_terms": (q01, TERMS + "SELECT query_id, seq, term, term_no FROM tk JOIN qt USING (query_id, term)"),
     "q02_prefix_expansion": (q02, TERMS + "SELECT corpus, term, word, CAST(weight AS DOUBLE) AS weight FROM exp"),
@@ -276,11 +276,11 @@ SELECT {F4}, round(max(w), 6) AS run FROM (SELECT {F4}, diag, i, CAST(sum(weight
     "q23_description_score": (q23, TERMS + ", a AS (SELECT avg(len(ws)) AS l FROM split WHERE corpus = 'description') SELECT query_id, doc, round(base / total / greatest(0.01, 0.9 + 0.1 * len(ws) / l), 6) AS strength FROM gate JOIN split USING (doc, corpus, field), a WHERE corpus = 'description'"),
     "q25_fusion": (q25, None),
     "q26_highlight_ranges": (q26, TERMS + f""", ab AS (SELECT query_id, term_no, rarity >= 1 AS above FROM den WHERE corpus = 'description'),
-sh AS (SELECT *, bool_or(above) OVER (PARTITION BY query_id) AS some FROM ab),
+sh AS (SELECT *, bool_or(above) OVER (PARTITION BY query_id) AS anyone FROM ab),
 g AS (SELECT doc, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}'']+') AS gaps, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}'']+') AS ws FROM fields WHERE corpus = 'description'),
 one AS (SELECT doc, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, generate_subscripts(ws, 1) - 1 AS pos FROM g),
 e AS (SELECT doc, pos, length(w) AS n, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY doc ORDER BY pos) AS BIGINT) AS fin FROM one),
-u AS (SELECT DISTINCT query_id, doc, pos FROM hit JOIN sh USING (query_id, term_no) WHERE corpus = 'description' AND (above OR NOT some))
+u AS (SELECT DISTINCT query_id, doc, pos FROM hit JOIN sh USING (query_id, term_no) WHERE corpus = 'description' AND (above OR NOT anyone))
 SELECT query_id, doc, string_agg((fin - n) || '-' || fin, ',' ORDER BY fin) AS ranges FROM u JOIN e USING (doc, pos) GROUP BY query_id, doc"""),
     "q27_literal_search": (q27, "WITH " + VOCAB_SQL + """, m AS (SELECT * FROM (VALUES (1, '###'), (2, '|'), (3, '!!')) t(query_id, q)),
 c AS (SELECT query_id, doc, corpus, field, CAST((length(text) - length(replace(lower(text), q, ''))) / length(q) AS DOUBLE) AS score FROM fields, m WHERE contains(lower(text), q))
