@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Month and weekday names with their short forms; Sunday is 0.
 MONTHS = {
     "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5,
@@ -68,64 +70,74 @@ def parse_dates(df: DataFrame, col: str, span: tuple[int, int], source: str = "q
             compact.alias("compact"),
         )
 
-    pick = lambda name: F.filter(F.transform("_tk", lambda t: t[name]), lambda v: v.isNotNull())
-    df = df.withColumn("_tk", F.transform(pieces, classify))
-    df = df.withColumn("_m", pick("month")).withColumn("_wd", pick("weekday")).withColumn("_cp", pick("compact"))
-    df = df.withColumn("_ns", F.filter(F.transform("_tk", lambda t: t["n"]), lambda n: n["v"].isNotNull()))
-    placed = F.size("_m") + F.size("_wd") + F.size("_cp") + F.size("_ns") == F.size("_tk")
-    sane = placed & (F.size("_tk") > 0) & (F.size("_m") < 2) & (F.size("_wd") < 2) & (F.size("_cp") < 2)
+    def pick(tk: Column, name: str) -> Column:
+        return F.filter(F.transform(tk, lambda t: t[name]), lambda v: v.isNotNull())
+
+    def sorted_out(tk: Column) -> Column:
+        numbers = F.filter(F.transform(tk, lambda t: t["n"]), lambda n: n["v"].isNotNull())
+        return F.struct(
+            pick(tk, "month").alias("m"), pick(tk, "weekday").alias("wd"), pick(tk, "compact").alias("cp"), numbers.alias("ns"), F.size(tk).alias("size")
+        )
 
-    month = F.get("_m", F.lit(0))
     year = lambda n: F.when(~n["o"], resolve_year(n["v"], n["d"], span, source))
     as_month = lambda n: F.when(~n["o"] & (n["d"] <= 2) & n["v"].between(1, 12), n["v"])
     as_day = lambda n: F.when((n["d"] <= 2) & n["v"].between(1, 31), n["v"])
     role = {"y": year, "m": as_month, "d": as_day}
     none = F.lit(None).cast("int")
 
-    def reading(roles: str) -> Column:
-        """The numbers in these roles; null if one cannot hold it."""
-        n = {r: role[r](F.get("_ns", F.lit(i))) for i, r in enumerate(roles)}
-        every = F.size("_ns") == len(roles)
-        for v in n.values():
-            every = every & v.isNotNull()
-        own_month = n.get("m", month)
-        return F.when(every, F.struct(n.get("y", none).alias("year"), own_month.cast("int").alias("month"), n.get("d", none).alias("day")))
-
-    def some(*readings: str) -> Column:
-        return F.array_distinct(F.filter(F.array(*map(reading, readings)), lambda x: x.isNotNull()))
-
-    named = F.when(F.size("_ns") == 1, some("y")).when(F.size("_ns") == 2, some("yd", "dy"))
-    if source == "filter":
-        plain = F.when(F.size("_ns") == 1, some("y")).when(F.size("_ns") == 2, some("ym")).when(F.size("_ns") == 3, some("ymd"))
-    else:
-        first = some("ymd")
-        plain = (
-            F.when((F.size("_ns") == 1) & (F.get("_ns", F.lit(0))["d"] == 4), some("y"))
-            .when(F.size("_ns") == 2, some("ym", "my"))
-            .when(F.size("_ns") == 3, F.when(F.size(first) > 0, first).otherwise(some("mdy", "dmy")))
-        )
-    cp = F.get("_cp", F.lit(0))
-    part = lambda a, n: F.expr(f"cast(substring(get(_cp, 0), {a}, {n}) as int)")
-    cy = resolve_year(part(1, 4), F.lit(4), span, source)
-    ok = cy.isNotNull() & part(5, 2).between(1, 12) & ((F.length(cp) == 6) | real_date(cy, part(5, 2), part(7, 2)).isNotNull())
-    packed = F.when(
-        ok, F.array(F.struct(cy.alias("year"), part(5, 2).alias("month"), F.when(F.length(cp) == 8, part(7, 2)).alias("day")))
-    )
-    alone = (F.size("_m") == 0) & (F.size("_ns") == 0)
-    found = F.when(sane, F.when(F.size("_cp") == 1, F.when(alone, packed)).when(F.size("_m") == 1, named).otherwise(plain))
-    day_of_week = F.get("_wd", F.lit(0))
-
-    def valid(x: Column) -> Column:
-        full = x["month"].isNotNull() & x["day"].isNotNull()
-        date = real_date(x["year"], x["month"], x["day"])
-        return x["year"].isNotNull() & (~full | (date.isNotNull() & (day_of_week.isNull() | F.coalesce(weekday(date) == day_of_week, F.lit(False)))))
-
-    kept = F.transform(
-        F.filter("_f", valid),
-        lambda x: F.struct(x["year"].alias("year"), x["month"].alias("month"), x["day"].alias("day"), day_of_week.alias("weekday")),
-    )
-    df = df.withColumn("_f", found).withColumn("candidates", F.when(F.size(kept) > 0, kept).cast(f"array<{CANDIDATE}>"))
-    return with_precision(df.drop("_tk", "_m", "_wd", "_cp", "_ns", "_f"))
+    def found(x: Column) -> Column:
+        m, wd, cps, ns = x["m"], x["wd"], x["cp"], x["ns"]
+        month = F.get(m, F.lit(0))
+
+        def reading(roles: str) -> Column:
+            """The numbers in these roles; null if one cannot hold it."""
+            n = {r: role[r](F.get(ns, F.lit(i))) for i, r in enumerate(roles)}
+            whole = F.struct(n.get("y", none).alias("year"), n.get("m", month).cast("int").alias("month"), n.get("d", none).alias("day"))
+            parts = {"y": "year", "m": "month", "d": "day"}
+
+            def kept(w: Column) -> Column:
+                every = F.size(ns) == len(roles)
+                for r in roles:
+                    every = every & w[parts[r]].isNotNull()
+                return F.when(every, w)
+
+            return let(whole, kept)
+
+        def some(*readings: str) -> Column:
+            return F.array_distinct(F.filter(F.array(*map(reading, readings)), lambda r: r.isNotNull()))
+
+        named = F.when(F.size(ns) == 1, some("y")).when(F.size(ns) == 2, some("yd", "dy"))
+        if source == "filter":
+            plain = F.when(F.size(ns) == 1, some("y")).when(F.size(ns) == 2, some("ym")).when(F.size(ns) == 3, some("ymd"))
+        else:
+            plain = (
+                F.when((F.size(ns) == 1) & (F.get(ns, F.lit(0))["d"] == 4), some("y"))
+                .when(F.size(ns) == 2, some("ym", "my"))
+                .when(F.size(ns) == 3, let(some("ymd"), lambda f: F.when(F.size(f) > 0, f).otherwise(some("mdy", "dmy"))))
+            )
+        cp = F.get(cps, F.lit(0))
+        part = lambda a, n: F.substring(cp, F.lit(a), F.lit(n)).try_cast("int")
+        size = F.length(cp)
+        packed = F.struct(resolve_year(part(1, 4), F.lit(4), span, source).alias("year"), part(5, 2).alias("month"), F.when(size == 8, part(7, 2)).alias("day"))
+        sound = lambda c: c["year"].isNotNull() & c["month"].between(1, 12) & ((size == 6) | real_date(c["year"], c["month"], c["day"]).isNotNull())
+        compact = let(packed, lambda c: F.when(sound(c), F.array(c)))
+        sane = (F.size(m) + F.size(wd) + F.size(cps) + F.size(ns) == x["size"]) & (x["size"] > 0) & (F.size(m) < 2) & (F.size(wd) < 2) & (F.size(cps) < 2)
+        alone = (F.size(m) == 0) & (F.size(ns) == 0)
+        return F.when(sane, F.when(F.size(cps) == 1, F.when(alone, compact)).when(F.size(m) == 1, named).otherwise(plain))
+
+    def checked(x: Column) -> Column:
+        day = F.get(x["wd"], F.lit(0))
+
+        def valid(c: Column) -> Column:
+            full = c["month"].isNotNull() & c["day"].isNotNull()
+            agrees = lambda d: d.isNotNull() & (day.isNull() | F.coalesce(weekday(d) == day, F.lit(False)))
+            return c["year"].isNotNull() & (~full | let(real_date(c["year"], c["month"], c["day"]), agrees))
+
+        kept = F.transform(F.filter(found(x), valid), lambda c: F.struct(c["year"].alias("year"), c["month"].alias("month"), c["day"].alias("day"), day.alias("weekday")))
+        return let(kept, lambda k: F.when(F.size(k) > 0, k))
+
+    candidates = let(F.transform(pieces, classify), lambda tk: let(sorted_out(tk), checked))
+    return with_precision(df.withColumn("candidates", candidates.cast(f"array<{CANDIDATE}>")))
 
 
 def with_precision(df: DataFrame) -> DataFrame:

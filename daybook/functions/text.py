@@ -58,40 +58,56 @@ def sounds(col: Column) -> Column:
     return F.aggregate(F.filter(F.split(col, ""), lambda x: x != ""), F.lit(""), step)
 
 
-def with_stem(df: DataFrame, col: str = "word", to: str = "stem") -> DataFrame:
-    """Adds the stem of an English word: inflectional endings only, so that forms of one word meet.
+def let(value: Column, body) -> Column:
+    """body(value) with value written and computed once, so that expressions built in steps stay as long as their steps,
+    also where the optimizer copies them into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Meant for a distinct vocabulary.  Possessives go first, then plurals, then past and progressive endings
-    with a doubled consonant or silent e put right, and an end y becomes i.
+def stem(col: Column) -> Column:
+    """The stem of an English word: inflectional endings only, so that forms of one word meet.
+
+    Possessives go first, then plurals, then past and progressive endings with a doubled consonant or silent e put
+    right, and an end y becomes i.
     """
-    c, cut = F.col, lambda x, n: F.expr(f"left({x}, length({x}) - {n})")
-    df = df.withColumn(
-        "_o", F.when(c(col).endswith("'s"), cut(col, 2)).when(c(col).endswith("'"), cut(col, 1)).otherwise(c(col))
-    )
-    df = df.withColumn(
-        "_p",
-        F.when(c("_o").endswith("ies"), cut("_o", 2))
-        .when(c("_o").rlike("(x|z|ch|sh|ss)es$"), cut("_o", 2))
-        .when(~c("_o").endswith("s") | c("_o").rlike("(ss|us|is)$"), c("_o"))
-        .otherwise(cut("_o", 1)),
-    ).withColumn("_s", sounds(c("_p")))
-    past = c("_p").endswith("ed") & ~c("_p").endswith("eed")
-    taken = F.when(past, 2).when(c("_p").endswith("ing"), 3)
-    df = df.withColumn("_n", taken).withColumn("_b", F.expr("left(_p, length(_p) - _n)")).withColumn("_bs", F.expr("left(_s, length(_p) - _n)"))
-    last, doubled = F.right("_b", F.lit(1)), F.expr("right(_b, 1) = substring(_b, -2, 1) and length(_b) > 1 and right(_bs, 1) = 'c'")
-    restored = (
-        F.when(c("_b").rlike("(at|bl|iz)$"), F.concat("_b", F.lit("e")))
-        .when(doubled & ~last.isin("l", "s", "z"), F.expr("left(_b, length(_b) - 1)"))
-        .when(
-            (F.regexp_count("_bs", F.lit("v+c+")) == 1) & c("_bs").endswith("cvc") & ~last.isin("w", "x", "y"),
-            F.concat("_b", F.lit("e")),
+    cut = lambda x, n: F.left(x, F.length(x) - n)
+
+    def plural(o: Column) -> Column:
+        return (
+            F.when(o.endswith("ies"), cut(o, 2))
+            .when(o.rlike("(x|z|ch|sh|ss)es$"), cut(o, 2))
+            .when(~o.endswith("s") | o.rlike("(ss|us|is)$"), o)
+            .otherwise(cut(o, 1))
         )
-        .otherwise(c("_b"))
-    )
-    eed = F.when(F.expr("left(_s, length(_p) - 3)").rlike("v+c"), cut("_p", 1)).otherwise(c("_p"))
-    df = df.withColumn(
-        "_t",
-        F.when(c("_p").endswith("eed"), eed).when(c("_n").isNotNull() & c("_bs").contains("v"), restored).otherwise(c("_p")),
-    ).withColumn("_ts", sounds(c("_t")))
-    end = F.when(c("_t").endswith("y") & F.expr("left(_ts, length(_t) - 1)").contains("v"), F.concat(cut("_t", 1), F.lit("i")))
-    return df.withColumn(to, F.coalesce(end, c("_t"))).drop("_o", "_p", "_s", "_n", "_b", "_bs", "_t", "_ts")
+
+    def restored(b: Column, bs: Column) -> Column:
+        last = F.right(b, F.lit(1))
+        doubled = (F.length(b) > 1) & (last == F.substring(b, F.lit(-2), F.lit(1))) & bs.endswith("c")
+        silent = (F.regexp_count(bs, F.lit("v+c+")) == 1) & bs.endswith("cvc") & ~last.isin("w", "x", "y")
+        return (
+            F.when(b.rlike("(at|bl|iz)$"), F.concat(b, F.lit("e")))
+            .when(doubled & ~last.isin("l", "s", "z"), cut(b, 1))
+            .when(silent, F.concat(b, F.lit("e")))
+            .otherwise(b)
+        )
+
+    def tense(p: Column) -> Column:
+        size = F.when(p.endswith("eed"), None).when(p.endswith("ed"), 2).when(p.endswith("ing"), 3).cast("int")
+        base = lambda s: let(
+            F.struct(cut(p, size).alias("b"), F.left(s, F.length(p) - size).alias("s")),
+            lambda x: F.when(x["s"].contains("v"), restored(x["b"], x["s"])).otherwise(p),
+        )
+        eed = lambda s: F.when(F.left(s, F.length(p) - 3).rlike("v+c"), cut(p, 1)).otherwise(p)
+        return let(sounds(p), lambda s: F.when(p.endswith("eed"), eed(s)).otherwise(base(s)))
+
+    def settled(t: Column) -> Column:
+        end = lambda s: t.endswith("y") & F.left(s, F.length(t) - 1).contains("v")
+        return let(sounds(t), lambda s: F.when(end(s), F.concat(cut(t, 1), F.lit("i"))).otherwise(t))
+
+    owned = F.when(col.endswith("'s"), cut(col, 2)).when(col.endswith("'"), cut(col, 1)).otherwise(col)
+    return let(owned, lambda o: let(plural(o), lambda p: let(tense(p), settled)))
+
+
+def with_stem(df: DataFrame, col: str = "word", to: str = "stem") -> DataFrame:
+    """Adds the stem of each word; meant for a distinct vocabulary."""
+    return df.withColumn(to, stem(F.col(col)))
