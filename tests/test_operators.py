@@ -20,7 +20,7 @@ from daybook.streaming import toggles
 @pytest.fixture(scope="module")
 def corpus(spark):
     texts = ["the snow man stands in deep snow", "a dinosaur in the transmogrifier box", "man the box of snow goons", "", "the cat sleeps"] + ["filler words here"] * 20
-    rows = [(i, dt.date(1988, 1, 1) + dt.timedelta(i), None, t, None, "a tiger watches the hose freeze" if i == 4 else None) for i, t in enumerate(texts)]
+    rows = [(i, dt.date(1988, 1, 1) + dt.timedelta(i), None, t, None, "a tiger watches the hose freeze" if i == 4 else "people walk outside" if i > 4 else None) for i, t in enumerate(texts)]
     return S.build(spark.createDataFrame(rows, "doc long, date date, id string, transcript string, alternate string, description string"))
 
 
@@ -82,7 +82,7 @@ def test_filter_texts(spark):
 def test_tiers_and_snippets(spark):
     df = spark.createDataFrame([(1, dt.date(2000, 1, i), None, s) for i, s in ((1, 10.0), (2, 7.0), (3, 7.0), (4, 1.0))], "query_id int, date date, id string, score double")
     tiers = lambda mode: [r.tier for r in R.assign_tiers(df, mode).orderBy("date").collect()]
-    assert tiers("steps") == [5, 4, 4, 1] and tiers("fifths") == [5, 3, 3, 1] and tiers("stretch") == [5, 4, 4, 1] and tiers("quantile") == [5, 4, 4, 2]
+    assert tiers("steps") == [5, 4, 4, 1] and tiers("fifths") == [5, 4, 4, 1] and tiers("stretch") == [5, 4, 4, 1] and tiers("quantile") == [5, 4, 4, 2]
     text = spark.createDataFrame([("a<b & c", [(0, 1), (0, 3), (4, 5)])], "text string, ranges array<struct<start:int,end:int>>")
     assert R.render_snippets(text).first().html == "<mark>a</mark>&lt;b <mark>&amp;</mark> c"
 
