@@ -43,10 +43,13 @@ def parts(col: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
 
 def shingles(col: Column, k: int) -> Column:
     """The distinct runs of k words, joined by spaces."""
-    w = words(col)
-    n = F.size(w) - (k - 1)
-    all_runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.array_distinct(F.when(n >= 1, all_runs).otherwise(F.array().cast("array<string>")))
+
+    def every(w: Column) -> Column:
+        n = F.size(w) - (k - 1)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.array_distinct(F.when(n >= 1, each).otherwise(F.array().cast("array<string>")))
+
+    return let(words(col), every)
 
 
 def sounds(col: Column) -> Column:

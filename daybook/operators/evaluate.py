@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles, with_stem, words
+from ..functions.text import let, shingles, with_stem, words
 from ..params import Params
 
 
@@ -91,24 +91,21 @@ def shared_spans(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
 
 def recite(pairs: DataFrame) -> DataFrame:
     """Adds run, overlap, length and share to pairs(query, text): how much of the query the text says word for word."""
-    df = pairs.withColumn("_q", words(F.col("query"))).withColumn("_t", words(F.col("text")))
-    joined = F.array_join("_t", " ")
-    df = df.withColumn("_j", joined)
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("_q")),
-            lambda a: F.transform(F.sequence(a, F.size("_q")), lambda b: F.when(F.contains(F.col("_j"), F.array_join(F.slice("_q", a, b - a + 1), " ")), b - a + 1).otherwise(0)),
+
+    def measures(x):
+        q, t, joined = x["q"], x["t"], x["j"]
+        n = F.size(q)
+        said = lambda a, b: F.contains(joined, F.array_join(F.slice(q, a, b - a + 1), " "))
+        spans = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda a: F.array_max(F.transform(F.sequence(a, F.greatest(n, F.lit(1))), lambda b: F.when(said(a, b), b - a + 1).otherwise(0))))
+        return F.struct(
+            F.when(n > 0, F.array_max(spans)).otherwise(0).alias("run"),
+            F.when(n > 0, F.size(F.filter(q, lambda w: F.array_contains(t, w))) / n).alias("overlap"),
+            n.alias("length"),
+            (n / F.greatest(F.lit(1), F.size(t))).alias("share"),
         )
-    )
-    some = F.size("_q") > 0
-    return df.withColumns(
-        {
-            "run": F.when(some, F.array_max(spans)).otherwise(0),
-            "overlap": F.when(some, F.size(F.filter("_q", lambda w: F.array_contains("_t", w))) / F.size("_q")),
-            "length": F.size("_q"),
-            "share": F.size("_q") / F.greatest(F.lit(1), F.size("_t")),
-        }
-    ).drop("_q", "_t", "_j")
+
+    both = let(words(F.col("text")), lambda t: F.struct(words(F.col("query")).alias("q"), t.alias("t"), F.array_join(t, " ").alias("j")))
+    return pairs.withColumn("_m", let(both, measures)).select(*pairs.columns, "_m.*")
 
 
 def violations(recited: DataFrame, run: int = 5, overlap: float = 0.7, length: int = 14, share: float = 0.65) -> DataFrame:
