@@ -322,15 +322,18 @@ def literal_search(field_rows: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def text_search(corpus: Corpus, queries: DataFrame, p: Params = DEFAULT, routes: tuple[str, ...] = ("prefix", "fuzzy", "stem")) -> DataFrame:
-    """(query_id, doc, score, source, field) for queries(query_id, query[, segments]); blank queries give nothing."""
+    """(query_id, doc, score, source, field) for queries(query_id, query[, segments]); blank queries give nothing.
+
+    What several stages read again (terms, expansion, denominators, hits, gated fields) is kept on disk."""
+    kept = lambda df: df.persist(StorageLevel.DISK_ONLY)
     asked = queries.where(F.trim("query") != "")
-    terms = query_terms(asked)
-    expansion = expand(terms, corpus.vocab, p, routes)
-    anchor = anchors(expansion, p)
-    denoms = denominators(terms, anchor, corpus.stats, p)
+    terms = kept(query_terms(asked))
+    expansion = kept(expand(terms, corpus.vocab, p, routes))
+    anchor = kept(anchors(expansion, p))
+    denoms = kept(denominators(terms, anchor, corpus.stats, p))
     limits = thresholds(denoms, p)
-    hit = hits(corpus.postings, expansion, anchor, terms)
-    gated = gate(summarise(hit, denoms, limits, p), p)
+    hit = kept(hits(corpus.postings, expansion, anchor, terms))
+    gated = kept(gate(summarise(hit, denoms, limits, p), p))
     sequence = ordered_subsequence(hit, gated.where("corpus = 'transcript'"), terms)
     scored = score_fields(gated, sequence, corpus.lengths, corpus.stats, p)
     return fuse(scored, p).unionByName(literal_search(corpus.fields, asked))

@@ -4,6 +4,7 @@ Stage queries that SQL checks use the exact and prefix routes; the whole search
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
@@ -15,10 +16,10 @@ from .bindings import ASKED_SQL, VOCAB_SQL, asked, flat, strips, table
 
 def stages(spark, d, routes=("prefix",)):
     corpus, queries = S.build(strips(spark, d)), asked(spark, d)
-    terms = S.query_terms(queries)
-    expansion = S.expand(terms, corpus.vocab, DEFAULT, routes)
-    anchor = S.anchors(expansion)
-    denoms = S.denominators(terms, anchor, corpus.stats)
+    terms = S.query_terms(queries).persist(StorageLevel.DISK_ONLY)
+    expansion = S.expand(terms, corpus.vocab, DEFAULT, routes).persist(StorageLevel.DISK_ONLY)
+    anchor = S.anchors(expansion).persist(StorageLevel.DISK_ONLY)
+    denoms = S.denominators(terms, anchor, corpus.stats).persist(StorageLevel.DISK_ONLY)
     return corpus, terms, expansion, anchor, denoms
 
 
@@ -73,7 +74,7 @@ def q11(spark, d):
 
 def hits(spark, d):
     corpus, terms, expansion, anchor, denoms = stages(spark, d)
-    return corpus, terms, denoms, S.hits(corpus.postings, expansion, anchor, terms)
+    return corpus, terms, denoms, S.hits(corpus.postings, expansion, anchor, terms).persist(StorageLevel.DISK_ONLY)
 
 
 def q12(spark, d):
