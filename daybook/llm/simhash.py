@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import fit, settle, words_of
 from .components import components
+from .near_copies import near_copies
 
 BITS = 64
 
@@ -155,11 +156,12 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id.
+    """One document of each group stays: the one with the smallest doc_id.  Groups are linked by five-word shingle sets
+    with a Jaccard similarity of 0.8 or more, checked exactly; op7's fingerprints have no part in it.
 
     A document without an id cannot be compared by it and stays; of rows repeating a kept id one stays (only then
     are texts shuffled for it)."""
-    groups = settle(near_duplicates(docs).select("id", "component"))
+    groups = settle(near_copies(docs))
     keep = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
     named = docs.where("doc_id is not null").join(fit(keep, 16), "doc_id", "left_semi")
     if not groups.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
