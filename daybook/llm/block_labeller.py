@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .html_blocks import WIDTH, Block, blocks, vectors
+from .html_blocks import MARK, WIDTH, Block, Element, blocks, vectors
 
 HIDDEN = 24
 #: Cells of one batch's input, so memory does not follow the longest page times the batch.
 CELLS = 1 << 22
+#: Blocks that one step of fitting goes back through; a longer page is fitted in such parts, one after the other.
+STEPS = 1000
 
 #: Names that tell what an element holds; they label the training pages' blocks, never the result.
 MAIN = {"article", "main"}
@@ -124,7 +126,7 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 0, rounds: int
     pages, step = [p for p in pages if len(p[0])], 0
     for _ in range(rounds):
         pages.sort(key=lambda p: (len(p[0]) // 8, rng.random()))
-        lots = [pages[i : i + batch] for i in range(0, len(pages), batch)]
+        lots = [pages[i : i + batch] for i in range(0, len(pages), batch)]  # of STEPS blocks a page at most
         rng.shuffle(lots)
         for lot in lots:
             own = [p[0] for p in lot]
@@ -154,16 +156,21 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 0, rounds: int
 def marked(page: str | None) -> list[Block]:
     """The page's blocks labelled by what their paths say: 1 inside an article, 0 inside other named parts (the
     nearest such element decides), -1 where nothing says."""
-    out = blocks(page)
+    out, known = blocks(page), {None: -1}
+
+    def says(element: Element | None) -> int:
+        open_ = []
+        while element not in known:
+            open_.append(element)
+            element = element.above
+        value = known[element]
+        for e in reversed(open_):
+            names = {e.name, *e.words}
+            value = known[e] = 0 if names & OTHER else 1 if names & MAIN else value
+        return value
+
     for b in out:
-        for element in reversed(b.path):
-            names = {t.strip("<>") for t in element.split()}
-            if names & OTHER:
-                b.main = 0
-                break
-            if names & MAIN:
-                b.main = 1
-                break
+        b.main = says(b.inside)
     return out
 
 
@@ -226,11 +233,10 @@ def layouts(texts: list[str], others: list[str], count: int, seed: int = 0) -> l
 
 
 def truth(page: str) -> list[Block]:
-    """Blocks of a layout with their labels, the marks taken off."""
+    """Blocks of a layout with their labels; the marks are no part of their paths."""
     out = blocks(page)
     for b in out:
-        b.main = int("<data-main>" in b.path)
-        b.path = tuple(p for p in b.path if p != "<data-main>")
+        b.main = int(b.inside is not None and b.inside.marked)
     return out
 
 
@@ -240,4 +246,5 @@ def learn(pages: list[str | None], seed: int = 0, extra: int = 1200) -> Net:
     texts = sorted({b.text for p in own for b in p if b.main == 1}) or ["Text of a page, in words."]
     others = sorted({b.text for p in own for b in p if b.main == 0}) or ["Menu"]
     made = [truth(p) for p in layouts(texts, others, extra, seed)]
-    return train([(vectors(p), np.array([b.main for b in p], np.float32)) for p in [*own, *made]], seed)
+    rows = [(vectors(p), np.array([b.main for b in p], np.float32)) for p in [*own, *made]]
+    return train([(x[at : at + STEPS], y[at : at + STEPS]) for x, y in rows for at in range(0, len(x), STEPS)], seed)

@@ -36,37 +36,100 @@ _SPACE = re.compile(r"\s+")
 
 PATH, WORDS, PLAIN = 96, 48, 8
 WIDTH = PATH + WORDS + PLAIN
+#: How much less an element says about a block than the element right inside it.
+FADE = 0.75
+#: A mark in a made-up page that is no element of it.
+MARK = "data-main"
+
+
+class Element:
+    """An open element: its name, the words of its class, id and role, and the element around it.
+
+    What a block needs of its whole path is summed up here, element by element, so a path costs its last element only:
+    the hashed words (nearer ones heavier), whether a link is open, and whether it is inside a MARK."""
+
+    __slots__ = ("above", "link", "marked", "name", "vector", "words")
+
+    def __init__(self, name: str, words: tuple[str, ...], above: Element | None) -> None:
+        self.name, self.words, self.above = name, words, above
+        self.link = name == "a" or (above is not None and above.link)
+        self.marked = name == MARK or (above is not None and above.marked)
+        self.vector: np.ndarray | None = None
+
+    def path_vector(self) -> np.ndarray:
+        """Made when a block asks for it, from the nearest element above that has one."""
+        open_, at = [], self
+        while at is not None and at.vector is None:
+            open_.append(at)
+            at = at.above
+        vector = np.zeros(PATH, np.float32) if at is None else at.vector
+        for element in reversed(open_):
+            if element.name != MARK:
+                vector = vector * np.float32(FADE)
+                for word in (f"<{element.name}>", *element.words):
+                    vector[_hash(word, PATH)] += 1
+            element.vector = vector
+        return vector
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    inside: Element | None
     linked: int
     main: int = field(default=-1)
 
 
+class _Open:
+    """The open elements, with the places of each name among them, so that no step looks through them all."""
+
+    def __init__(self) -> None:
+        self.elements: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names, -1 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.elements))
+        self.elements.append(element)
+
+    def cut(self, place: int) -> None:
+        while len(self.elements) > place:
+            self.places[self.elements.pop().name].pop()
+
+    def end(self, names: tuple[str, ...], until: tuple[str, ...]) -> None:
+        """End the innermost element of these names unless an open container stands nearer."""
+        place = self.last(names)
+        if place > self.last(until):
+            self.cut(place)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order: runs of text without a block element's edge inside.
 
     References are decoded, white space becomes single spaces, and empty blocks are left out.  Unclosed and stray
     tags are taken as browsers do for the common cases (a paragraph ends at the next block, an item at the next item).
+    The work is linear in the page, however deep its elements stand in each other.
     """
-    page, out, stack, held, linked, at = page or "", [], [], [], 0, 0
+    page, out, held, linked, at = page or "", [], [], 0, 0
+    stack = _Open()
+    here = lambda: stack.elements[-1] if stack.elements else None
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append(Block(text, tuple(p for _, p in stack), min(linked, len(text))))
+                out.append(Block(text, here(), min(linked, len(text))))
             held.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
         held.append(text)
-        if any(name == "a" for name, _ in stack):
+        if stack.elements and stack.elements[-1].link:
             linked += len(text)
 
     for m in _TOKEN.finditer(page):
@@ -82,68 +145,47 @@ def blocks(page: str | None) -> list[Block]:
         if name in BLOCK:
             flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            place = stack.last((name,))
+            if place >= 0:
+                stack.cut(place)
             continue
         if name in VOID:
             continue
         if name in BLOCK and name not in ("label", "button"):
-            _end(stack, ("p",), ("table", "td", "th", "body"))
+            stack.end(("p",), ("table", "td", "th", "body"))
         if name in CLOSES:
             ended, until = CLOSES[name]
-            _end(stack, tuple(ended.split()), until)
+            stack.end(tuple(ended.split()), until)
         if not m[4].rstrip().endswith("/") or name in BLOCK:
-            stack.append((name, _path(name, m[4])))
+            stack.push(Element(name, _names(m[4]), here()))
     if at < len(page):
         say(page[at:])
     flush()
     return out
 
 
-def _end(stack: list, names: tuple[str, ...], until: tuple[str, ...]) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in names:
-            del stack[i:]
-            return
-        if stack[i][0] in until:
-            return
-
-
-def _path(name: str, attributes: str) -> str:
+def _names(attributes: str) -> tuple[str, ...]:
     parts = [a or b or c for a, b, c in _NAMES.findall(attributes)] if "=" in attributes else []
-    return " ".join([f"<{name}>", *(p.lower() for part in parts for p in _PART.findall(part))])
+    return tuple(p.lower() for part in parts for p in _PART.findall(part))
 
 
 def _hash(token: str, width: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % width
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed names on the way to the block, nearer ones heavier."""
-    found = _PATHS.get(path)
-    if found is None:
-        if len(_PATHS) > 20_000:
-            _PATHS.clear()
-        found = np.zeros(PATH, np.float32)
-        for depth, element in enumerate(reversed(path)):
-            for token in element.split():
-                found[_hash(token, PATH)] += 1 / (1 + 0.3 * depth)
-        _PATHS[path] = found
-    return found
+def _word_vector(text: str) -> np.ndarray:
+    """All words of the block, hashed, as shares of their number."""
+    words = text.lower().split()
+    places = np.fromiter((_hash(w, WORDS) for w in words), np.int64, len(words))
+    return np.bincount(places, minlength=WORDS).astype(np.float32) / max(4, len(words))
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     """One row of WIDTH numbers per block: hashed path, hashed words, and length, links, place and marks."""
     out = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
-        words = b.text.split()[:200]
-        out[i, :PATH] = _path_vector(b.path)
-        np.add.at(out[i], [PATH + _hash(w.lower(), WORDS) for w in words], 1 / max(4, len(words)))
+        out[i, :PATH] = b.inside.path_vector() if b.inside else 0
+        out[i, PATH : PATH + WORDS] = _word_vector(b.text)
         n = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(n) / 5, b.linked / n, i / len(page), (len(page) - 1 - i) / len(page), min(1, len(page) / 50),

@@ -19,13 +19,13 @@ CHUNK = 2 << 20
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, html_col: str = "html") -> Net:
-    """A labeller fitted, in one task, on at most sample pages of up to 200,000 characters and on layouts of their texts."""
+    """A labeller fitted, in one task, on at most sample pages, whole, and on layouts of their texts."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = learn([h for batch in batches for h in batch["h"]])
         yield pd.DataFrame({"name": list(net.w), "shape": [list(v.shape) for v in net.w.values()], "data": [v.tobytes() for v in net.w.values()]})
 
-    rows = pages.where(F.length(html_col) < 200_000).select("page_id", F.col(html_col).alias("h"))
+    rows = pages.select("page_id", F.col(html_col).alias("h"))
     taken = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).coalesce(1)
     found = taken.mapInPandas(one, "name string, shape array<int>, data binary").collect()
     return Net({r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in found}) if found else learn([])

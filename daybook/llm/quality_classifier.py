@@ -85,8 +85,10 @@ class Model:
 def fit(stats: DataFrame, labels: DataFrame, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model | None:
     """The model from stats joined with labels(doc_id, quality); None if a class has under two rows.
 
-    One aggregation gives each class's count, sums and products; only those two rows reach the driver."""
-    ids = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").alias("__class")).distinct()
+    One aggregation gives each class's count, sums and products; only those two rows reach the driver.  A document labelled
+    again counts once, one labelled both ways not at all; labels of other values or without a document are left out."""
+    ids = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
+    ids = ids.groupBy("doc_id").agg(F.min("quality").alias("__class"), F.max("quality").alias("__other")).where("__class = __other")
     both = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
     sums = (
         stats.join(ids, "doc_id")
@@ -142,6 +144,10 @@ def held_out() -> F.Column:
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs, learned from labels(doc_id, quality) of rows not held out.
+
+    Null and empty texts have statistics of their own and so a score; repeated rows repeat; an empty table gives no rows;
+    without two rows of either class every score is 0.5.  Other columns, whatever their names, are never read."""
     stats = settle(measured(docs))
     model = fit(stats.where(~held_out()), labels.where(~held_out()))
     return score(stats, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -25,6 +25,39 @@ def test_quality_odd_rows(spark):
     assert quality_classifier.op1(docs.limit(0), none).count() == 0
 
 
+def by_hand(docs, labels):
+    """Scores in plain numpy: one Gaussian a class with shrunk covariance, by solving instead of a factor's inverse."""
+    from zlib import crc32
+
+    q = quality_classifier
+    known = {}
+    for d, y in labels:
+        if crc32(str(d).encode()) % 3 != 1:
+            known.setdefault(d, set()).add(y)
+    x = {d: np.array(q.statistics(t)) for d, t in docs}
+    rows = [np.array([x[d] for d, y in known.items() if y == {k}]) for k in (0, 1)]
+    covs = [np.cov(r.T, bias=True) for r in rows]
+    n = [len(r) for r in rows]
+    pool = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    diag = np.diag(np.diag(pool))
+    logs = []
+    for r, c in zip(rows, covs):
+        c = (1 - q.DIAGONAL) * ((1 - q.POOLED) * c + q.POOLED * pool) + q.DIAGONAL * diag + 1e-3 * np.maximum(diag, 1e-6 * np.eye(len(diag)))
+        far = {d: v - r.mean(axis=0) for d, v in x.items()}
+        logs.append({d: np.log(len(r) / sum(n)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * v @ np.linalg.solve(c, v) for d, v in far.items()})
+    return {d: 1 / (1 + np.exp(-np.clip((logs[1][d] - logs[0][d]) / np.sqrt(len(q.FEATURES)), -30, 30))) for d in x}
+
+
+def test_quality_against_plain_numpy(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality")
+    both = [(r.doc_id, r.quality) for r in labels.collect()]
+    both += [both[0], (both[1][0], 1 - both[1][1]), (both[5][0], 1 - both[5][1])]
+    again = spark.createDataFrame([(*b, "x") for b in both], "doc_id long, quality int, log_words string")
+    got = {r.doc_id: r.score for r in quality_classifier.op1(docs.withColumn("quality", docs.doc_id), again).collect()}
+    want = by_hand([(r.doc_id, r.text) for r in docs.collect()], both)
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def test_blocks():
     page = """<!doctype html><body><!-- <p>no</p> --><script>var t="</p><p>no"</script><p>a&amp;b<b> c</b><br>d<p title="x>y">e&nbsp;f
     <ul><li>x<li>y <a href=#>z</a></ul><div>tail"""
@@ -33,6 +66,44 @@ def test_blocks():
     assert blocks("a < b <unclosed")[0].text.startswith("a < b")
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 40_000, "<div>" * 40_000 + "</span>x" * 40_000, "<p><td>" + "<a>" * 40_000 + "<div>y" * 40_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    vectors(blocks(page))
+    assert time.process_time() - began < 10  # by looking through the open elements: minutes
+
+
+def test_every_word_of_a_block_counts():
+    first = "word " * 300
+    a, b = (vectors(blocks(f"<p>{first}{end}</p>"))[0] for end in ("one " * 300, "two " * 300))
+    assert (a != b).any()
+
+
+def test_labels_cell_by_cell():
+    """The forward pass of the network against one written block by block and gate by gate."""
+    rng = np.random.default_rng(2)
+    net = block_labeller.Net.new(3, 6, 4)
+    pages = [rng.standard_normal((n, 6)).astype(np.float32) for n in (1, 5, 0, 3)]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def states(d, rows):
+        h, c, out = np.zeros(4), np.zeros(4), []
+        for x in rows:
+            z = x @ net.w[d + "x"] + h @ net.w[d + "h"] + net.w[d + "c"]
+            c = sig(z[4:8]) * c + sig(z[:4]) * np.tanh(z[12:])
+            h = sig(z[8:12]) * np.tanh(c)
+            out.append(h)
+        return out
+
+    got = block_labeller.label(net, pages)
+    for page, share in zip(pages, got):
+        both = zip(states("f", page), states("b", page[::-1])[::-1])
+        want = [sig(np.concatenate(x) @ net.w["ow"] + net.w["oc"][0]) for x in both]
+        assert np.allclose(share, want, atol=1e-5)
+
+
 @pytest.fixture(scope="module")
 def net(spark, sf):
     return html_extraction.fit(table(spark, sf, "pages"))
@@ -73,6 +144,69 @@ def test_gradient():
         assert abs((both[0] - both[1]) / 2e-2 - grad[name][at]) < 2e-2
 
 
+def plain_blocks(page):
+    """(text, names of the elements around it) by the library's event parser, for pages with all their end tags."""
+    from html.parser import HTMLParser
+
+    from daybook.llm.html_blocks import BLOCK
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.held, self.out = [], "", []
+
+        def flush(self):
+            if " ".join(self.held.split()):
+                self.out.append((" ".join(self.held.split()), [w for n, a in self.open for w in (n, *a)]))
+            self.held = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in BLOCK:
+                self.flush()
+            if tag == "br":
+                self.held += " "
+            elif tag not in ("img", "input", "meta", "link", "hr"):
+                self.open.append((tag, [v or "" for k, v in attrs if k in ("class", "id", "role")]))
+
+        def handle_endtag(self, tag):
+            if tag in BLOCK:
+                self.flush()
+            if any(n == tag for n, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not {n for n, _ in self.open} & {"script", "style", "title", "noscript"}:
+                self.held += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return reader.out
+
+
+def test_blocks_against_a_plain_parser(spark, sf):
+    texts = [r.text for r in table(spark, sf, "documents").limit(30).collect()]
+    lines = sorted({x for t in texts for x in t.split("\n") if 20 < len(x) < 300 and not set(x) & set("<>&")})
+    good = 0
+    for page in block_labeller.layouts(lines[::2], lines[1::2], 200, seed=5):
+        if "<br><p>" in page or "<h1>" in page:  # an element left open, or closed by another name
+            continue
+        want = plain_blocks(page)
+        assert [b.text for b in blocks(page)] == [t for t, _ in want]
+        assert [bool(b.inside and b.inside.marked) for b in blocks(page)] == ["data-main" in names for _, names in want]
+        good += 1
+    assert good > 5
+
+
+def test_fit_reads_long_pages(spark):
+    rows = [(i, f"u{i}", ("<nav>Menu</nav>" + f"<article><p>{'Main text here. ' * 3}</p></article>" * 5_000), None) for i in range(3)]
+    net = html_extraction.fit(spark.createDataFrame(rows, "page_id long, url string, html string, h string"))
+    share = block_labeller.label(net, [vectors(blocks(rows[0][2]))])[0]
+    assert share[0] < 0.5 < share[-1]
+
+
 def test_extraction_of_odd_rows(spark, net):
     rows = [(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2), (2, "u", "<article>" + "<p>Some words here.</p>" * 20_000, 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
