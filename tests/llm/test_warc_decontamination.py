@@ -83,6 +83,41 @@ def test_edited_passages_are_found_and_nothing_else(spark, sf):
         assert got.get((n + 2, item), d) == d
 
 
+def test_counting_by_band_loses_nothing(monkeypatch):
+    items = [(1, "ab" * 300), (2, "abcde" * 60), (3, "the quick brown fox jumps over the lazy dog again")]
+    texts = ["ab" * 3000 + " x y", "zz " + "abcde" * 300 + "q" + "abcde" * 3, "the quick brown fox jumped over the lazy dog again", None]
+    index, found = dc.Index(items), []
+    for hits, dense in ((1 << 40, 1 << 40), (1000, 1 << 40), (1000, 50)):
+        monkeypatch.setattr(dc, "HITS", hits)
+        monkeypatch.setattr(dc, "DENSE", dense)
+        found.append(list(dc.matches(index, texts)))
+    assert found[0] == found[1] == found[2] and {m[:2] for m in found[0]} == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_a_repetitive_page_stays_small():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = list(dc.matches(dc.Index([(1, "ab" * 1000)]), ["ab" * 500_000]))
+    assert [(m[0], m[1], m[2]) for m in got] == [(0, 1, 0)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kilobytes: one GB
+
+
+def test_short_items_match_as_whole_words():
+    index = dc.Index([(1, "A cat!"), (2, "ca"), (3, "..."), (4, "a cat"), (5, None), (6, "twelve letters")])
+    texts = ["see: a  CAT sat", "a cats", "acat", "a ca t", None, "", "twelve letters"]
+    got = {(m[0], m[1], m[2], m[4], m[5]) for m in dc.matches(index, texts)}
+    assert got == {(0, 1, 0, 5, 11), (0, 4, 0, 5, 11), (3, 2, 0, 2, 4), (6, 6, 0, 0, 14)}
+
+
+def test_blocks_of_the_benchmark_do_not_matter(spark, sf, monkeypatch):
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    one, kept = rows(dc.contaminated(docs, bench)), rows(dc.clean(docs, bench).select("doc_id"))
+    monkeypatch.setattr(dc, "BLOCK", 4_000)
+    assert rows(dc.contaminated(docs, bench)) == one and rows(dc.clean(docs, bench).select("doc_id")) == kept
+
+
 def test_contaminated_and_clean(spark, sf):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     found = dc.contaminated(docs, bench).collect()
