@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BROADCAST_BYTES, ROW_BYTES, settle
 
-#: A line on over this share of a site's pages, and on at least MIN_PAGES of them, is boilerplate.
-RATIO = 0.02
-MIN_PAGES = 5
+#: A line on over this share of a site's pages is boilerplate.
+RATIO = 0.05
+#: A line on fewer pages than this is not shared at all, whatever its share of a tiny site.
+MIN_PAGES = 2
 
 
 def _keys(text: F.Column) -> F.Column:
@@ -41,23 +42,24 @@ def drop_boilerplate(
     """docs with boilerplate lines removed from text_col and n_dropped added; row count and other columns stay.
 
     Null hosts form one site of their own; null text stays null; blank lines stay; repeated rows count as
-    pages each.  The small side is broadcast only if its measured size allows.
+    pages each.  The small side is broadcast only if its measured size allows.  n_dropped is replaced if docs has
+    one; a column of any other name is carried through untouched.
     """
-    common = settle(boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("__host"), "line_keys"))
-    size = common.agg(F.coalesce(F.sum(F.size("line_keys") * 8 + 40), F.lit(0))).first()[0]
-    side = F.broadcast(common) if size <= 8 << 20 else common
-    joined = docs.join(side, docs[host_col].eqNullSafe(F.col("__host")), "left").drop("__host")
-    lines = F.split(F.col(text_col), "\n")
+    common = settle(boilerplate(docs, host_col, text_col, ratio, min_pages))
+    size = common.agg(F.coalesce(F.sum(F.size("line_keys") * 8 + ROW_BYTES), F.lit(0))).first()[0]
+    side = F.broadcast(common) if size <= BROADCAST_BYTES else common
+    rest = F.struct(*(c for c in docs.columns if c != text_col))
+    rows = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"), rest.alias("row"))
+    joined = rows.join(side, rows["host"].eqNullSafe(side["host"]), "left")
+    lines = F.split(F.col("text"), "\n")
     key = lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\x0b\x0c\r")))
     kept = F.when(F.col("line_keys").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~F.array_contains(F.col("line_keys"), key(x)))
     )
-    return (
-        joined.withColumn("__kept", kept)
-        .withColumn("n_dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.array_join("__kept", "\n"))
-        .drop("__kept", "line_keys")
-    )
+    joined = joined.select("row", "text", kept.alias("kept"))
+    n_dropped = F.coalesce(F.size(lines) - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped")
+    own = [F.array_join("kept", "\n").alias(text_col) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_dropped"]
+    return joined.select(*own, n_dropped)
 
 
 def op10(docs: DataFrame) -> DataFrame:
@@ -67,11 +69,10 @@ def op10(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return (
-        drop_boilerplate(docs)
-        .withColumn("n_chars", F.length("text").cast("bigint"))
-        .select(*docs.columns)
-    )
+    """The documents without their site's boilerplate lines; only text and n_chars change, whatever other columns there are."""
+    rows = docs.select(F.col("source"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return drop_boilerplate(rows).select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = f"""

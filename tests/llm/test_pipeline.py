@@ -3,7 +3,8 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from test_rules_simhash_lines_packing import WORDS, measured, simhash_by_hand
+from test_near_copies import pairs_by_hand
+from test_rules_simhash_lines_packing import WORDS, measured
 
 from daybook.llm import decontamination as dc
 from daybook.llm.common import table
@@ -31,15 +32,7 @@ def by_hand(docs, items):
                 on[s, x.strip(" \t\x0b\x0c\r")].add(d)
     common = {k for k, v in on.items() if len(v) >= MIN_PAGES and len(v) > RATIO * pages[k[0]]}
     docs = {d: "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\x0b\x0c\r")) not in common) for d, (t, s) in docs.items()}
-    fps = {d: simhash_by_hand(t) for d, t in docs.items()}
-    group = {d: d for d in docs}
-    changed = True
-    while changed:
-        changed = False
-        for a in docs:
-            low = min(group[b] for b in docs if (fps[a] ^ fps[b]).bit_count() <= 4)
-            changed |= low < group[a]
-            group[a] = min(group[a], low)
+    group = pairs_by_hand(docs)[1]
     docs = {d: t for d, t in docs.items() if group[d] == d}
     return {d: t for d, t in docs.items() if not any(p in dc.normal(t) for p in items)}
 

@@ -109,10 +109,28 @@ def test_chunked_buckets_lose_no_link(spark):
     assert len({c for _, c in whole}) == 2
 
 
-def test_simhash_stage_keeps_one_of_each_group(spark, docs):
-    kept = rows(simhash.stage(spark, docs, None))
-    groups = {r["doc_id"]: r["component_id"] for r in rows(simhash.op7(docs))}
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(groups.values()))
+def test_more_blocks_lose_no_link(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = base + [b ^ sum({1 << rng.randrange(64) for _ in range(n)}) for b in base for n in (1, 3, 4)]
+    nodes = spark.createDataFrame([(f if f < 1 << 63 else f - (1 << 64), i) for i, f in enumerate(dict.fromkeys(fps))], "fp long, node long")
+    from daybook.llm.components import components
+
+    want = {tuple(r) for r in components(simhash.links(nodes)).collect()}
+    assert len({c for _, c in want}) == 40
+    for blocks in (5, 7, 8):
+        assert {tuple(r) for r in components(simhash.links(nodes, blocks=blocks)).collect()} == want
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10)] == [6, 6, 7, 8]
+
+
+def test_components_of_paths_and_stars(spark):
+    from daybook.llm.components import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + i, 260) for i in range(60)] + [(300, 300), (None, 1)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {i: 200 for i in range(200, 261)}
 
 
 def test_lines(spark, odd):
@@ -121,6 +139,14 @@ def test_lines(spark, odd):
     got = rows(line_dedup.drop_boilerplate(df))
     assert {r["text"] for r in got} == {f"own {i}\n" for i in range(10)} and {r["n_dropped"] for r in got} == {2}
     assert len(rows(line_dedup.drop_boilerplate(odd))) == 12
+    # a host of two pages loses what both have, one of a single page nothing
+    few = spark.createDataFrame([page(1, "menu", "a"), page(2, "menu", "b"), (3, "menu\nc", None, "lone", None)], SCHEMA)
+    assert [r["text"] for r in sorted(rows(line_dedup.drop_boilerplate(few)), key=lambda r: r["doc_id"])] == ["a", "b", "menu\nc"]
+    clash = df.selectExpr("*", "1 as line_keys", "2 as host", "77 as n_dropped", "3 as kept", "4 as row", "5 as __host")
+    got = rows(line_dedup.stage(spark, clash, None))
+    assert {(r["line_keys"], r["host"], r["n_dropped"], r["kept"], r["row"], r["__host"]) for r in got} == {(1, 2, 77, 3, 4, 5)}
+    assert {r["n_dropped"] for r in rows(line_dedup.drop_boilerplate(clash))} == {2}
+    assert {(r["text"], r["n_chars"]) for r in got} == {(f"own {i}\n", 6) for i in range(10)}
     assert rows(line_dedup.op10(odd.limit(0))) == []
 
 
@@ -150,5 +176,34 @@ def test_packing(name, request):
     assert max(fill.values()) <= 1024 and len(fill) <= total / 1024 * 1.02 + 2
 
 
+def test_place_follows_the_sum_of_squares():
+    """Against brute force: every gap that has room is tried and the squared counts of all gaps are summed anew."""
+    import random
+
+    import numpy as np
+
+    rng, capacity = random.Random(8), 24
+    for case in range(60):
+        lengths = [rng.randint(1, rng.choice([6, 24])) for _ in range(50)]
+        if case % 2:
+            lengths.sort(reverse=True)
+        bins, offsets = packing.place(np.array(lengths), capacity)
+        gaps = []  # of every sequence so far
+        for s, b, at in zip(lengths, bins.tolist(), offsets.tolist()):
+            def squares(gap, s=s):
+                n = Counter(g for g in gaps if g)
+                n[gap] -= 1
+                n[gap - s] += gap > s
+                return sum(v * v for v in n.values())
+
+            room = sorted({g for g in gaps if g >= s})
+            want = min(room, key=lambda g: (squares(g), g)) if room else capacity
+            assert (b == len(gaps)) == (not room) and capacity - at == want
+            if not room:
+                gaps.append(capacity)
+            assert gaps[b] == want  # a tie of gap and squares goes to any sequence of that gap
+            gaps[b] -= s
+
+
 def test_packing_of_nothing(spark, odd):
     assert rows(packing.op3(odd.limit(0))) == []
