@@ -71,14 +71,26 @@ def _spanning(fps: np.ndarray, distance: int) -> np.ndarray:
     return root
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, cap: int = 1500) -> DataFrame:
+def blocks_for(n: int, distance: int = 4, filled: int = 4) -> int:
+    """The fewest blocks whose combinations have, for n spread fingerprints, buckets of filled ones or fewer on average.
+
+    More blocks make more bits of a fingerprint part of a bucket's key (21 with 6 blocks, 27 with 7, 32 with 8, at distance
+    4), but also more buckets for each fingerprint (15, 35, 70), so their number follows the counted fingerprints."""
+    blocks = distance + 2
+    while BITS // blocks * (blocks - distance) < np.log2(max(1, n / filled)) and blocks < 2 * distance + 4:
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, cap: int = 1500) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of nodes(fp, node) within distance bits.
 
     Any pair within distance bits agrees on at least blocks - distance of the blocks, so it meets under
-    one of the block combinations; each bucket emits a spanning star per group instead of its pairs.  A bucket
-    of over cap fingerprints is cut into chunks, and every two chunks meet in a task of their own, so no
-    task holds more than about 2 * cap and no pair is lost.
+    one of the block combinations; each bucket emits a spanning star per group instead of its pairs.  blocks follows
+    the number of nodes unless it is given.  A bucket of over cap fingerprints is cut into chunks, and every two
+    chunks meet in a task of their own, so no task holds more than about 2 * cap and no pair is lost.
     """
+    blocks = blocks or blocks_for(nodes.count(), distance)
     edges = np.linspace(0, BITS, blocks + 1).round().astype(int).tolist()
     parts = [
         F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])
@@ -92,9 +104,9 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, cap: int = 1500)
     rows = nodes.select("fp", "node", F.explode(keys).alias("key"))
     sizes = settle(rows.groupBy("key").count().where("count > 1"))
     hot = sizes.where(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("k"))
-    rows = rows.join(fit(sizes.select("key"), 16), "key", "left_semi")
+    rows = rows.join(fit(sizes.select("key")), "key", "left_semi")
     if not hot.isEmpty():
-        rows = rows.join(fit(hot, 24), "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        rows = rows.join(fit(hot), "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
         mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
         rows = rows.withColumn("mine", mine).select(
             "fp", "node", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
@@ -141,7 +153,7 @@ def near_duplicates(
     empty table gives an empty result.
     """
     fps = settle(fingerprints(docs, id_col, text_col, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("node"))
+    nodes = settle(fps.groupBy("fp").agg(F.min("id").alias("node")))
     groups = components(links(nodes.where("node is not null"), distance))
     named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return fps.join(named, "fp", "left")
@@ -163,7 +175,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     are texts shuffled for it)."""
     groups = settle(near_copies(docs))
     keep = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(fit(keep, 16), "doc_id", "left_semi")
+    named = docs.where("doc_id is not null").join(fit(keep), "doc_id", "left_semi")
     if not groups.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
