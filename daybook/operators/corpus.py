@@ -6,32 +6,63 @@ Transcripts with alternates form one corpus, descriptions the other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import COMPOUNDS, parts, with_stem, words
+from ..functions.text import COMPOUNDS, let, parts, with_stem, words
 
 WHERE = ["doc", "corpus", "field"]
 
 
+def _row(corpus: str, field: str, text: Column, *more: Column) -> Column:
+    return F.struct(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), text.alias("text"), *more)
+
+
+def _kept(rows: Column) -> Column:
+    return F.filter(rows, lambda x: (x["field"] == "transcript") | (F.coalesce(x["text"], F.lit("")) != ""))
+
+
 def fields(strips: DataFrame) -> DataFrame:
     """(doc, corpus, field, text): the transcript always, alternate and description only if they have text."""
-    row = lambda corpus, field, text: F.struct(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), text.alias("text"))
     every = F.array(
-        row("transcript", "transcript", F.coalesce("transcript", F.lit(""))),
-        row("transcript", "alternate", F.col("alternate")),
-        row("description", "description", F.col("description")),
+        _row("transcript", "transcript", F.coalesce("transcript", F.lit(""))),
+        _row("transcript", "alternate", F.col("alternate")),
+        _row("description", "description", F.col("description")),
     )
-    kept = F.filter(every, lambda x: (x["field"] == "transcript") | (F.coalesce(x["text"], F.lit("")) != ""))
-    return strips.select("doc", F.inline(kept))
+    return strips.select("doc", F.inline(_kept(every)))
+
+
+def tokenised(strips: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> DataFrame:
+    """(doc, corpus, field, text, parts, fresh): the fields with their words, split once; strips has one row a document.
+
+    fresh has each word once that no earlier field of the document has in this corpus, so document frequencies are plain
+    counts of fresh words."""
+    named = F.struct(*(parts(F.col(c), lexicon).alias(c) for c in ("transcript", "alternate", "description")))
 
+    def rows(p: Column) -> Column:
+        t, a, d = p["transcript"], p["alternate"], p["description"]
+        row = lambda corpus, field, text, own, fresh: _row(corpus, field, text, own.alias("parts"), fresh.alias("fresh"))
+        return F.array(
+            row("transcript", "transcript", F.coalesce("transcript", F.lit("")), t, F.array_distinct(t["word"])),
+            row("transcript", "alternate", F.col("alternate"), a, F.array_except(a["word"], t["word"])),
+            row("description", "description", F.col("description"), d, F.array_distinct(d["word"])),
+        )
 
-def postings(field_rows: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> DataFrame:
+    return strips.select("doc", F.inline(_kept(let(named, rows))))
+
+
+def postings(tokens: DataFrame) -> DataFrame:
     """(doc, corpus, field, pos, token, word): one row per word, compounds by their parts.  No shuffle."""
-    out = field_rows.select(*WHERE, F.posexplode(parts(F.col("text"), lexicon)).alias("pos", "part"))
+    out = tokens.select(*WHERE, F.posexplode("parts").alias("pos", "part"))
     return out.select(*WHERE, "pos", "part.token", "part.word")
 
 
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """(doc, corpus, field, word, n), dealt by doc, so that sums by document and anything else need no other shuffle."""
+    own = tokens.select(*WHERE, "parts").repartition("doc").select(*WHERE, F.explode("parts.word").alias("word"))
+    return own.groupBy(*WHERE, "word").agg(F.count("*").alias("n"))
+
+
 def spans(field_rows: DataFrame) -> DataFrame:
     """(doc, corpus, field, token, start, end): where each token stands in its text, counted in characters."""
     text = F.coalesce("text", F.lit(""))
@@ -43,22 +74,25 @@ def spans(field_rows: DataFrame) -> DataFrame:
     return one.select(*WHERE, "token", (end - F.col("n")).alias("start"), end.alias("end"))
 
 
-def vocabulary(posts: DataFrame, field_rows: DataFrame) -> DataFrame:
-    """(corpus, word, df, n_docs, idf, stem): df counts documents, whatever number of fields has the word."""
-    df = posts.select("corpus", "word", "doc").distinct().groupBy("corpus", "word").agg(F.count("*").alias("df"))
-    n = field_rows.groupBy("corpus").agg(F.count_distinct("doc").alias("n_docs"))
-    out = df.join(F.broadcast(n), "corpus")  # two rows
+def document_counts(tokens: DataFrame) -> DataFrame:
+    """(corpus, n_docs): every document has one transcript field, and one description field if it has a description."""
+    return tokens.groupBy("corpus").agg(F.count_if(F.col("field") != "alternate").alias("n_docs"))
+
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """(corpus, word, df, n_docs, idf, stem): df counts documents, whatever number of fields has the word; only counts shuffle."""
+    df = tokens.select("corpus", F.explode("fresh").alias("word")).groupBy("corpus", "word").agg(F.count("*").alias("df"))
+    out = df.join(F.broadcast(document_counts(tokens)), "corpus")  # two rows
     return with_stem(out.withColumn("idf", F.greatest(F.lit(0.0), F.log(F.col("n_docs") / F.col("df")))))
 
 
-def corpus_stats(field_rows: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> DataFrame:
+def corpus_stats(tokens: DataFrame) -> DataFrame:
     """(corpus, n_docs, avg_len): documents, and words per field; empty fields count in both."""
-    sized = field_rows.withColumn("n", F.size(parts(F.col("text"), lexicon)))
-    return sized.groupBy("corpus").agg(F.count_distinct("doc").alias("n_docs"), F.avg("n").alias("avg_len"))
+    return tokens.groupBy("corpus").agg(F.count_if(F.col("field") != "alternate").alias("n_docs"), F.avg(F.size("parts")).alias("avg_len"))
 
 
-def field_lengths(field_rows: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> DataFrame:
-    return field_rows.select(*WHERE, F.size(parts(F.col("text"), lexicon)).alias("len"))
+def field_lengths(tokens: DataFrame) -> DataFrame:
+    return tokens.select(*WHERE, F.size("parts").alias("len"))
 
 
 def inflection_families(vocab: DataFrame) -> DataFrame:
@@ -71,11 +105,12 @@ def combined_text(strips: DataFrame) -> DataFrame:
 
 
 def bigram_df(texts: DataFrame) -> DataFrame:
-    """(left, right, df) over texts(doc, text); pairs are built in the row, so only distinct pairs shuffle."""
-    w = words(F.col("text"))
-    pairs = F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("left"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("right"))
-    one = texts.select("doc", F.inline(F.array_distinct(pairs)))
-    return one.groupBy("left", "right").agg(F.count_distinct("doc").alias("df"))
+    """(left, right, df) over texts(doc, text), one row a document: pairs are made distinct in the row as one string (a word has no
+    space), so only counts shuffle."""
+    ahead = lambda w: F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), ahead(w), lambda a, b: F.concat(a, F.lit(" "), b)))
+    one = texts.select(F.explode(let(words(F.col("text")), pairs)).alias("pair")).groupBy("pair").agg(F.count("*").alias("df"))
+    return one.select(F.substring_index("pair", " ", 1).alias("left"), F.substring_index("pair", " ", -1).alias("right"), "df")
 
 
 def mine_compounds(texts: DataFrame, deny: list[str], least_part: int = 3, least_open: int = 2) -> DataFrame:

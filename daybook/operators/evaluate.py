@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, shingles, with_stem, words
-from ..params import Params
+from ..params import GRID, LEAST_GAIN, ROUNDING, Params
 
 
 def ranks(results: DataFrame, labelled: DataFrame, target: str = "date") -> DataFrame:
@@ -28,7 +28,6 @@ def evaluate(results: DataFrame, labelled: DataFrame, by: tuple[str, ...] = ())
     asked = labelled.where("date is not null")
     row = ranks(results, asked).join(asked.select("query_id", *by), "query_id")
     total = F.greatest(F.count("*"), F.lit(1))
-    sorted_n = F.array_sort(F.collect_list("n"))
     return row.groupBy(*by).agg(
         F.count("*").alias("queries"),
         (F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)) / total).alias("mrr"),
@@ -36,7 +35,7 @@ def evaluate(results: DataFrame, labelled: DataFrame, by: tuple[str, ...] = ())
         (F.count_if(F.col("rank") <= 10) / total).alias("recall_at_10"),
         (F.count_if(F.col("n") == 0) / total).alias("zero_rate"),
         (F.coalesce(F.sum("n"), F.lit(0)) / total).alias("mean_results"),
-        F.coalesce(F.get(sorted_n, F.floor(F.count("*") / 2).cast("int")), F.lit(0)).alias("median_results"),
+        F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").cast("long"), F.lit(0)).alias("median_results"),
     )
 
 
@@ -204,12 +203,17 @@ def subsample(labelled: DataFrame, size: int, seed: int) -> DataFrame:
     totals = labelled.agg(F.count("*").alias("_all"))
     row = labelled.crossJoin(F.broadcast(totals)).withColumn("_n", F.count("*").over(every))
     share = F.when(F.col("_all") <= size, F.col("_n")).otherwise(F.greatest(F.lit(1), F.round(F.col("_n") / F.col("_all") * size)))
-    pick = F.row_number().over(every.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id"))
+    pick = F.row_number().over(every.orderBy(shuffled("query_id", seed), "query_id"))
     return row.withColumn("_r", pick).where(F.col("_r") <= share).drop("_all", "_n", "_r")
 
 
+def shuffled(key: str, seed: int) -> Column:
+    """An order that follows the key and the seed alone."""
+    return F.md5(F.concat_ws(":", F.lit(seed), key))
+
+
 def sample_docs(df: DataFrame, n: int, seed: int, key: str = "doc") -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(shuffled(key, seed), key).limit(n)
 
 
 def golden_as_labels(golden: DataFrame, label: str) -> DataFrame:
@@ -243,45 +247,91 @@ def bloat(counts: DataFrame, baseline: DataFrame, share: float = 1.5) -> DataFra
     return a.crossJoin(F.broadcast(b)).where((F.col("before") > 0) & (F.col("after") > share * F.col("before")))
 
 
-def corrections(results: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Results(query_id, doc) whose text has no query word as written, extended or inflected."""
-    asked = with_stem(query_words(queries), "word", "stem").select("query_id", F.col("word").alias("term"), "stem")
-    said = results.join(texts, "doc").select("query_id", "doc", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    met = with_stem(said).withColumnRenamed("stem", "word_stem").join(asked, "query_id")
-    ok = met.where(F.col("word").startswith(F.col("term")) | (F.col("word_stem") == F.col("stem"))).select("query_id", "doc").distinct()
-    return results.select("query_id", "doc").join(ok, ["query_id", "doc"], "left_anti")
+def corrections(results: DataFrame, doc_words: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results(query_id, doc) whose document(doc, word) has no query word as written, extended or inflected.
+
+    Query words meet the vocabulary once, and documents meet the words so found: equi joins all along."""
+    from .search import expand_inflection, expand_prefix
+
+    asked = query_words(queries).withColumnRenamed("word", "term")
+    vocab = with_stem(doc_words.select(F.lit("all").alias("corpus"), "word").distinct())
+    literal = expand_prefix(asked, vocab).unionByName(expand_inflection(asked, vocab, {"all": 1.0})).select("term", "word").distinct()
+    said = asked.join(literal, "term").join(doc_words.select("doc", "word"), "word").select("query_id", "doc").distinct()
+    return results.select("query_id", "doc").join(said, ["query_id", "doc"], "left_anti")
+
+
+def reciprocal_ranks(results: DataFrame, labelled: DataFrame, n_settings: int) -> DataFrame:
+    """(setting, recited, described, combined): mean reciprocal ranks of results(setting, query_id, date, position) for labels of the
+    recited classes (A, C), the described ones (B, C), and their mean; all settings in one aggregation."""
+    asked = labelled.where("date is not null").select("query_id", "date", "class")
+    every = asked.select("query_id", "class", F.explode(F.array(*map(F.lit, range(n_settings)))).alias("setting"))
+    hit = results.join(asked, ["query_id", "date"]).groupBy("setting", "query_id").agg((1 / F.min("position")).alias("rr"))
+    mean = lambda *c: F.coalesce(F.avg(F.when(F.col("class").isin(*c), F.coalesce("rr", F.lit(0.0)))), F.lit(0.0))
+    out = every.join(hit, ["setting", "query_id"], "left").groupBy("setting").agg(mean("A", "C").alias("recited"), mean("B", "C").alias("described"))
+    return out.withColumn("combined", (F.col("recited") + F.col("described")) / 2)
+
+
+def accept(gain, change, blocked):
+    """Whether a trial is worth a move, on columns and on numbers: it gains enough on its own objective, the combined score does
+    not fall, and no constraint objects."""
+    return (gain > LEAST_GAIN) & (change >= -ROUNDING) & (blocked == False)  # noqa: E712
+
 
+def accepted(trials: DataFrame) -> DataFrame:
+    """The accepted rows of trials(gain, change, blocked)."""
+    return trials.where(accept(F.col("gain"), F.col("change"), F.col("blocked")))
 
-def sweep(score: Callable[[Params], float], start: Params, grid: dict[str, list[float]], gain: float = 0.005, allowed: Callable[[Params], bool] | None = None, passes: int = 2):
-    """Coordinate search: each knob in turn takes the value with the best score if it gains enough and allowed does not object.
 
-    score runs one distributed search and evaluation; the loop is over the settings only.  Returns (best, its score, log rows)."""
-    best, value, log = start, score(start), []
+Scores = Callable[[list[Params]], list[dict[str, float]]]
+
+
+def remembered(score: Scores) -> Scores:
+    """score that asks for each setting once: a second pass without a move costs nothing."""
+    known: dict[Params, dict[str, float]] = {}
+
+    def ask(trials: list[Params]) -> list[dict[str, float]]:
+        new = [p for p in dict.fromkeys(trials) if p not in known]
+        known.update(zip(new, score(new), strict=True)) if new else None
+        return [known[p] for p in trials]
+
+    return ask
+
+
+def sweep(score: Scores, start: Params, grid: dict[str, tuple[str, tuple[float, ...]]] = GRID, allowed: Callable[[Params], bool] | None = None, passes: int = 2):
+    """Coordinate search: each knob in turn takes the value that accept() likes best, judged by the knob's objective.
+
+    score searches and evaluates many settings in one distributed job and gives recited, described and combined of each; the
+    loop is over the knobs only.  allowed is asked only about a value that would win.  Returns (best, its scores, log rows of
+    turn, knob, value, objective, gain, change of the combined score, blocked)."""
+    score = remembered(score)
+    best, value, log = start, score([start])[0], []
     for turn in range(1, passes + 1):
-        for knob, values in grid.items():
+        for knob, (objective, values) in grid.items():
             chosen, top = best, value
-            for v in values:
-                if v == getattr(best, knob):
-                    continue
-                trial = best.but(**{knob: v})
-                got = score(trial)
-                wins = got - top > gain
-                blocked = wins and allowed is not None and not allowed(trial)
-                log.append((turn, knob, float(v), got - top, bool(blocked)))
-                if wins and not blocked:
+            trials = [best.but(**{knob: float(v)}) for v in values if v != getattr(best, knob)]
+            for trial, got in zip(trials, score(trials), strict=True):
+                gain, change = got[objective] - top[objective], got["combined"] - value["combined"]
+                wins = accept(gain, change, False)
+                blocked = bool(wins and allowed is not None and not allowed(trial))
+                log.append((turn, knob, float(getattr(trial, knob)), objective, gain, change, blocked))
+                if accept(gain, change, blocked):
                     chosen, top = trial, got
             best, value = chosen, top
     return best, value, log
 
 
-def confirm(start: Params, best: Params, score: Callable[[Params], float], grid: dict[str, list[float]]) -> list[tuple[str, float, float, bool, bool]]:
-    """(knob, from, to, kept, at_edge) of each move: a move is kept if undoing it on the full set does not score higher."""
-    whole, out = score(best), []
-    for knob, values in grid.items():
-        a, b = getattr(start, knob), getattr(best, knob)
-        if a != b:
-            out.append((knob, a, b, score(best.but(**{knob: a})) <= whole, b in (min(values), max(values))))
-    return out
+LOG = "turn int, knob string, value double, objective string, gain double, change double, blocked boolean"
+
+
+def confirm(start: Params, best: Params, score: Scores, grid: dict[str, tuple[str, tuple[float, ...]]] = GRID) -> list[tuple[str, float, float, bool, bool]]:
+    """(knob, from, to, kept, at_edge) of each move: a move is kept if undoing it on the full set does not score higher by its
+    objective.  All moves are undone in one job."""
+    moved = [k for k in grid if getattr(start, k) != getattr(best, k)]
+    whole, *undone = score([best, *(best.but(**{k: getattr(start, k)}) for k in moved)])
+    return [
+        (k, getattr(start, k), getattr(best, k), got[grid[k][0]] <= whole[grid[k][0]], getattr(best, k) in (min(grid[k][1]), max(grid[k][1])))
+        for k, got in zip(moved, undone, strict=True)
+    ]
 
 
 def check_guards(monotone: DataFrame, probes: DataFrame, admitted: DataFrame) -> DataFrame:

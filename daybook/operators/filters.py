@@ -74,9 +74,15 @@ def candidate_match(date: Column, c: Column) -> Column:
 def match_dates(calendar: DataFrame, expressions: DataFrame, key: str) -> DataFrame:
     """(key, date) of the calendar's days that any candidate of expressions(key, candidates) names.
 
-    The disjunction is decided on the calendar, whose size is the span's; documents then join by date."""
+    A candidate is spelt by the parts that it has, and a day by every choice of its parts, so they meet by equality; documents
+    then join by date."""
+    spell = lambda *parts: F.concat_ws("/", *(F.coalesce(x.cast("string"), F.lit("*")) for x in parts))
+    c, d, none = F.col("c"), F.col("date"), F.lit(None).cast("int")
+    own = (F.year(d), F.month(d), F.dayofmonth(d), weekday(d))
+    ways = F.array(*(spell(*(x if way >> i & 1 else none for i, x in enumerate(own))) for way in range(16)))
     each = expressions.select(key, F.explode("candidates").alias("c"))
-    return calendar.select("date").join(each, candidate_match(F.col("date"), F.col("c"))).select(key, "date").distinct()
+    each = each.select(key, spell(c["year"], c["month"], c["day"], c["weekday"]).alias("spelt")).distinct()
+    return calendar.select("date", F.explode(ways).alias("spelt")).join(each, "spelt").select(key, "date").distinct()
 
 
 def filter_windows(df: DataFrame, calendar: DataFrame, expressions: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ def _chronology() -> list[Column]:
     return [F.col("date"), F.coalesce("id", F.lit(""))]
 
 
-def ranked(df: DataFrame, by: str = "query_id") -> DataFrame:
+def ranked(df: DataFrame, by: str | tuple[str, ...] = "query_id") -> DataFrame:
     """Adds position: score down, then date, then id, within each query."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *_chronology())))
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc("score"), *_chronology())))
 
 
 def order_by_rank(df: DataFrame) -> DataFrame:

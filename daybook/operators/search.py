@@ -1,4 +1,6 @@
-"""Ranked search of a whole table of queries against a corpus of strips."""
+"""Ranked search of a whole table of queries against a corpus of strips.
+
+Tables that depend on the parameters carry a column setting, so one search serves many settings (params.Settings)."""
 
 from __future__ import annotations
 
@@ -7,36 +9,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import COMPOUNDS, parts, with_stem
-from ..params import DEFAULT, Params
+from ..functions.text import COMPOUNDS, let, parts, with_stem
+from ..params import DEFAULT, Params, Settings, settings
+from ..tables import fit, settle
 from . import corpus as C
 
-FIELD = ["query_id", "corpus", "doc", "field"]
+FIELD = ["setting", "query_id", "corpus", "doc", "field"]
+ROUTES = ("prefix", "fuzzy", "stem")
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Derived tables of one corpus; make them once, write or cache them, and search many times."""
+    """Written tables of one corpus: make them once and search many times."""
 
     strips: DataFrame
-    fields: DataFrame
-    postings: DataFrame
+    tokens: DataFrame
     vocab: DataFrame
     stats: DataFrame
-    lengths: DataFrame
 
 
 def build(strips: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> Corpus:
-    """The vocabulary and the statistics are kept on disk, as every stage of a search asks for them again."""
-    rows = C.fields(strips)
-    posts = C.postings(rows, lexicon)
-    vocab = C.vocabulary(posts, rows).persist(StorageLevel.DISK_ONLY)
-    stats = C.corpus_stats(rows, lexicon).persist(StorageLevel.DISK_ONLY)
-    return Corpus(strips, rows, posts, vocab, stats, C.field_lengths(rows, lexicon))
+    """Texts are split into words once; the vocabulary and the statistics are read from that table."""
+    tokens = settle(C.tokenised(strips, lexicon))
+    return Corpus(strips, tokens, settle(C.vocabulary(tokens)), settle(C.corpus_stats(tokens)))
 
 
 def query_terms(queries: DataFrame, lexicon: dict[str, list[str]] | None = COMPOUNDS) -> DataFrame:
@@ -54,57 +52,78 @@ def query_terms(queries: DataFrame, lexicon: dict[str, list[str]] | None = COMPO
     return first.select("query_id", "seq", "term", number.alias("term_no"), (F.col("opens") & (F.col("seq") > 0)).alias("breaks"))
 
 
+def _with_lengths(vocab: DataFrame, terms: DataFrame) -> DataFrame:
+    """vocab with the lengths that terms have, one array in one row, whatever the number of terms."""
+    return vocab.crossJoin(F.broadcast(terms.agg(F.collect_set(F.length("term")).alias("lengths"))))
+
+
 def expand_prefix(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(corpus, term, word, weight, route): the term itself at 1, longer words that start with it at 0.85.
 
-    Each word meets terms through its own prefixes, an equi join."""
-    cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), F.lit(1), i))
-    pre = vocab.select("corpus", "word", F.explode(cut).alias("term"))
-    met = pre.join(terms.select("term").distinct(), "term")
+    Each word meets terms through its own prefixes of the lengths that terms have, an equi join."""
+    asked = terms.select("term").distinct()
+    cut = F.transform(F.filter("lengths", lambda n: n <= F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    pre = _with_lengths(vocab.select("corpus", "word"), asked).select("corpus", "word", F.explode(cut).alias("term"))
+    met = pre.join(asked, "term")
     same = F.col("term") == F.col("word")
     return met.select("corpus", "term", "word", F.when(same, 1.0).otherwise(0.85).alias("weight"), F.when(same, "exact").otherwise("prefix").alias("route"))
 
 
 def _deletions(col: str, most: Column) -> Column:
-    """The word and what is left of it after one or two deletions."""
-    drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    one = drop(F.col(col))
-    two = F.flatten(F.transform(F.filter(one, lambda w: F.length(w) > 0), drop))
-    return F.array_distinct(F.when(most >= 2, F.concat(F.array(col), one, two)).when(most == 1, F.concat(F.array(col), one)).otherwise(F.array().cast("array<string>")))
+    """The word and what is left of it after one or two deletions, the second one behind the first."""
+    without = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+    drop = lambda w, least: F.when(F.length(w) >= least, F.transform(F.sequence(least, F.length(w)), lambda i: without(w, i))).otherwise(F.array().cast("array<string>"))
+    both = lambda one: F.concat(F.array(col), one, F.flatten(F.transform(one, lambda w, i: drop(w, i + 1))))
+    one = drop(F.col(col), F.lit(1))
+    return F.array_distinct(F.when(most >= 2, let(one, both)).when(most == 1, F.concat(F.array(col), one)).otherwise(F.array().cast("array<string>")))
+
+
+def _swapped(x: Column, y: Column) -> Column:
+    """Whether x and y differ by one swap of neighbouring letters and nothing else."""
+    letters = lambda w: F.split(w, "")
+    at = F.array_position(F.zip_with(letters(x), letters(y), lambda p, q: p != q), True).cast("int")
+    tail = lambda w, i: F.substring(w, i, F.length(w))
+    pair = lambda w: F.substring(w, at, F.lit(2))
+    same = (F.length(x) == F.length(y)) & (at > 0)
+    return F.coalesce(same & (pair(x) == F.reverse(pair(y))) & (F.length(pair(x)) == 2) & (tail(x, at + 2) == tail(y, at + 2)), F.lit(False))
+
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """0, 1 or 2 edits between a and b, 3 for more; a swap of neighbours is one edit, and no letter is edited twice.
 
-def _distance(a: str, b: str) -> int:
-    """Edits with neighbouring letters swapped as one."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
+    Two edits with a swap among them: behind the letters that both begin with, the first edit is the swap, or it
+    replaces, drops or adds a letter and the rest is a swap."""
 
+    def beyond(x: Column, y: Column) -> Column:
+        tail = lambda w, i: F.substring(w, F.lit(i), F.length(w))
+        head = (F.length(x) > 1) & (F.length(y) > 1) & (F.left(x, F.lit(2)) == F.reverse(F.left(y, F.lit(2))))
+        rest = (F.levenshtein(tail(x, 3), tail(y, 3), 1) >= 0) | _swapped(tail(x, 3), tail(y, 3))
+        return (head & rest) | _swapped(tail(x, 2), tail(y, 2)) | _swapped(tail(x, 2), y) | _swapped(x, tail(y, 2))
 
-def edit_distance(a: str, b: str) -> Column:
-    def each(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_distance(p, q) for p, q in zip(x, y, strict=True)])
+    def behind(pair: Column) -> Column:
+        letters = lambda w: F.split(w, "")
+        at = F.array_position(F.zip_with(letters(pair["a"]), letters(pair["b"]), lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
+        cut = lambda w: F.substring(w, at, F.length(w))
+        return let(F.struct(cut(pair["a"]).alias("x"), cut(pair["b"]).alias("y")), lambda s: beyond(s["x"], s["y"]))
 
-    return F.pandas_udf(each, "int")(a, b)
+    near = F.levenshtein(a, b, 2)
+    two = (near == 2) | let(F.struct(a.alias("a"), b.alias("b")), behind)
+    return F.when(near.isin(0, 1), near).when(_swapped(a, b), 1).when(two, 2).otherwise(3)
 
 
 def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """Words within 1 edit of terms of 4 to 7 letters (0.7), 2 of longer ones (0.55), none of shorter.
 
-    Term and word meet on a shared deletion, then the distance decides."""
+    Term and word meet on a shared deletion, then the distance decides.  Words of a length that no term comes near leave first."""
     allowed = F.when(F.length("term") <= 3, 0).when(F.length("term") <= 7, 1).otherwise(2)
     asked = terms.select("term").distinct().withColumn("most", allowed).where("most > 0")
-    asked = asked.select("term", "most", F.explode(_deletions("term", F.col("most"))).alias("key"))
     reach = F.when(F.length("word") >= 6, 2).when(F.length("word") >= 3, 1).otherwise(0)
-    known = vocab.select("word").distinct().select("word", F.explode(_deletions("word", reach)).alias("key"))
+    known = _with_lengths(vocab.select("word").distinct(), asked)
+    known = known.where(F.exists("lengths", lambda n: F.abs(n - F.length("word")) <= 2)).select("word", F.explode(_deletions("word", reach)).alias("key"))
+    asked = asked.select("term", "most", F.explode(_deletions("term", F.col("most"))).alias("key"))
     met = known.join(asked, "key").where("word <> term and abs(length(word) - length(term)) <= most")
-    met = met.select("term", "word", "most").distinct().withColumn("d", edit_distance("word", "term")).where("d <= most")
+    met = met.select("term", "word", "most").distinct().where("levenshtein(word, term) <= 2 * most")  # a swap is two edits there
+    met = met.withColumn("d", edit_distance(F.col("word"), F.col("term"))).where("d <= most")
     weight = F.when(F.col("d") == 1, 0.7).otherwise(0.55)
     return met.join(vocab.select("corpus", "word"), "word").select("corpus", "term", "word", weight.alias("weight"), F.lit("fuzzy").alias("route"))
 
@@ -117,110 +136,123 @@ def expand_inflection(terms: DataFrame, vocab: DataFrame, weights: dict[str, flo
     return met.select("corpus", "term", "word", "weight", F.lit("stem").alias("route"))
 
 
-def expand(terms: DataFrame, vocab: DataFrame, p: Params = DEFAULT, routes: tuple[str, ...] = ("prefix", "fuzzy", "stem")) -> DataFrame:
-    """(corpus, term, word, weight, literal, contribution, idf): one row per pair.  Distinct terms of the whole query
-    table are expanded once.  An edit route counts only without an exact or prefix one; a stem lifts the weight."""
+def reached(terms: DataFrame, vocab: DataFrame, routes: tuple[str, ...] = ROUTES) -> DataFrame:
+    """(corpus, term, word, w, f, s, idf): what each route says of a pair, before any parameter: the weight by an exact or
+    prefix match, by edits, and whether the stems agree.  Distinct terms of the whole query table are expanded once."""
     rows = expand_prefix(terms, vocab)
-    if "fuzzy" in routes:
-        rows = rows.unionByName(expand_fuzzy(terms, vocab))
-    if "stem" in routes:
-        rows = rows.unionByName(
-            expand_inflection(terms, vocab, {"transcript": p.transcript_inflection_weight, "description": p.description_inflection_weight})
-        )
+    rows = rows.unionByName(expand_fuzzy(terms, vocab)) if "fuzzy" in routes else rows
+    rows = rows.unionByName(expand_inflection(terms, vocab, {"transcript": 1.0, "description": 1.0})) if "stem" in routes else rows
     of = lambda *names: F.max(F.when(F.col("route").isin(*names), F.col("weight")))
     one = rows.groupBy("corpus", "term", "word").agg(of("exact", "prefix").alias("w"), of("fuzzy").alias("f"), of("stem").alias("s"))
+    return one.join(vocab.select("corpus", "word", "idf"), ["corpus", "word"])
+
+
+def expand(pairs: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, corpus, term, word, weight, literal, contribution, idf) of reached pairs: an edit route counts only without an
+    exact or prefix one; a stem lifts the weight to the corpus's, where that is over 0."""
+    p = settings(p)
+    stem = p.by_corpus("inflection_weight")
+    one = p.spread(pairs).withColumn("s", F.when((stem > 0) & F.col("s").isNotNull(), stem)).where("w is not null or f is not null or s is not null")
     weight = F.greatest(F.coalesce("w", "f", F.lit(0.0)), F.coalesce("s", F.lit(0.0)))
-    one = one.select("corpus", "term", "word", weight.alias("weight"), (F.col("w").isNotNull() | F.col("s").isNotNull()).alias("literal"))
-    one = one.join(vocab.select("corpus", "word", "idf"), ["corpus", "word"])
-    return one.withColumn("contribution", F.col("weight") * F.pow("idf", F.lit(p.rarity_exponent)))
+    literal = F.col("w").isNotNull() | F.col("s").isNotNull()
+    one = one.select("setting", "corpus", "term", "word", weight.alias("weight"), literal.alias("literal"), "idf")
+    return one.withColumn("contribution", F.col("weight") * F.pow("idf", p.of("rarity_exponent")))
 
 
-def anchors(expansion: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(corpus, term, rarity, ceiling, present, suppressed) per expanded term: its own idf and contribution if it is a word, else
-    those of its largest contribution (ties: the first word).  Description terms below the floor are suppressed."""
+def anchors(expansion: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, corpus, term, rarity, ceiling, suppressed) per expanded term: its own idf and contribution if it is a word, else
+    those of its largest contribution.  Description terms below the floor are suppressed."""
     own = F.col("term") == F.col("word")
-    best = F.max_by("idf", F.struct("contribution", F.struct(-F.xxhash64("word"))))
-    one = expansion.groupBy("corpus", "term").agg(
+    best = F.max_by("idf", F.struct("contribution", "idf"))
+    one = expansion.groupBy("setting", "corpus", "term").agg(
         F.max(F.when(own, F.col("idf"))).alias("i"), F.max(F.when(own, F.col("contribution"))).alias("c"),
         F.max("contribution").alias("top"), best.alias("bi"),
     )
     rarity = F.coalesce("i", F.when(F.col("top") > 0, F.col("bi")).otherwise(0.0))
-    one = one.select("corpus", "term", rarity.alias("rarity"), F.coalesce("c", "top").alias("ceiling"), F.lit(True).alias("present"))
-    floor = (F.col("corpus") == "description") & (F.col("rarity") < p.description_idf_floor)
+    one = one.select("setting", "corpus", "term", rarity.alias("rarity"), F.coalesce("c", "top").alias("ceiling"))
+    floor = (F.col("corpus") == "description") & (F.col("rarity") < settings(p).of("description_idf_floor"))
     return one.withColumn("suppressed", floor).withColumn("ceiling", F.when(floor, 0.0).otherwise(F.col("ceiling")))
 
 
-def denominators(terms: DataFrame, anchor: DataFrame, stats: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(query_id, corpus, term, term_no, ceiling, rarity): a term absent here but present in the other corpus counts as the rarest."""
-    both = terms.select("query_id", "term", "term_no").distinct()
-    wide = anchor.groupBy("term").agg(
+def denominators(terms: DataFrame, anchor: DataFrame, stats: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, query_id, corpus, term, term_no, ceiling, rarity): a term absent here but present in the other corpus counts as the rarest."""
+    p = settings(p)
+    both = p.spread(terms.select("query_id", "term", "term_no").distinct())
+    wide = anchor.groupBy("setting", "term").agg(
         *(
             F.max(F.when(F.col("corpus") == c, F.col(v))).alias(f"{c}_{v}")
             for c in ("transcript", "description")
             for v in ("ceiling", "rarity")
         )
     )
-    both = both.join(wide, "term", "left")
-    n = stats.select("corpus", F.pow(F.greatest(F.lit(0.0), F.log("n_docs")), F.lit(p.rarity_exponent)).alias("absent"))
-    out = both.crossJoin(F.broadcast(n))  # two rows
+    both = both.join(wide, ["setting", "term"], "left")
+    out = both.crossJoin(F.broadcast(stats.select("corpus", "n_docs")))  # two rows
     here = F.when(F.col("corpus") == "transcript", F.col("transcript_ceiling")).otherwise(F.col("description_ceiling"))
     there = F.when(F.col("corpus") == "transcript", F.col("description_ceiling")).otherwise(F.col("transcript_ceiling"))
     rarity = F.when(F.col("corpus") == "transcript", F.col("transcript_rarity")).otherwise(F.col("description_rarity"))
-    ceiling = F.when(here.isNotNull(), here).when(there.isNotNull(), F.col("absent")).otherwise(0.0)
-    return out.select("query_id", "corpus", "term", "term_no", ceiling.alias("ceiling"), F.coalesce(rarity, F.lit(0.0)).alias("rarity"))
+    absent = F.pow(F.greatest(F.lit(0.0), F.log("n_docs")), p.of("rarity_exponent"))
+    ceiling = F.when(here.isNotNull(), here).when(there.isNotNull(), absent).otherwise(0.0)
+    return out.select("setting", "query_id", "corpus", "term", "term_no", ceiling.alias("ceiling"), F.coalesce(rarity, F.lit(0.0)).alias("rarity"))
 
 
-def thresholds(denoms: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(query_id, corpus, total, live, effective, required): the coverage that a field has to reach."""
-    one = denoms.groupBy("query_id", "corpus").agg(
+def thresholds(denoms: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, query_id, corpus, total, live, effective, required): the coverage that a field has to reach."""
+    p = settings(p)
+    one = denoms.groupBy("setting", "query_id", "corpus").agg(
         F.sum("ceiling").alias("total"), F.count_if(F.col("ceiling") > 0).alias("live"), F.max("ceiling").alias("top")
     )
     one = one.withColumn("effective", F.when(F.col("top") > 0, F.col("total") / F.col("top")).otherwise(0.0)).drop("top")
-    told = lambda t, d: F.when(F.col("corpus") == "transcript", F.lit(t)).otherwise(F.lit(d))
-    floor = told(p.transcript_coverage_floor, p.description_coverage_floor)
-    give = told(p.transcript_length_forgiveness, p.description_length_forgiveness)
+    floor, give = p.by_corpus("coverage_floor"), p.by_corpus("length_forgiveness")
     required = F.when(F.col("effective") == 0, 0.0).otherwise(floor + (1 - floor) / F.pow("effective", give))
     return one.withColumn("required", required)
 
 
-def hits(postings: DataFrame, expansion: DataFrame, anchor: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus, doc, field, pos, token, term_no, weight, contribution, literal) for every word that a term reaches.
+def unsuppressed(expansion: DataFrame, anchor: DataFrame) -> DataFrame:
+    """The expansion without suppressed terms, which is also what keeps very common words from the joins."""
+    return expansion.join(anchor.where("not suppressed").select("setting", "corpus", "term"), ["setting", "corpus", "term"], "left_semi")
 
-    Suppressed terms are left out before the join, which is also what keeps very common words from it."""
-    live = expansion.join(anchor.where("not suppressed").select("corpus", "term"), ["corpus", "term"], "left_semi")
-    asked = terms.select("query_id", "term", "term_no").distinct().join(live, "term")
-    return postings.join(asked, ["corpus", "word"]).select(*FIELD, "pos", "token", "term_no", "weight", "contribution", "literal")
 
+def hits(tokens: DataFrame, live: DataFrame, terms: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """(setting, query_id, corpus, doc, field, pos, token, term_no, weight, contribution, literal) for every word that a term
+    reaches, in all fields or in those of gated only, whose words meet no other query's terms."""
+    asked = fit(terms.select("query_id", "term", "term_no").distinct().join(live, "term"), 160)
+    out = [*FIELD, "pos", "token", "term_no", "weight", "contribution", "literal"]
+    if gated is None:
+        return C.postings(tokens).join(asked, ["corpus", "word"]).select(*out)
+    own = tokens.join(fit(gated.select(*FIELD), 160), ["corpus", "doc", "field"])
+    own = own.select(*FIELD, F.posexplode("parts").alias("pos", "p")).select(*FIELD, "pos", "p.token", "p.word")
+    return own.join(asked, ["setting", "query_id", "corpus", "word"]).select(*out)
 
-def summarise(hit: DataFrame, denoms: DataFrame, limits: DataFrame, p: Params = DEFAULT) -> DataFrame:
+
+def summarise(counts: DataFrame, live: DataFrame, denoms: DataFrame, limits: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
     """Per query and field: base, achieved, matched, coverage, literal_share and the limits.
 
-    Two sums: per contribution (one word of one term), then per term; both combine before they shuffle."""
-    word = hit.groupBy(*FIELD, "term_no", "contribution").agg(F.count("*").alias("n"), F.max("literal").alias("literal"))
-    term = word.groupBy(*FIELD, "term_no").agg(
-        F.sum("n").alias("n"), F.max("n").alias("most"), F.max("contribution").alias("best"), F.max("literal").alias("literal")
-    )
-    term = term.join(denoms.select("query_id", "corpus", "term_no", "ceiling"), ["query_id", "corpus", "term_no"])
-    repeat = F.when(F.col("corpus") == "transcript", F.lit(p.transcript_repeat_weight)).otherwise(F.lit(p.description_repeat_weight))
-    times = F.col("most") + p.repeat_variety * (F.col("n") - F.col("most"))
+    counts has the words of each field (corpus.word_counts, dealt by document).  What a field holds of a term does not
+    depend on the query, so it is summed once for all queries that have the term, per contribution (one word of one term), then
+    per term, then per query.  Every key holds the document, so the sums need no shuffle but that of counts."""
+    p = settings(p)
+    where = ["setting", *C.WHERE]
+    word = counts.join(fit(live.select("setting", "corpus", "word", "term", "contribution", "literal"), 160), ["corpus", "word"]).groupBy(*where, "term", "contribution").agg(F.sum("n").alias("n"), F.max("literal").alias("literal"))
+    term = word.groupBy(*where, "term").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("contribution").alias("best"), F.max("literal").alias("literal"))
+    term = term.join(fit(denoms.select("setting", "query_id", "corpus", "term", "ceiling"), 160), ["setting", "corpus", "term"])
+    times = F.col("most") + p.of("repeat_variety") * (F.col("n") - F.col("most"))
     got = F.least("best", "ceiling")
     field = term.groupBy(*FIELD).agg(
-        F.sum(got * (1 + repeat * F.log2(times))).alias("base"), F.sum(got).alias("achieved"), F.count("*").alias("matched"),
+        F.sum(got * (1 + p.by_corpus("repeat_weight") * F.log2(times))).alias("base"), F.sum(got).alias("achieved"), F.count("*").alias("matched"),
         F.count_if(F.col("literal") & (F.col("ceiling") > 0)).alias("literal_terms"),
     )
-    field = field.join(limits, ["query_id", "corpus"])
+    field = field.join(fit(limits, 160), ["setting", "query_id", "corpus"])
     share = F.when(F.col("live") > 1, F.col("literal_terms") / F.col("live")).otherwise(1.0)
     coverage = F.when(F.col("total") > 0, F.col("achieved") / F.col("total")).otherwise(0.0)
     return field.withColumn("coverage", coverage).withColumn("literal_share", share)
 
 
-def gate(summary: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def gate(summary: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
     """Fields that pass: enough coverage and literal terms, and for descriptions enough rarity per matched term."""
-    passed = (F.col("total") > 0) & (F.col("coverage") >= F.col("required"))
-    mass = F.col("achieved") / F.pow(F.greatest(F.lit(1), "matched"), F.lit(p.description_mass_normalization))
-    spoken = (F.col("corpus") == "transcript") & (F.col("literal_share") >= p.transcript_literal_share)
-    told = (F.col("corpus") == "description") & (F.col("literal_share") >= p.description_literal_share) & (mass >= p.description_min_mass)
-    return summary.where(passed & (spoken | told))
+    p = settings(p)
+    passed = (F.col("total") > 0) & (F.col("coverage") >= F.col("required")) & (F.col("literal_share") >= p.by_corpus("literal_share"))
+    mass = F.col("achieved") / F.pow(F.greatest(F.lit(1), "matched"), p.of("description_mass_normalization"))
+    return summary.where(passed & ((F.col("corpus") == "transcript") | (mass >= p.of("description_min_mass"))))
 
 
 def subsequence(order: list[int], breaks: list[bool], terms: np.ndarray, positions: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -239,11 +271,10 @@ def subsequence(order: list[int], breaks: list[bool], terms: np.ndarray, positio
     return float(best[-1]), run
 
 
-def ordered_subsequence(hit: DataFrame, gated: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus, doc, field, lcs, run, n_seq) of gated fields only: one row of hits per field, in Arrow batches."""
+def ordered_subsequence(hit: DataFrame, terms: DataFrame) -> DataFrame:
+    """(setting, query_id, corpus, doc, field, lcs, run, n_seq) of hits in gated fields: one row of hits per field, in Arrow batches."""
     line = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", "term_no", "breaks"))).alias("q"))
-    own = hit.join(gated.select(*FIELD), FIELD, "left_semi")
-    own = own.groupBy(*FIELD).agg(F.array_sort(F.collect_list(F.struct("pos", "term_no", "weight"))).alias("h")).join(line, "query_id")
+    own = hit.groupBy(*FIELD).agg(F.array_sort(F.collect_list(F.struct("pos", "term_no", "weight"))).alias("h")).join(fit(line, 1000), "query_id")
     flat = own.select(*FIELD, F.col("q.term_no").alias("o"), F.col("q.breaks").alias("b"), F.col("h.term_no").alias("t"), F.col("h.pos").alias("p"), F.col("h.weight").alias("w"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +290,7 @@ def ordered_subsequence(hit: DataFrame, gated: DataFrame, terms: DataFrame) -> D
 
 
 def runs(hit: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus, doc, field, run) by windows: islands of steps by one in query, hit list and position."""
+    """(setting, query_id, corpus, doc, field, run) by windows: islands of steps by one in query, hit list and position."""
     own = Window.partitionBy(*FIELD).orderBy("pos", "term_no")
     col = hit.withColumn("col", F.row_number().over(own)).withColumn("before", F.lag("pos").over(own))
     pair = col.join(terms.select("query_id", "term_no", "seq", "breaks"), ["query_id", "term_no"])
@@ -270,70 +301,99 @@ def runs(hit: DataFrame, terms: DataFrame) -> DataFrame:
     return island.groupBy(*FIELD, "diag", "island").agg(F.sum("weight").alias("w")).groupBy(*FIELD).agg(F.max("w").alias("run"))
 
 
-def score_fields(gated: DataFrame, sequence: DataFrame, lengths: DataFrame, stats: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def score_fields(gated: DataFrame, sequence: DataFrame, lengths: DataFrame, stats: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
     """Adds strength (pivoted by field length) and the sequence multiplier (1 for descriptions)."""
-    b = F.when(F.col("corpus") == "transcript", F.lit(p.transcript_length_normalization)).otherwise(F.lit(p.description_length_normalization))
+    p = settings(p)
+    b = p.by_corpus("length_normalization")
     pivot = F.when((b == 0) | (F.col("avg_len") == 0), 1.0).otherwise(F.greatest(F.lit(0.01), 1 - b + b * F.col("len") / F.col("avg_len")))
     out = gated.join(lengths, ["doc", "corpus", "field"]).join(F.broadcast(stats.select("corpus", "avg_len")), "corpus")
     out = out.withColumn("strength", F.col("base") / F.col("total") / pivot).join(sequence, FIELD, "left")
-    bonus = 1 + p.sequence_weight * F.col("lcs") / F.col("n_seq") + p.run_weight * F.pow(F.col("run") / F.col("n_seq"), F.lit(2))
+    bonus = 1 + p.of("sequence_weight") * F.col("lcs") / F.col("n_seq") + p.of("run_weight") * F.pow(F.col("run") / F.col("n_seq"), F.lit(2))
     return out.withColumn("multiplier", F.coalesce(bonus, F.lit(1.0)))
 
 
-def fuse(scored: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(query_id, doc, score, source, field): the better transcript field, divided by the query's best multiplier over all
-    documents, joined with the description; the smaller of the two adds a share."""
+def best_field(scored: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, query_id, doc, tf, t): the better transcript field of each document and its score, divided by the
+    query's best multiplier over all documents."""
     spoken = scored.where("corpus = 'transcript'")
-    first = Window.partitionBy("query_id", "doc").orderBy(F.col("strength") * F.col("multiplier") * -1, F.desc("field"))
+    first = Window.partitionBy("setting", "query_id", "doc").orderBy(F.col("strength") * F.col("multiplier") * -1, F.desc("field"))
     spoken = spoken.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    tops = spoken.groupBy("query_id").agg(F.greatest(F.max("multiplier"), F.lit(1 + p.sequence_weight)).alias("norm"))
-    spoken = spoken.join(tops, "query_id").select("query_id", "doc", F.col("field").alias("tf"), (F.col("strength") * F.col("multiplier") / F.col("norm")).alias("t"))
-    told = scored.where("corpus = 'description'").select("query_id", "doc", (F.col("strength") * p.description_preference).alias("d"))
-    both = spoken.join(told, ["query_id", "doc"], "full")
+    tops = spoken.groupBy("setting", "query_id").agg(F.greatest(F.max("multiplier"), 1 + F.max(settings(p).of("sequence_weight"))).alias("norm"))
+    spoken = spoken.join(fit(tops), ["setting", "query_id"])
+    return spoken.select("setting", "query_id", "doc", F.col("field").alias("tf"), (F.col("strength") * F.col("multiplier") / F.col("norm")).alias("t"))
+
+
+def fuse(scored: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, query_id, doc, score, source, field): the better transcript field joined with the description; the smaller of
+    the two adds a share."""
+    p = settings(p)
+    told = scored.where("corpus = 'description'").select("setting", "query_id", "doc", (F.col("strength") * p.of("description_preference")).alias("d"))
+    both = best_field(scored, p).join(told, ["setting", "query_id", "doc"], "full")
     t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
     prefer = F.col("t").isNotNull() & (t >= d)
     return both.select(
-        "query_id", "doc", (F.greatest(t, d) + p.agreement_bonus * F.least(t, d)).alias("score"),
+        "setting", "query_id", "doc", (F.greatest(t, d) + p.of("agreement_bonus") * F.least(t, d)).alias("score"),
         F.when(prefer, "transcript").otherwise("description").alias("source"), F.when(prefer, F.col("tf")).otherwise("description").alias("field"),
     )
 
 
-def highlight_ranges(hit: DataFrame, denoms: DataFrame, token_spans: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(query_id, corpus, doc, field, ranges): one span per token hit, of terms over the rarity floor unless no term is."""
-    floor = F.when(F.col("corpus") == "transcript", F.lit(p.transcript_idf_floor)).otherwise(F.lit(p.description_idf_floor))
-    above = denoms.withColumn("above", F.col("rarity") >= floor)
-    some = Window.partitionBy("query_id", "corpus")
-    shown = above.withColumn("any", F.max("above").over(some)).where("above or not any").select("query_id", "corpus", "term_no")
-    own = hit.join(shown, ["query_id", "corpus", "term_no"], "left_semi").select(*FIELD, "token").distinct()
+def highlight_ranges(hit: DataFrame, denoms: DataFrame, token_spans: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """(setting, query_id, corpus, doc, field, ranges): one span per token hit, of terms over the rarity floor unless no term is."""
+    above = denoms.withColumn("above", F.col("rarity") >= settings(p).by_corpus("idf_floor"))
+    some = Window.partitionBy("setting", "query_id", "corpus")
+    shown = above.withColumn("any", F.max("above").over(some)).where("above or not any").select("setting", "query_id", "corpus", "term_no")
+    own = hit.join(fit(shown), ["setting", "query_id", "corpus", "term_no"], "left_semi").select(*FIELD, "token").distinct()
     own = own.join(token_spans, ["doc", "corpus", "field", "token"])
     return own.groupBy(*FIELD).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
 def literal_search(field_rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Queries without a word, as substrings: the transcript field with most occurrences, else the description; the score is the count.
+    """(query_id, doc, score, source, field) of queries without a word, as substrings: the transcript field with most
+    occurrences, else the description; the score is the count.
 
-    The query table is given and small, so each block of texts meets it once."""
+    Such a query is made of marks only, so it meets a text through its first character, an equi join."""
     asked = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where((F.col("q") != "") & (F.size(parts(F.col("q"))) == 0))
-    met = field_rows.join(F.broadcast(asked), F.contains(F.lower("text"), F.col("q")))
+    asked = asked.withColumn("mark", F.left("q", F.lit(1)))
+    marks = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[\\p{L}\\p{N}\\s]+", ""), ""))
+    rows = field_rows.select("doc", "corpus", "field", "text", F.explode(marks).alias("mark"))
+    met = rows.join(asked, "mark").where(F.contains(F.lower("text"), F.col("q")))
     count = (F.length("text") - F.length(F.replace(F.lower("text"), F.col("q"), F.lit("")))) / F.length("q")
     best = Window.partitionBy("query_id", "doc").orderBy(F.desc("corpus"), F.desc("score"), F.desc("field"))
     met = met.select("query_id", "doc", "corpus", "field", count.cast("double").alias("score")).withColumn("rn", F.row_number().over(best))
     return met.where("rn = 1").select("query_id", "doc", "score", F.col("corpus").alias("source"), "field")
 
 
-def text_search(corpus: Corpus, queries: DataFrame, p: Params = DEFAULT, routes: tuple[str, ...] = ("prefix", "fuzzy", "stem")) -> DataFrame:
-    """(query_id, doc, score, source, field) for queries(query_id, query[, segments]); blank queries give nothing.
+@dataclass(frozen=True)
+class Stages:
+    """The written stages of a search, small tables but for gated fields."""
+
+    terms: DataFrame
+    expansion: DataFrame
+    anchor: DataFrame
+    live: DataFrame
+    denoms: DataFrame
+    limits: DataFrame
+
+
+def stages(corpus: Corpus, queries: DataFrame, p: Params | Settings = DEFAULT, routes: tuple[str, ...] = ROUTES, pairs: DataFrame | None = None) -> Stages:
+    terms = settle(query_terms(queries))
+    expansion = settle(expand(reached(terms, corpus.vocab, routes) if pairs is None else pairs, p))
+    anchor = settle(anchors(expansion, p))
+    denoms = settle(denominators(terms, anchor, corpus.stats, p))
+    return Stages(terms, expansion, anchor, settle(unsuppressed(expansion, anchor)), denoms, settle(thresholds(denoms, p)))
+
+
+def scored_fields(corpus: Corpus, s: Stages, p: Params | Settings = DEFAULT, counts: DataFrame | None = None) -> DataFrame:
+    """Gated fields with their strength and multiplier; positions are looked at in gated transcripts only."""
+    counts = C.word_counts(corpus.tokens) if counts is None else counts
+    gated = settle(gate(summarise(counts, s.live, s.denoms, s.limits, p), p))
+    spoken = gated.where("corpus = 'transcript'")
+    sequence = ordered_subsequence(hits(corpus.tokens.where("corpus = 'transcript'"), s.live, s.terms, spoken), s.terms)
+    return score_fields(gated, sequence, C.field_lengths(corpus.tokens), corpus.stats, p)
+
 
-    What several stages read again (terms, expansion, denominators, hits, gated fields) is kept on disk."""
-    kept = lambda df: df.persist(StorageLevel.DISK_ONLY)
+def text_search(corpus: Corpus, queries: DataFrame, p: Params | Settings = DEFAULT, routes: tuple[str, ...] = ROUTES) -> DataFrame:
+    """(setting, query_id, doc, score, source, field) for queries(query_id, query[, segments]); blank queries give nothing."""
     asked = queries.where(F.trim("query") != "")
-    terms = kept(query_terms(asked))
-    expansion = kept(expand(terms, corpus.vocab, p, routes))
-    anchor = kept(anchors(expansion, p))
-    denoms = kept(denominators(terms, anchor, corpus.stats, p))
-    limits = thresholds(denoms, p)
-    hit = kept(hits(corpus.postings, expansion, anchor, terms))
-    gated = kept(gate(summarise(hit, denoms, limits, p), p))
-    sequence = ordered_subsequence(hit, gated.where("corpus = 'transcript'"), terms)
-    scored = score_fields(gated, sequence, corpus.lengths, corpus.stats, p)
-    return fuse(scored, p).unionByName(literal_search(corpus.fields, asked))
+    found = fuse(scored_fields(corpus, stages(corpus, asked, p, routes), p), p)
+    return found.unionByName(settings(p).spread(literal_search(corpus.tokens, asked)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..sources import archive as A
-from .bindings import PRINTED_SQL, STRIPS_SQL, flat, printed, strips, table
+from .bindings import PRINTED_SQL, RARE_SQL, STRIPS_SQL, flat, printed, rare, strips, table
 
 
 def s01(spark, d):
@@ -29,7 +29,7 @@ def s03(spark, d):
 def s04(spark, d):
     page = table(spark, d, "pages").select("page_id", F.concat(F.lit("page"), "page_id").alias("stem"))
     ext = F.array(*map(F.lit, ("webp", "png", "jpg")))
-    files = page.select(F.explode(F.transform(F.filter(ext, lambda e: F.crc32(F.concat("stem", e).cast("binary")) % 2 == 0), lambda e: F.concat(F.lit("img/"), "stem", F.lit("."), e))).alias("path"))
+    files = page.select(F.explode(F.transform(F.filter(ext, lambda e: F.md5(F.concat("stem", e)) < "8"), lambda e: F.concat(F.lit("img/"), "stem", F.lit("."), e))).alias("path"))
     return flat(A.attach_asset(page, files, "stem", ["png", "jpg", "webp"]).select("page_id", "image"))
 
 
@@ -70,18 +70,15 @@ def books(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("collection"), F.col("s_name").alias("name"), F.array("s_name", F.lit("note")).alias("extras"), F.create_map(F.col("s_nationkey"), F.lit("altered")).alias("alterations"))
 
 
-def few(spark, d):
-    return printed(spark, d).where("collection % 3 <> 0")
-
-
 def s09(spark, d):
-    return flat(A.collection_index(books(spark, d), few(spark, d)).select("collection", "name"))
+    return flat(A.collection_index(books(spark, d), rare(spark, d)).select("collection", "name"))
 
 
 def s10(spark, d):
-    kept = A.collection_index(books(spark, d), few(spark, d))
-    special = few(spark, d).where("key % 50 = 0").select("collection", F.concat(F.lit("s"), "key").alias("id")).distinct()
-    out = A.project_index(kept, A.date_ranges(few(spark, d).where("key % 4 = 0").select("collection", "date")), special)
+    kept = A.collection_index(books(spark, d), rare(spark, d))
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("key"))
+    special = rare(spark, d).join(urgent, "key").select("collection", F.concat(F.lit("s"), "key").alias("id")).distinct()
+    out = A.project_index(kept, A.date_ranges(rare(spark, d).select("collection", "date")), special)
     return flat(out.select("collection", "name", F.size("dailies").alias("n_ranges"), F.array_max("dailies").alias("last_range"), "specials", F.map_keys("alterations").alias("altered")))
 
 
@@ -92,7 +89,7 @@ def s11(spark, d):
 
 
 def s12(spark, d):
-    return flat(A.collection_extras(books(spark, d), few(spark, d)))
+    return flat(A.collection_extras(books(spark, d), rare(spark, d)))
 
 
 def s13(spark, d):
@@ -117,7 +114,7 @@ def o04(spark, d):
 
 
 def o05(spark, d):
-    return flat(R.difference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderkey % 9 = 0").selectExpr("o_custkey as c_custkey"), "c_custkey"))
+    return flat(R.difference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_custkey as c_custkey"), "c_custkey"))
 
 
 def o06(spark, d):
@@ -134,19 +131,19 @@ PLANS = {
     "s01_load_strips": (s01, "SELECT doc_id AS doc, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS hash FROM documents"),
     "s02_unify_strips": (s02, f"WITH {STRIPS_SQL} SELECT doc, CASE WHEN doc % 10 = 0 THEN 'special-' || doc END AS id, CAST(date AS VARCHAR) AS date, length(transcript) AS n FROM strips"),
     "s03_archive_order": (s03, f"WITH {STRIPS_SQL} SELECT doc, CAST(date AS VARCHAR) AS date, doc % 3 AS sort, CAST(doc AS VARCHAR) AS id FROM strips ORDER BY date, sort, id"),
-    "s04_attach_asset": (s04, None),
+    "s04_attach_asset": (s04, "WITH f AS (SELECT page_id, e, p, md5('page' || page_id || e) < '8' AS there FROM pages, (VALUES ('png', 1), ('jpg', 2), ('webp', 3)) x(e, p)) SELECT page_id, arg_min('img/page' || page_id || '.' || e, p) FILTER (there) AS image FROM f GROUP BY page_id"),
     "s05_attach_appearances": (s05, f"WITH {PRINTED_SQL}, a AS (SELECT key, collection, array_to_string(list_sort(list(DISTINCT page)), '+') AS pages FROM printed GROUP BY key, collection) SELECT o_orderkey AS key, (SELECT string_agg(collection || ':' || pages, ',' ORDER BY collection) FROM a WHERE a.key = o_orderkey) AS appearances FROM orders"),
     "s06_explode_page_index": (s06, f"WITH {PRINTED_SQL} SELECT collection, CAST(NULL AS VARCHAR) AS edition, CAST(NULL AS BIGINT) AS volume, CAST(page AS BIGINT) AS page, key FROM printed UNION ALL SELECT collection, 'complete', 1, page, key FROM printed"),
     "s07_build_appearances": (s07, f"WITH {PRINTED_SQL} {APPS_SQL}"),
     "s08_date_ranges": (s08, f"WITH {PRINTED_SQL}, src AS (SELECT collection, date FROM printed), {RANGES_SQL} SELECT collection, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, range FROM ranges"),
-    "s09_collection_index": (s09, "SELECT s_suppkey AS collection, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AND s_suppkey % 3 <> 0"),
-    "s10_project_index": (s10, f"WITH {PRINTED_SQL}, few AS (SELECT * FROM printed WHERE collection % 3 <> 0), src AS (SELECT collection, date FROM few WHERE key % 4 = 0), {RANGES_SQL}, n AS (SELECT collection, count(*) AS n, max(range) AS last_range FROM ranges GROUP BY collection), sp AS (SELECT collection, array_to_string(list_sort(list(DISTINCT 's' || key)), ',') AS s FROM few WHERE key % 50 = 0 GROUP BY collection) SELECT s_suppkey AS collection, s_name AS name, coalesce(n, 0) AS n_ranges, last_range, coalesce(s, '') AS specials, CAST(s_nationkey AS VARCHAR) AS altered FROM supplier LEFT JOIN n ON n.collection = s_suppkey LEFT JOIN sp ON sp.collection = s_suppkey WHERE s_suppkey IN (SELECT collection FROM few)"),
+    "s09_collection_index": (s09, f"WITH {RARE_SQL} SELECT s_suppkey AS collection, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT collection FROM rare)"),
+    "s10_project_index": (s10, f"WITH {RARE_SQL}, src AS (SELECT collection, date FROM rare), {RANGES_SQL}, n AS (SELECT collection, count(*) AS n, max(range) AS last_range FROM ranges GROUP BY collection), sp AS (SELECT collection, array_to_string(list_sort(list(DISTINCT 's' || key)), ',') AS s FROM rare JOIN orders ON o_orderkey = key WHERE o_orderpriority = '1-URGENT' GROUP BY collection) SELECT s_suppkey AS collection, s_name AS name, coalesce(n, 0) AS n_ranges, last_range, coalesce(s, '') AS specials, CAST(s_nationkey AS VARCHAR) AS altered FROM supplier LEFT JOIN n ON n.collection = s_suppkey LEFT JOIN sp ON sp.collection = s_suppkey WHERE s_suppkey IN (SELECT collection FROM rare)"),
     "s11_strip_volumes": (s11, """SELECT DISTINCT l_suppkey AS collection, 'complete' AS edition, '{"label":"label"}' AS kept FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
-    "s12_collection_extras": (s12, f"WITH {PRINTED_SQL}, kept AS (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey IN (SELECT collection FROM printed)) SELECT s_suppkey AS collection, CAST(0 AS BIGINT) AS pos, s_name AS text FROM kept UNION ALL SELECT s_suppkey, 1, 'note' FROM kept"),
+    "s12_collection_extras": (s12, f"WITH {RARE_SQL}, kept AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT collection FROM rare)) SELECT s_suppkey AS collection, CAST(0 AS BIGINT) AS pos, s_name AS text FROM kept UNION ALL SELECT s_suppkey, 1, 'note' FROM kept"),
     "s13_export_descriptions": (s13, f"WITH {STRIPS_SQL} SELECT CAST(doc AS VARCHAR) AS key, md5(description) AS hash FROM strips WHERE description <> ''"),
     "s17_by_date": (s17, f"WITH {STRIPS_SQL} SELECT CAST(date AS VARCHAR) AS date, array_to_string(list_sort(list(doc)), ',') AS docs FROM strips GROUP BY date"),
     "s19_attach_descriptions": (s19, f"WITH {STRIPS_SQL} SELECT doc, md5(nullif(description, '')) AS hash FROM strips"),
     "o04_union_results": (o04, "SELECT c_custkey AS key, c_name AS name, CAST(NULL AS BIGINT) AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
-    "o05_difference": (o05, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)"),
+    "o05_difference": (o05, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "o06_intersection": (o06, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
 }

@@ -16,29 +16,38 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def strips(spark: SparkSession, d: str) -> DataFrame:
-    """doc, date, transcript, description and alternate: documents with turns 0 and 1 of the conversation of their number."""
-    turns = table(spark, d, "conversations").where("turn in (0, 1)").groupBy(F.col("conv_id").alias("doc")).agg(
-        F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("description"), F.min(F.when(F.col("turn") == 1, F.col("text"))).alias("alternate")
+    """doc, date, transcript, description and alternate: documents with the conversation of their number, what the assistant
+    says as alternate transcript and all the other turns as description, each in the order of turns."""
+    turn = F.struct("turn", "text")
+    said = lambda mine: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(mine, turn))), lambda x: x["text"]), "\n")
+    assistant = F.col("role") == "assistant"
+    talk = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(
+        F.nullif(said(~assistant), F.lit("")).alias("description"), F.nullif(said(assistant), F.lit("")).alias("alternate")
     )
     docs = table(spark, d, "documents")
     date = F.date_add(F.lit(START).cast("date"), (F.col("doc_id") % 3696).cast("int"))
     own = docs.select(F.col("doc_id").alias("doc"), date.alias("date"), F.coalesce("text", F.lit("")).alias("transcript"))
-    return own.join(turns, "doc", "left").withColumn("id", F.lit(None).cast("string"))
+    return own.join(talk, "doc", "left").withColumn("id", F.lit(None).cast("string"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, query: the first six words of each benchmark text."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}']+"), F.lit(0))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(w, 1, 6), " ").alias("query"))
+    """query_id, query: the benchmark's texts, whole."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def printed(spark: SparkSession, d: str) -> DataFrame:
-    """key, collection, page, date: an order line stands for a document printed on a page of a supplier's book."""
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("collection"), F.col("l_linenumber").alias("page"))
+    """key, collection, page, date, flag, quantity: an order line stands for a document printed on a page of a supplier's book."""
+    named = {"key": "l_orderkey", "collection": "l_suppkey", "page": "l_linenumber", "flag": "l_returnflag", "quantity": "l_quantity"}
+    lines = table(spark, d, "lineitem").select(*(F.col(c).alias(n) for n, c in named.items()))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.to_date("o_orderdate").alias("date"))
     return lines.join(orders, "key")
 
 
+def rare(spark: SparkSession, d: str) -> DataFrame:
+    """Printed lines that were returned in full quantity: for operators about books that lack something, as some books have none."""
+    return printed(spark, d).where("flag = 'R' and quantity >= 50")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Integers as bigint, dates as text, doubles rounded to six places, arrays joined: values that hash alike everywhere."""
     out = []
@@ -57,11 +66,12 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 STRIPS_SQL = f"""
+talk AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'assistant') AS description,
+  string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS alternate FROM conversations GROUP BY conv_id),
 strips AS (
   SELECT d.doc_id AS doc, CAST(DATE '{START}' + CAST(d.doc_id % 3696 AS INTEGER) AS DATE) AS date, coalesce(d.text, '') AS transcript,
          t.description, t.alternate
-  FROM documents d LEFT JOIN (SELECT conv_id, min(text) FILTER (turn = 0) AS description, min(text) FILTER (turn = 1) AS alternate
-    FROM conversations GROUP BY conv_id) t ON t.conv_id = d.doc_id)"""
+  FROM documents d LEFT JOIN talk t ON t.conv_id = d.doc_id)"""
 FIELDS_SQL = (
     STRIPS_SQL
     + """,
@@ -85,12 +95,26 @@ vocab AS (SELECT corpus, word, df, n_docs, greatest(0, ln(n_docs / df)) AS idf
   FROM (SELECT corpus, word, count(DISTINCT doc) AS df FROM posts GROUP BY corpus, word) JOIN ndocs USING (corpus))"""
 )
 ASKED_SQL = f"""
-asked AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '{WORD_SQL}'), 1, 6), ' ') AS query FROM benchmark)"""
+asked AS (SELECT item_id AS query_id, text AS query, regexp_extract_all(lower(text), '{WORD_SQL}') AS ws FROM benchmark)"""
 PRINTED_SQL = """
-printed AS (SELECT l_orderkey AS key, l_suppkey AS collection, l_linenumber AS page, CAST(o_orderdate AS DATE) AS date
+printed AS (SELECT l_orderkey AS key, l_suppkey AS collection, l_linenumber AS page, CAST(o_orderdate AS DATE) AS date, l_returnflag AS flag, l_quantity AS quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+RARE_SQL = PRINTED_SQL + ", rare AS (SELECT * FROM printed WHERE flag = 'R' AND quantity >= 50)"
 CALENDAR_SQL = f"""
 days AS (SELECT CAST(g AS DATE) AS date FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY) t(g)),
 calendar AS (SELECT date, CAST(floor((date - (DATE '{START}' - CAST(isodow(DATE '{START}') - 1 AS INTEGER))) / 7) AS BIGINT) AS week,
   CAST(dayofweek(date) AS BIGINT) AS weekday,
   CASE WHEN {' OR '.join(f"date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in GAPS)} THEN 'gap' ELSE 'strip' END AS state FROM days)"""
+SOUNDS = "CASE WHEN {0} = '' THEN '' ELSE list_reduce(list_prepend('', string_split({0}, '')), lambda s, c: s || CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND ends_with(s, 'c')) THEN 'v' ELSE 'c' END) END"
+#: The stem of every word of forms(w), ending by ending.
+STEMS = f"""
+st1 AS (SELECT w, CASE WHEN ends_with(w, chr(39) || 's') THEN left(w, length(w) - 2) WHEN ends_with(w, chr(39)) THEN left(w, length(w) - 1) ELSE w END AS o FROM forms),
+st2 AS (SELECT w, CASE WHEN ends_with(o, 'ies') OR regexp_matches(o, '(x|z|ch|sh|ss)es$') THEN left(o, length(o) - 2) WHEN NOT ends_with(o, 's') OR regexp_matches(o, '(ss|us|is)$') THEN o ELSE left(o, length(o) - 1) END AS p FROM st1),
+st3 AS (SELECT w, p, {SOUNDS.format("p")} AS s, CASE WHEN ends_with(p, 'eed') THEN NULL WHEN ends_with(p, 'ed') THEN 2 WHEN ends_with(p, 'ing') THEN 3 END AS k FROM st2),
+st4 AS (SELECT w, p, s, left(p, length(p) - k) AS b, left(s, length(p) - k) AS z FROM st3),
+st5 AS (SELECT w, CASE WHEN ends_with(p, 'eed') THEN CASE WHEN regexp_matches(left(s, length(p) - 3), 'v+c') THEN left(p, length(p) - 1) ELSE p END
+  WHEN z IS NULL OR NOT contains(z, 'v') THEN p WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e'
+  WHEN length(b) > 1 AND right(b, 1) = left(right(b, 2), 1) AND ends_with(z, 'c') AND right(b, 1) NOT IN ('l', 's', 'z') THEN left(b, length(b) - 1)
+  WHEN len(regexp_extract_all(z, 'v+c+')) = 1 AND ends_with(z, 'cvc') AND right(b, 1) NOT IN ('w', 'x', 'y') THEN b || 'e' ELSE b END AS t FROM st4),
+st6 AS (SELECT w, t, {SOUNDS.format("t")} AS u FROM st5),
+stems AS (SELECT w, CASE WHEN ends_with(t, 'y') AND contains(left(u, length(t) - 1), 'v') THEN left(t, length(t) - 1) || 'i' ELSE t END AS stem FROM st6)"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import calendars as K
 from ..sources import archive as A
 from ..streaming import toggles
-from .archive_plans import apps, books, few
-from .bindings import CALENDAR_SQL, END, GAPS, PRINTED_SQL, START, STRIPS_SQL, flat, printed, strips, table
+from .archive_plans import apps, books
+from .bindings import CALENDAR_SQL, END, GAPS, PRINTED_SQL, RARE_SQL, START, STRIPS_SQL, flat, printed, rare, strips, table
 
 
 def days(spark):
@@ -25,7 +25,8 @@ def c02(spark, d):
 
 def c03(spark, d):
     r = A.date_ranges(printed(spark, d).select("collection", "date"))
-    return flat(K.in_collection(order_days(spark), r, books(spark, d).where("collection % 4 = 0")))
+    sundays = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("collection"))
+    return flat(K.in_collection(order_days(spark), r, sundays))
 
 
 def c04(spark, d):
@@ -34,7 +35,7 @@ def c04(spark, d):
 
 
 def docs(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.to_date("o_orderdate").alias("date"))
+    return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
 
 
 def c05(spark, d):
@@ -46,7 +47,7 @@ def c06(spark, d):
 
 
 def c07(spark, d):
-    return flat(K.collection_summary(books(spark, d).select("collection", "name"), few(spark, d)))
+    return flat(K.collection_summary(books(spark, d).select("collection", "name"), rare(spark, d)))
 
 
 def c08(spark, d):
@@ -64,7 +65,7 @@ def c09(spark, d):
 
 def c10(spark, d):
     own = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"))
-    return flat(K.unprinted(own, few(spark, d).where("collection % 2 = 0").select(F.col("key").cast("string").alias("key")), "doc"))
+    return flat(K.unprinted(own, rare(spark, d).select(F.col("key").cast("string").alias("key")), "doc"))
 
 
 def c11(spark, d):
@@ -85,18 +86,18 @@ def c13(spark, d):
     return flat(K.completion_table(n.unionByName(y), 5))
 
 
-DOCS = "docs AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 3 = 0)"
+DOCS = "docs AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
 PLANS = {
     "c02_missing_days": (c02, f"WITH {STRIPS_SQL}, {CALENDAR_SQL} SELECT CAST(date AS VARCHAR) AS date, week, weekday, CASE WHEN state = 'strip' AND date NOT IN (SELECT date FROM strips) THEN 'none' ELSE state END AS state FROM calendar"),
-    "c03_in_collection": (c03, f"WITH {PRINTED_SQL} SELECT DISTINCT collection, CAST(date AS VARCHAR) AS date FROM printed WHERE collection % 4 <> 0 OR dayofweek(date) = 0"),
+    "c03_in_collection": (c03, f"WITH {PRINTED_SQL} SELECT DISTINCT collection, CAST(date AS VARCHAR) AS date FROM printed WHERE collection NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) OR dayofweek(date) = 0"),
     "c04_period_spans": (c04, f"WITH {STRIPS_SQL}, {CALENDAR_SQL}, m AS (SELECT date_trunc('month', date) AS p, min(week) AS a, max(week) AS b FROM calendar WHERE date IN (SELECT date FROM strips) GROUP BY 1) SELECT CAST(CAST(p AS DATE) AS VARCHAR) AS period, a AS first_week, coalesce(lead(a) OVER (ORDER BY p), b + 1) AS next_week FROM m"),
     "c05_adjacent": (c05, f"WITH {DOCS} SELECT CAST(date AS VARCHAR) AS date, CAST((SELECT max(x.date) FROM docs x WHERE x.date <= docs.date - 7) AS VARCHAR) AS previous, CAST((SELECT min(x.date) FROM docs x WHERE x.date >= docs.date + 7) AS VARCHAR) AS next FROM docs"),
     "c06_adjacent_same_weekday": (c06, f"WITH {DOCS} SELECT CAST(date AS VARCHAR) AS date, CAST(lag(date) OVER w AS VARCHAR) AS previous, CAST(lead(date) OVER w AS VARCHAR) AS next FROM docs WINDOW w AS (PARTITION BY dayofweek(date) ORDER BY date)"),
-    "c07_collection_summary": (c07, f"WITH {PRINTED_SQL}, m AS (SELECT collection, count(*) AS n, min(date) AS first, max(date) AS last FROM printed WHERE collection % 3 <> 0 GROUP BY 1) SELECT s_suppkey AS collection, s_name AS name, coalesce(n, 0) AS n, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, CASE WHEN n IS NULL THEN 'nothing' WHEN first = last THEN monthname(first) || ' ' || day(first) || ', ' || year(first) ELSE monthname(first) || ' ' || year(first) || ' to ' || monthname(last) || ' ' || year(last) END AS coverage FROM supplier LEFT JOIN m ON collection = s_suppkey"),
+    "c07_collection_summary": (c07, f"WITH {RARE_SQL}, m AS (SELECT collection, count(*) AS n, min(date) AS first, max(date) AS last FROM rare GROUP BY 1) SELECT s_suppkey AS collection, s_name AS name, coalesce(n, 0) AS n, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, CASE WHEN n IS NULL THEN 'nothing' WHEN first = last THEN monthname(first) || ' ' || day(first) || ', ' || year(first) ELSE monthname(first) || ' ' || year(first) || ' to ' || monthname(last) || ' ' || year(last) END AS coverage FROM supplier LEFT JOIN m ON collection = s_suppkey"),
     "c08_calendar_values": (c08, f"WITH {DOCS} SELECT strftime(date, '%m') AS value, count(*) AS n, CAST(2 AS BIGINT) AS depth FROM docs WHERE starts_with(CAST(month(date) AS VARCHAR), '1') GROUP BY 1 UNION ALL SELECT CAST(year(date) AS VARCHAR), count(*), 1 FROM docs WHERE year(date) < 2000 GROUP BY 1"),
     "c08_drill_down": (c08b, f"WITH {DOCS} SELECT year(date) AS year, month(date) AS month, count(*) AS n FROM docs GROUP BY ROLLUP (year(date), month(date))"),
     "c09_appearance_report": (c09, f"WITH {PRINTED_SQL}, a AS (SELECT key, collection, list_sort(list(DISTINCT page)) AS ps FROM printed GROUP BY key, collection) SELECT collection, key, 'p. ' || CASE WHEN len(ps) = 1 THEN CAST(ps[1] AS VARCHAR) WHEN ps[-1] - ps[1] = len(ps) - 1 THEN ps[1] || '-' || ps[-1] ELSE array_to_string(ps, ', ') END AS lines, s_name AS name FROM a JOIN supplier ON s_suppkey = collection"),
-    "c10_unprinted": (c10, "SELECT o_orderkey AS doc FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_suppkey % 2 = 0)"),
+    "c10_unprinted": (c10, f"WITH {RARE_SQL} SELECT o_orderkey AS doc FROM orders WHERE o_orderkey NOT IN (SELECT key FROM rare)"),
     "c11_alterations": (c11, f"WITH {PRINTED_SQL} SELECT DISTINCT key AS doc, CAST(key % 25 AS VARCHAR) AS key, collection, CAST(date AS VARCHAR) AS date, CASE WHEN key % 25 = s_nationkey THEN 'altered' END AS alteration, dayofweek(date) = 0 AND collection % 2 <> 0 AS grey_sunday FROM printed JOIN supplier ON s_suppkey = collection"),
     "c12_toggle_state": (c12, "SELECT user_id, count(*) AS n, count(*) % 2 = 1 AS is_set FROM events WHERE event_type = 'click' GROUP BY user_id"),
     "c13_completion_table": (c13, f"WITH {DOCS}, v AS (SELECT 'in' AS kind, n_name AS value, lower(n_name) AS s, n_nationkey AS ord FROM nation UNION ALL SELECT DISTINCT 'year', CAST(year(date) AS VARCHAR), CAST(year(date) AS VARCHAR), year(date) FROM docs UNION ALL SELECT DISTINCT 'year', CAST(year(date) AS VARCHAR), strftime(date, '%y'), year(date) FROM docs), p AS (SELECT DISTINCT kind, value, ord, s[1:i] AS prefix FROM v, LATERAL (SELECT unnest(range(0, length(s) + 1)) AS i)) SELECT kind, prefix, row_number() OVER (PARTITION BY kind, prefix ORDER BY ord, value) AS position, value FROM p QUALIFY position <= 5"),

@@ -11,8 +11,11 @@ from ..operators import corpus as C
 from ..operators import evaluate as E
 from ..operators import results as R
 from ..operators import search as S
-from ..params import DEFAULT
-from .bindings import STRIPS_SQL, VOCAB_SQL, asked, flat, printed, strips, table
+from ..params import DEFAULT, Settings
+from ..tables import settle
+from .bindings import ASKED_SQL, PRINTED_SQL, STEMS, STRIPS_SQL, VOCAB_SQL, asked, flat, printed, strips, table
+from .search_plans import QUERIES, RANKED, TERMS, found
+from .text_plans import vocab
 
 
 def results(spark, d):
@@ -44,13 +47,17 @@ def pairs(spark, d):
     return q.withColumn("target", F.col("query_id")).withColumn("other", F.col("query_id") + 1)
 
 
+def neighbours(spark, d):
+    """Each document asked for by its own transcript, with the next one as other."""
+    return strips(spark, d).select(F.col("doc").alias("query_id"), F.col("transcript").alias("query"), F.col("doc").alias("target"), (F.col("doc") + 1).alias("other"))
+
+
 def texts(spark, d):
     return C.combined_text(strips(spark, d))
 
 
 def known(spark, d):
-    r = C.fields(strips(spark, d))
-    return C.informative(C.vocabulary(C.postings(r), r).where("corpus = 'transcript'"), 1.0)
+    return C.informative(vocab(spark, d).where("corpus = 'transcript'"), 1.0)
 
 
 def e06(spark, d):
@@ -72,7 +79,7 @@ def e10(spark, d):
 
 
 def e11(spark, d):
-    return flat(E.emphasis_pairs(pairs(spark, d), E.document_words(texts(spark, d)), known(spark, d)))
+    return flat(E.emphasis_pairs(neighbours(spark, d), E.document_words(texts(spark, d)), known(spark, d)))
 
 
 def e12(spark, d):
@@ -82,9 +89,10 @@ def e12(spark, d):
 
 
 def e13(spark, d):
+    """Labels of suppliers in debt stand twice; the days with returned lines are the known ones."""
     own = labelled(spark, d)
-    dates = printed(spark, d).where("collection % 2 = 0").select("date")
-    return flat(E.validate_labels(own.unionByName(own.where("query_id % 6 = 0")), dates))
+    debt = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("query_id"))
+    return flat(E.validate_labels(own.unionByName(own.join(debt, "query_id").select(own.columns)), printed(spark, d).where("flag = 'R'").select("date")))
 
 
 def e14(spark, d):
@@ -104,30 +112,47 @@ def targets(spark, d):
     return asked(spark, d).join(hit.select("query_id", "date"), "query_id", "left").withColumn("class", F.expr("substring('ABCDE', 1 + cast(query_id % 5 as int), 1)"))
 
 
-def searched(spark, d, p=DEFAULT, corpus=None):
-    s = strips(spark, d)
-    out = S.text_search(corpus or S.build(s), asked(spark, d), p)
-    return R.ranked(out.join(s.select("doc", "date", "id"), "doc"))
+def e01_search(spark, d):
+    return flat(E.evaluate(found(spark, d), targets(spark, d)))
+
 
+def scorer(spark, d):
+    """Scores of many settings in one job: what no parameter touches (words, routes, counts) is written once."""
+    corpus, labels = S.build(strips(spark, d)), settle(targets(spark, d).where("class in ('A', 'B', 'C')"))
+    queries = labels.select("query_id", "query")
+    pairs = settle(S.reached(S.query_terms(queries), corpus.vocab))
+    counts = settle(C.word_counts(corpus.tokens).join(pairs.select("corpus", "word").distinct(), ["corpus", "word"], "left_semi"))
+    docs = corpus.strips.select("doc", "date", "id")
 
-def e01_search(spark, d):
-    return flat(E.evaluate(searched(spark, d), targets(spark, d)))
+    def score(trials):
+        p = Settings(tuple(trials))
+        out = S.fuse(S.scored_fields(corpus, S.stages(corpus, queries, p, pairs=pairs), p, counts), p).withColumn("score", F.round("score", 9))
+        ranked = R.ranked(out.join(docs, "doc"), ("setting", "query_id"))
+        got = {r["setting"]: r.asDict() for r in E.reciprocal_ranks(ranked, labels, len(trials)).collect()}
+        return [got[i] for i in range(len(trials))]
+
+    return score
 
 
 def e15(spark, d):
-    """One pass over one knob: each setting is a search of all queries, evaluated against their targets."""
-    labels, corpus = targets(spark, d), S.build(strips(spark, d))
-    mrr = lambda p: E.evaluate(searched(spark, d, p, corpus), labels).first()["mrr"]
-    best, value, log = E.sweep(mrr, DEFAULT, {"transcript_coverage_floor": [0.3, 0.4]}, passes=1)
-    rows = [(*row, float(value)) for row in log]
-    return flat(spark.createDataFrame(rows, "turn int, knob string, value double, gain double, blocked boolean, best double"))
+    """The whole grid in two passes: one job for all values of a knob."""
+    log = E.sweep(scorer(spark, d), DEFAULT)[2]
+    return flat(spark.createDataFrame(log, E.LOG))
+
+
+#: Knobs that act after the fields are scored.
+LAST = {k: E.GRID[k] for k in ("description_preference", "agreement_bonus")}
 
 
 def e16(spark, d):
-    """Accepted settings: gain over the least gain and no loss on all."""
-    c = counts(spark, d)
-    gains = c.select("query_id", ((F.col("n") % 13) / 1000).alias("gain"), (F.col("n") % 3 - 1).alias("combined"))
-    return flat(gains.where("gain > 0.005 and combined >= 0").select("query_id"))
+    """The moves from the shipped settings that the sweep's rule accepts, of the two knobs that join transcripts and descriptions."""
+    score = scorer(spark, d)
+    trials = [(k, DEFAULT.but(**{k: float(v)})) for k, (_, values) in LAST.items() for v in values if v != getattr(DEFAULT, k)]
+    base, *got = score([DEFAULT, *(p for _, p in trials)])
+    rows = [(1, k, float(getattr(p, k)), LAST[k][0], g[LAST[k][0]] - base[LAST[k][0]], g["combined"] - base["combined"], False) for (k, p), g in zip(trials, got, strict=True)]
+    table_ = spark.createDataFrame(rows, E.LOG)
+    ok = E.accepted(table_).select("knob", "value", F.lit(True).alias("accepted"))
+    return flat(table_.join(ok, ["knob", "value"], "left").select("knob", "value", "gain", "change", F.coalesce("accepted", F.lit(False)).alias("accepted")))
 
 
 def e17(spark, d):
@@ -135,17 +160,27 @@ def e17(spark, d):
     return flat(E.monotonicity(counts(spark, d), p))
 
 
+def lasting(spark, d):
+    """Counts of the lines that were neither returned nor accepted yet."""
+    return printed(spark, d).where("flag = 'N'").groupBy(F.col("collection").alias("query_id")).agg(F.count("*").alias("n"))
+
+
 def e18(spark, d):
-    after = printed(spark, d).where("key % 3 = 0 or collection % 2 = 0").groupBy(F.col("collection").alias("query_id")).agg(F.count("*").alias("n"))
-    return flat(E.collapse(after, counts(spark, d)))
+    return flat(E.collapse(lasting(spark, d), counts(spark, d)))
 
 
 def e19(spark, d):
-    return flat(E.bloat(counts(spark, d), printed(spark, d).where("key % 3 = 0").groupBy(F.col("collection").alias("query_id")).agg(F.count("*").alias("n"))))
+    return flat(E.bloat(counts(spark, d), lasting(spark, d)))
 
 
 def e20(spark, d):
-    return flat(E.corrections(searched(spark, d).select("query_id", "doc"), texts(spark, d), asked(spark, d)))
+    """Each benchmark word as a query of its own, whose results are all documents that any route reaches."""
+    terms = S.query_terms(asked(spark, d))
+    one = terms.select((F.col("query_id") * 1000 + F.col("term_no")).alias("query_id"), F.col("term").alias("query")).distinct()
+    said = E.document_words(texts(spark, d)).select("doc", "word")
+    pairs_ = S.reached(terms, vocab(spark, d)).select(F.col("term").alias("query"), "word").distinct()
+    reached = one.join(pairs_, "query").join(said, "word").select("query_id", "doc").distinct()
+    return flat(E.corrections(reached, said, one))
 
 
 def e22(spark, d):
@@ -177,17 +212,50 @@ rk AS (SELECT lab.*, (SELECT min(position) FROM res WHERE res.query_id = lab.que
 EVAL = "count(*) AS queries, round(coalesce(sum(1 / rank), 0) / count(*), 6) AS mrr, round(count(*) FILTER (rank = 1) / count(*), 6) AS recall_at_1, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_at_10, round(count(*) FILTER (n = 0) / count(*), 6) AS zero_rate, round(sum(n) / count(*), 6) AS mean_results, list_sort(list(n))[1 + CAST(floor(count(*) / 2) AS INTEGER)] AS median_results"
 OUTCOME = "CASE WHEN rank IS NULL THEN 'target_absent' WHEN drank IS NULL THEN 'decoy_uncontested' WHEN rank < drank THEN 'target_above' ELSE 'decoy_wins' END"
 NEAR = ", near AS (SELECT query_id, " + OUTCOME + " AS outcome FROM rk WHERE class = 'E' AND date IS NOT NULL AND decoy IS NOT NULL)"
-TEXTS = VOCAB_SQL + ", texts AS (SELECT doc, transcript || ' ' || coalesce(alternate, '') || ' ' || coalesce(description, '') AS text FROM strips), dw AS (SELECT DISTINCT doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS word FROM texts), known AS (SELECT word FROM vocab WHERE corpus = 'transcript' AND ln(n_docs / df) >= 1), qw AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+'), 1, 6)) AS word FROM benchmark), iw AS (SELECT * FROM qw WHERE word IN (SELECT word FROM known))"
-RECITE = "WITH " + STRIPS_SQL + """, q AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+'), 1, 6) AS ws FROM benchmark),
-t AS (SELECT query_id, ws, regexp_extract_all(lower(transcript), '[\\p{L}\\p{N}'']+') AS ts FROM q JOIN strips ON doc = query_id),
+TEXTS = VOCAB_SQL + ", texts AS (SELECT doc, transcript || ' ' || coalesce(alternate, '') || ' ' || coalesce(description, '') AS text FROM strips), dw AS (SELECT DISTINCT doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS word FROM texts), known AS (SELECT word FROM vocab WHERE corpus = 'transcript' AND ln(n_docs / df) >= 1), qw AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS word FROM benchmark), iw AS (SELECT * FROM qw WHERE word IN (SELECT word FROM known))"
+RECITE = "WITH " + STRIPS_SQL + """, q AS (SELECT item_id AS query_id, text AS query, regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+') AS ws FROM benchmark),
+t AS (SELECT query_id, query, ws, regexp_extract_all(lower(transcript), '[\\p{L}\\p{N}'']+') AS ts FROM q JOIN strips ON doc = query_id),
 s AS (SELECT query_id, ws, ts, unnest(range(1, len(ws) + 1)) AS a FROM t), sp AS (SELECT query_id, ws, ts, a, unnest(range(a, len(ws) + 1)) AS b FROM s),
 r AS (SELECT query_id, max(CASE WHEN contains(array_to_string(ts, ' '), array_to_string(list_slice(ws, a, b), ' ')) THEN b - a + 1 ELSE 0 END) AS run FROM sp GROUP BY query_id),
-rec AS (SELECT t.query_id, array_to_string(ws, ' ') AS query, run, len(list_filter(ws, lambda w: list_contains(ts, w))) / len(ws) AS overlap, len(ws) AS length, len(ws) / greatest(1, len(ts)) AS share FROM t JOIN r USING (query_id))"""
+rec AS (SELECT t.query_id, query, run, len(list_filter(ws, lambda w: list_contains(ts, w))) / len(ws) AS overlap, len(ws) AS length, len(ws) / greatest(1, len(ts)) AS share FROM t JOIN r USING (query_id))"""
+EMPHASIS = "WITH " + VOCAB_SQL + """, texts AS (SELECT doc, transcript || ' ' || coalesce(alternate, '') || ' ' || coalesce(description, '') AS text FROM strips),
+dw AS (SELECT doc, word, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS word FROM texts) GROUP BY ALL),
+known AS (SELECT word FROM vocab WHERE corpus = 'transcript' AND ln(n_docs / df) >= 1),
+qw AS (SELECT DISTINCT doc AS query_id, unnest(regexp_extract_all(lower(transcript), '[\\p{L}\\p{N}'']+')) AS word FROM strips),
+forms AS (SELECT DISTINCT word AS w FROM dw),""" + STEMS + """,
+said AS (SELECT query_id, q.word, stem FROM qw q JOIN dw ON dw.doc = query_id AND dw.word = q.word AND n >= 3 JOIN stems ON w = q.word
+  WHERE q.word IN (SELECT word FROM known) AND (query_id + 1, q.word) NOT IN (SELECT doc, word FROM dw)),
+kin AS (SELECT doc, stem FROM dw JOIN stems ON w = word GROUP BY ALL HAVING count(*) >= 2)
+SELECT query_id, word FROM said JOIN kin ON doc = query_id + 1 AND kin.stem = said.stem"""
+TARGETS = """, ga AS (SELECT DISTINCT query_id AS id, array_to_string(list_slice(ws, p, p + 7), ' ') AS g FROM (SELECT query_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM asked)),
+gb AS (SELECT DISTINCT doc AS id, array_to_string(list_slice(ws, p, p + 7), ' ') AS g FROM (SELECT doc, ws, unnest(range(1, len(ws) - 6)) AS p FROM split WHERE field = 'transcript')),
+best AS (SELECT ga.id AS query_id, gb.id AS doc, count(*) AS n FROM ga JOIN gb USING (g) GROUP BY ga.id, gb.id QUALIFY row_number() OVER (PARTITION BY ga.id ORDER BY count(*) DESC, gb.id) = 1),
+goal AS (SELECT query_id, date, substring('ABCDE', 1 + CAST(query_id % 5 AS INTEGER), 1) AS class FROM best JOIN strips USING (doc))"""
+QUALITY = RANKED.rstrip() + TARGETS + """, cnt AS (SELECT query_id, count(*) AS n FROM ranked GROUP BY query_id),
+rk AS (SELECT g.query_id, (SELECT min(position) FROM ranked r WHERE r.query_id = g.query_id AND r.date = g.date) AS rank, coalesce(n, 0) AS n FROM goal g LEFT JOIN cnt USING (query_id))
+"""
+MOVES = TERMS.rstrip() + TARGETS + """, knobs AS (SELECT 'base' AS knob, 0.7::DOUBLE AS value, 0.7::DOUBLE AS d, 0.15::DOUBLE AS a UNION ALL SELECT 'description_preference', v, v, 0.15 FROM (VALUES (0.4::DOUBLE), (0.55), (0.85), (1)) t(v)
+  UNION ALL SELECT 'agreement_bonus', v, 0.7, v FROM (VALUES (0::DOUBLE), (0.3), (0.6)) t(v)),
+fu AS (SELECT knob, value, query_id, doc, round(greatest(coalesce(t, 0), coalesce(told.d / 0.7 * knobs.d, 0)) + a * least(coalesce(t, 0), coalesce(told.d / 0.7 * knobs.d, 0)), 9) AS score
+  FROM spoken FULL JOIN told USING (query_id, doc) CROSS JOIN knobs),
+po AS (SELECT knob, value, query_id, date, row_number() OVER (PARTITION BY knob, value, query_id ORDER BY score DESC, date) AS position FROM fu JOIN strips USING (doc)),
+rr AS (SELECT knob, value, g.query_id, class, coalesce(max(1 / position), 0) AS rr FROM knobs CROSS JOIN (SELECT * FROM goal WHERE class IN ('A', 'B', 'C')) g LEFT JOIN po USING (knob, value, query_id, date) GROUP BY ALL),
+me AS (SELECT knob, value, (coalesce(avg(rr) FILTER (class IN ('A', 'C')), 0) + coalesce(avg(rr) FILTER (class IN ('B', 'C')), 0)) / 2 AS combined FROM rr GROUP BY ALL),
+ch AS (SELECT knob, value, combined - (SELECT combined FROM me WHERE knob = 'base') AS gain FROM me WHERE knob <> 'base')
+SELECT knob, value, round(gain, 6) AS gain, round(gain, 6) AS change, gain > 0.005 AS accepted FROM ch"""
+CORRECTED = QUERIES + """texts AS (SELECT doc, transcript || ' ' || coalesce(alternate, '') || ' ' || coalesce(description, '') AS text FROM strips),
+dw AS (SELECT DISTINCT doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS word FROM texts),
+lit AS (SELECT DISTINCT term, word FROM pre UNION SELECT term, b.w FROM terms JOIN stems a ON a.w = term JOIN stems b ON b.stem = a.stem),
+every AS (SELECT * FROM lit UNION SELECT term, word FROM fuzzy),
+one AS (SELECT query_id * 1000 + term_no AS query_id, term FROM qt),
+res AS (SELECT DISTINCT query_id, doc FROM one JOIN every USING (term) JOIN dw USING (word)),
+said AS (SELECT DISTINCT query_id, doc FROM one JOIN lit USING (term) JOIN dw USING (word))
+SELECT query_id, doc FROM res ANTI JOIN said USING (query_id, doc)"""
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 PLANS = {
     "e01_evaluate": (over(E.evaluate), RES + f"SELECT {EVAL} FROM rk WHERE date IS NOT NULL"),
-    "e01_search_quality": (e01_search, None),
+    "e01_search_quality": (e01_search, QUALITY + f"SELECT {EVAL} FROM rk"),
     "e02_misses": (over(E.misses), RES + "SELECT query_id, coalesce(rank, 0) AS rank, coalesce((SELECT string_agg(CAST(date AS VARCHAR), ',' ORDER BY position) FROM res WHERE res.query_id = rk.query_id AND position <= 3), '') AS found FROM rk WHERE date IS NOT NULL AND (rank IS NULL OR rank <> 1)"),
     "e03_hollow": (over(E.evaluate_hollow), RES + "SELECT count(*) AS queries, round(avg(n), 6) AS mean_results, max(n) AS worst_results, CAST(sum((SELECT count(*) FROM res WHERE res.query_id = rk.query_id AND source = 'description')) AS BIGINT) AS description_sourced FROM rk WHERE class = 'D'"),
     "e04_by_class": (over(E.evaluate_by_class), RES + f"SELECT class, {EVAL} FROM rk WHERE date IS NOT NULL AND class <> 'D' GROUP BY class"),
@@ -197,18 +265,18 @@ PLANS = {
     "e08_bound_violations": (lambda s, d: flat(E.violations(e07(s, d))), RECITE + " SELECT query_id, 'run' AS bound FROM rec WHERE run < 5 UNION ALL SELECT query_id, 'overlap' FROM rec WHERE overlap < 0.7 UNION ALL SELECT query_id, 'length' FROM rec WHERE length > 14 UNION ALL SELECT query_id, 'share' FROM rec WHERE share > 0.65"),
     "e09_answerable": (e09, "WITH " + TEXTS + " SELECT item_id AS query_id, item_id IN (SELECT query_id FROM iw JOIN dw USING (word) WHERE doc = query_id) AS answerable FROM benchmark"),
     "e10_decidable": (e10, "WITH " + TEXTS + " SELECT item_id AS query_id, EXISTS (SELECT 1 FROM iw WHERE iw.query_id = item_id AND (item_id, word) IN (SELECT doc, word FROM dw) AND (item_id + 1, word) NOT IN (SELECT doc, word FROM dw)) AS separable, EXISTS (SELECT 1 FROM iw WHERE iw.query_id = item_id AND (item_id + 1, word) IN (SELECT doc, word FROM dw)) AS contested FROM benchmark"),
-    "e11_emphasis_pairs": (e11, None),
+    "e11_emphasis_pairs": (e11, EMPHASIS),
     "e12_strays": (e12, "SELECT DISTINCT l_suppkey AS query_id, o_orderkey AS doc FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT regexp_matches(o_orderpriority, '^[12]-')"),
-    "e13_label_problems": (e13, RES.rstrip() + ", ev AS (SELECT DISTINCT date FROM p WHERE collection % 2 = 0) SELECT query_id, 'repeated_id' AS problem FROM lab WHERE query_id % 6 = 0 UNION ALL SELECT query_id, 'no_target' FROM lab WHERE class <> 'D' AND date IS NULL UNION ALL SELECT query_id, 'unknown_target' FROM lab WHERE date IS NOT NULL AND date NOT IN (SELECT date FROM ev) UNION ALL SELECT query_id, 'decoy_is_target' FROM lab WHERE decoy = date UNION ALL SELECT query_id, 'no_reason' FROM lab WHERE status = 'ambiguous' AND reason IS NULL"),
+    "e13_label_problems": (e13, RES.rstrip() + ", ev AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') SELECT query_id, 'repeated_id' AS problem FROM lab WHERE query_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT query_id, 'no_target' FROM lab WHERE class <> 'D' AND date IS NULL UNION ALL SELECT query_id, 'unknown_target' FROM lab WHERE date IS NOT NULL AND date NOT IN (SELECT date FROM ev) UNION ALL SELECT query_id, 'decoy_is_target' FROM lab WHERE decoy = date UNION ALL SELECT query_id, 'no_reason' FROM lab WHERE status = 'ambiguous' AND reason IS NULL"),
     "e14_split": (e14, "WITH " + STRIPS_SQL + f", k AS (SELECT doc, CAST(date AS VARCHAR) AS key FROM strips) SELECT doc, CASE WHEN ({FNV}) % 1000 < 200 THEN 'test' ELSE 'train' END AS split FROM k"),
     "e15_sweep": (e15, None),
-    "e16_accept": (e16, "SELECT l_suppkey AS query_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) % 13 > 5 AND count(*) % 3 >= 1"),
+    "e16_accept": (e16, MOVES),
     "e17_monotonicity": (e17, RES.rstrip() + ", c AS (SELECT collection AS q, count(*) AS n FROM p GROUP BY 1) SELECT a.q AS shorter, b.q AS longer, a.n AS n_shorter, b.n AS n_longer FROM c a JOIN c b ON b.q = a.q + 1 WHERE b.n > a.n"),
-    "e18_collapse": (e18, RES.rstrip() + ", c AS (SELECT collection AS query_id, count(*) AS before, count(*) FILTER (key % 3 = 0 OR collection % 2 = 0) AS n FROM p GROUP BY 1) SELECT * FROM c WHERE n < ceil(before * 0.5)"),
-    "e19_bloat": (e19, RES.rstrip() + ", c AS (SELECT collection, count(*) AS n FROM p GROUP BY 1), b AS (SELECT collection, count(*) AS n FROM p WHERE key % 3 = 0 GROUP BY 1), m AS (SELECT (SELECT avg(n) FROM c) AS after, (SELECT avg(n) FROM b) AS before) SELECT round(after, 6) AS after, round(before, 6) AS before FROM m WHERE before > 0 AND after > 1.5 * before"),
-    "e20_corrections": (e20, None),
+    "e18_collapse": (e18, f"WITH {PRINTED_SQL}, c AS (SELECT collection AS query_id, count(*) AS before, count(*) FILTER (flag = 'N') AS n FROM printed GROUP BY 1) SELECT * FROM c WHERE n < ceil(before * 0.5)"),
+    "e19_bloat": (e19, f"WITH {PRINTED_SQL}, c AS (SELECT collection, count(*) AS n FROM printed GROUP BY 1), b AS (SELECT collection, count(*) AS n FROM printed WHERE flag = 'N' GROUP BY 1), m AS (SELECT (SELECT avg(n) FROM c) AS after, (SELECT avg(n) FROM b) AS before) SELECT round(after, 6) AS after, round(before, 6) AS before FROM m WHERE before > 0 AND after > 1.5 * before"),
+    "e20_corrections": (e20, CORRECTED),
     "e22_subsample": (e22, RES.rstrip() + " SELECT class, CAST(CASE WHEN (SELECT count(*) FROM lab) <= 20 THEN count(*) ELSE least(count(*), greatest(1, round(count(*) / (SELECT count(*) FROM lab) * 20))) END AS BIGINT) AS n FROM lab GROUP BY class"),
-    "e23_sample": (e23, None),
+    "e23_sample": (e23, "SELECT doc_id AS doc FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50"),
     "e24_selection": (e24, RES.rstrip() + f", k AS (SELECT *, CAST(query_id AS VARCHAR) AS key FROM lab) SELECT class, count(*) AS n FROM k WHERE class IN ('A', 'B', 'C') AND status = 'validated' AND ({FNV}) % 1000 >= 200 GROUP BY class"),
-    "e25_golden": (e25, "WITH " + STRIPS_SQL + ", q AS (SELECT item_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+'), 1, 6), ' ') AS query FROM benchmark) SELECT 'A-' || md5(query) AS query_id, query, CAST(date AS VARCHAR) AS date, 'A' AS class FROM q JOIN strips ON doc = item_id"),
+    "e25_golden": (e25, "WITH " + STRIPS_SQL + ", q AS (SELECT item_id, text AS query FROM benchmark) SELECT 'A-' || md5(query) AS query_id, query, CAST(date AS VARCHAR) AS date, 'A' AS class FROM q JOIN strips ON doc = item_id"),
 }

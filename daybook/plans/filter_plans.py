@@ -147,9 +147,11 @@ def d05(spark, d):
 
 
 def d06(spark, d):
-    p = parsed(spark, d).where("doc % 9 = 5")
-    wrong = D.parse_dates(texts(spark, d).where("doc % 9 = 5").withColumn("t", F.concat(F.lit("sunday "), F.date_format("date", "MMM d, yyyy"))), "t", SPAN_ORDERS)
-    return flat(p.select("doc", F.size("candidates").alias("n")).join(wrong.select("doc", F.coalesce(F.size("candidates"), F.lit(0)).alias("m")), "doc").select("doc", "n", F.greatest("m", F.lit(0)).alias("m")))
+    """Each date with its own weekday and with Sunday, right or wrong."""
+    o, kept = orders(spark, d), lambda t: D.parse_dates(t, "t", SPAN_ORDERS).select("doc", F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0)).alias("n"))
+    right = kept(o.select("doc", F.date_format("date", "EEEE MMM d, yyyy").alias("t")))
+    sunday = kept(o.select("doc", F.concat(F.lit("sunday "), F.date_format("date", "MMM d, yyyy")).alias("t"))).withColumnRenamed("n", "m")
+    return flat(right.join(sunday, "doc"))
 
 
 def d08(spark, d):
@@ -221,11 +223,14 @@ PLANS = {
     "d03_match_dates": (d03, f"WITH o AS ({O}), c AS (SELECT doc % 500 AS k, min(year(date) * 100 + month(date)) AS ym FROM o GROUP BY 1), days AS (SELECT CAST(g AS DATE) AS date FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) t(g)) SELECT k, CAST(date AS VARCHAR) AS date FROM c JOIN days ON year(date) * 100 + month(date) = ym AND dayofweek(date) = k % 7"),
     "d04_two_digit_years": (d04, "SELECT o_orderkey, CASE WHEN v >= 95 THEN 1900 + v WHEN v <= 1 THEN 2000 + v END AS y, CASE WHEN v <= 1 THEN 2000 + v ELSE 1900 + v END AS z FROM (SELECT o_orderkey, o_orderkey % 100 AS v FROM orders)"),
     "d05_real_dates": (d05, "SELECT o_orderkey, CAST(try_cast(printf('%04d-%02d-%02d', 1995 + o_orderkey % 6, o_orderkey % 12 + 1, o_orderkey % 31 + 1) AS DATE) AS VARCHAR) AS date FROM orders"),
-    "d06_weekday_agreement": (d06, f"WITH o AS ({O}) SELECT doc, CAST(1 AS BIGINT) AS n, CAST(CASE WHEN dayofweek(date) = 0 THEN 1 ELSE 0 END AS BIGINT) AS m FROM o WHERE doc % 9 = 5"),
+    "d06_weekday_agreement": (d06, f"WITH o AS ({O}) SELECT doc, CAST(1 AS BIGINT) AS n, CAST(CASE WHEN dayofweek(date) = 0 THEN 1 ELSE 0 END AS BIGINT) AS m FROM o"),
     "d07_precision": (lambda s, d: flat(parsed(s, d).where("candidates is not null").groupBy("precision").agg(F.count("*").alias("n"))), f"WITH o AS ({O}) SELECT CASE WHEN doc % 9 = 3 THEN 'broad' WHEN doc % 9 IN (2, 6) THEN 'narrow' ELSE 'exact' END AS precision, count(*) AS n FROM o WHERE doc % 9 <> 8 GROUP BY 1"),
     "d08_strength": (d08, f"WITH o AS ({O}) SELECT doc, CASE WHEN doc % 9 = 3 THEN 0.8::DOUBLE WHEN doc % 9 IN (2, 6) THEN 1.5 ELSE 3.0 END AS strength FROM o WHERE doc % 9 <> 8"),
     "d09_date_union": (d09, "WITH p AS (SELECT l_suppkey AS query_id, l_orderkey AS doc, count(*) / 10 AS score, min(CAST(o_orderdate AS DATE)) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), m AS (SELECT DISTINCT query_id % 7 + 1 AS query_id, doc, 1.5::DOUBLE AS strength FROM p WHERE month(date) = 2) SELECT query_id, doc, round(CASE WHEN score IS NULL THEN strength WHEN strength IS NULL THEN score ELSE greatest(score, strength) + 0.15 * least(score, strength) END, 6) AS score, CASE WHEN score IS NULL THEN 'date' ELSE 'transcript' END AS source FROM p FULL JOIN m USING (query_id, doc)"),
     "d10_date_text": (d10, f"WITH {STRIPS_SQL} SELECT doc, md5(coalesce(nullif(transcript, ''), nullif(description, ''), '')) AS hash FROM strips"),
-    "e26_reach": (e26, None),
+    "e26_reach": (e26, f"""WITH o AS ({O}), f AS (SELECT CASE doc % 9 WHEN 0 THEN strftime(date, '%B') || ' ' || day(date) || ' ' || year(date) WHEN 1 THEN month(date) || '/' || day(date) || '/' || strftime(date, '%y') WHEN 2 THEN strftime(date, '%Y-%m')
+ WHEN 3 THEN strftime(date, '%Y') WHEN 4 THEN strftime(date, '%Y%m%d') WHEN 5 THEN strftime(date, '%A %b ') || day(date) || ', ' || year(date) WHEN 6 THEN strftime(date, '%b %y') ELSE day(date) || '.' || month(date) || '.' || year(date) END AS k,
+ CASE WHEN doc % 9 IN (1, 7) AND {AMB} THEN 2 WHEN doc % 9 IN (2, 6) THEN day(last_day(date)) WHEN doc % 9 = 3 THEN 337 + day(last_day(make_date(year(date), 2, 1))) ELSE 1 END AS n FROM o WHERE doc % 9 <> 8)
+ SELECT DISTINCT k, CAST(n AS BIGINT) AS n FROM f"""),
     "c01_calendar": (c01, f"WITH {STRIPS_SQL}, {CALENDAR_SQL} SELECT CAST(date AS VARCHAR) AS date, week, weekday, state FROM calendar WHERE date IN (SELECT date FROM strips)"),
 }

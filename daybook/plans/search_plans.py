@@ -1,26 +1,23 @@
-"""Ranked search, its stages, result order and tiers.
-
-Stage queries that SQL checks use the exact and prefix routes; the whole search uses all."""
+"""Ranked search, its stages, result order and tiers.  Every stage takes the benchmark's whole texts as queries, by all routes."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..operators import corpus as C
 from ..operators import results as R
 from ..operators import search as S
 from ..params import DEFAULT, params_table
-from .bindings import ASKED_SQL, VOCAB_SQL, asked, flat, strips, table
+from .bindings import ASKED_SQL, RARE_SQL, STEMS, VOCAB_SQL, asked, flat, rare, strips, table
+from .text_plans import rows, vocab
+
+KEY = ["query_id", "corpus", "doc", "field"]
 
 
-def stages(spark, d, routes=("prefix",)):
-    corpus, queries = S.build(strips(spark, d)), asked(spark, d)
-    terms = S.query_terms(queries).persist(StorageLevel.DISK_ONLY)
-    expansion = S.expand(terms, corpus.vocab, DEFAULT, routes).persist(StorageLevel.DISK_ONLY)
-    anchor = S.anchors(expansion).persist(StorageLevel.DISK_ONLY)
-    denoms = S.denominators(terms, anchor, corpus.stats).persist(StorageLevel.DISK_ONLY)
-    return corpus, terms, expansion, anchor, denoms
+def prepared(spark, d):
+    corpus = S.build(strips(spark, d))
+    return corpus, S.stages(corpus, asked(spark, d))
 
 
 def q01(spark, d):
@@ -28,98 +25,65 @@ def q01(spark, d):
 
 
 def q02(spark, d):
-    r = C.fields(strips(spark, d))
-    v = C.vocabulary(C.postings(r), r)
-    return flat(S.expand_prefix(S.query_terms(asked(spark, d)), v).select("corpus", "term", "word", "weight"))
+    return flat(S.expand_prefix(S.query_terms(asked(spark, d)), vocab(spark, d)).select("corpus", "term", "word", "weight"))
 
 
 def q03(spark, d):
-    r = C.fields(strips(spark, d))
-    return flat(S.expand_fuzzy(S.query_terms(asked(spark, d)), C.vocabulary(C.postings(r), r)))
+    return flat(S.expand_fuzzy(S.query_terms(asked(spark, d)), vocab(spark, d)).select("corpus", "term", "word", "weight"))
 
 
 def q04(spark, d):
-    r = C.fields(strips(spark, d))
-    v = C.vocabulary(C.postings(r), r)
-    return flat(S.expand_inflection(S.query_terms(asked(spark, d)), v, {"transcript": 0.0, "description": 0.7}))
-
-
-def q05(spark, d):
-    return flat(stages(spark, d, ("prefix", "fuzzy", "stem"))[2].select("corpus", "term", "word", "weight", "literal"))
+    weights = {"transcript": DEFAULT.transcript_inflection_weight, "description": DEFAULT.description_inflection_weight}
+    return flat(S.expand_inflection(S.query_terms(asked(spark, d)), vocab(spark, d), weights).select("corpus", "term", "word", "weight"))
 
 
-def q06(spark, d):
-    return flat(stages(spark, d)[2].select("corpus", "term", "word", "contribution"))
+def stage(name, *columns):
+    return lambda spark, d: flat(getattr(prepared(spark, d)[1], name).select(*columns))
 
 
 def q07(spark, d):
-    return flat(stages(spark, d)[3].where("not suppressed").select("corpus", "term", "ceiling"))
-
-
-def q08(spark, d):
-    return flat(stages(spark, d)[3].select("corpus", "term", "suppressed"))
-
-
-def q09(spark, d):
-    return flat(stages(spark, d)[4].select("query_id", "corpus", "term", "ceiling"))
-
-
-def q10(spark, d):
-    return flat(S.thresholds(stages(spark, d)[4]).select("query_id", "corpus", "effective"))
-
-
-def q11(spark, d):
-    return flat(S.thresholds(stages(spark, d)[4]).select("query_id", "corpus", "required"))
-
-
-def hits(spark, d):
-    corpus, terms, expansion, anchor, denoms = stages(spark, d)
-    return corpus, terms, denoms, S.hits(corpus.postings, expansion, anchor, terms).persist(StorageLevel.DISK_ONLY)
+    return flat(prepared(spark, d)[1].anchor.where("not suppressed").select("corpus", "term", "ceiling"))
 
 
 def q12(spark, d):
-    h = hits(spark, d)[3]
-    return flat(h.groupBy("query_id", "corpus", "doc", "field").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("term_no").alias("terms")))
+    corpus, s = prepared(spark, d)
+    h = S.hits(corpus.tokens, s.live, s.terms)
+    return flat(h.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("term_no").alias("terms")))
 
 
 def summary(spark, d):
-    corpus, terms, denoms, h = hits(spark, d)
-    return S.summarise(h, denoms, S.thresholds(denoms))
-
-
-def q13(spark, d):
-    return flat(summary(spark, d).select("query_id", "corpus", "doc", "field", "achieved", "coverage", "matched"))
+    corpus, s = prepared(spark, d)
+    return S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits)
 
 
-def q14(spark, d):
-    return flat(summary(spark, d).select("query_id", "corpus", "doc", "field", "base"))
+def measure(*columns):
+    return lambda spark, d: flat(summary(spark, d).select(*KEY, *columns))
 
 
-def q15(spark, d):
-    return flat(summary(spark, d).select("query_id", "corpus", "doc", "field", "literal_share"))
+def gated(name):
+    return lambda spark, d: flat(S.gate(summary(spark, d)).where(F.col("corpus") == name).select("query_id", "doc", "field"))
 
 
-def gated(spark, d, corpus):
-    return flat(S.gate(summary(spark, d)).where(F.col("corpus") == corpus).select("query_id", "doc", "field"))
+def gated_hits(spark, d, name):
+    """(the corpus, the stages, the hits in gated fields of one corpus)."""
+    corpus, s = prepared(spark, d)
+    ok = S.settle(S.gate(S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits)).where(F.col("corpus") == name))
+    return corpus, s, S.hits(corpus.tokens.where(F.col("corpus") == name), s.live, s.terms, ok)
 
 
 def q17(spark, d):
-    corpus, terms, denoms, h = hits(spark, d)
-    ok = S.gate(S.summarise(h, denoms, S.thresholds(denoms))).where("corpus = 'transcript'")
-    return flat(S.ordered_subsequence(h, ok, terms))
+    _, s, h = gated_hits(spark, d, "transcript")
+    return flat(S.ordered_subsequence(h, s.terms).drop("setting"))
 
 
 def q18(spark, d):
-    corpus, terms, denoms, h = hits(spark, d)
-    ok = S.gate(S.summarise(h, denoms, S.thresholds(denoms))).where("corpus = 'transcript'")
-    own = h.join(ok.select("query_id", "corpus", "doc", "field"), ["query_id", "corpus", "doc", "field"], "left_semi")
-    return flat(S.runs(own, terms))
+    _, s, h = gated_hits(spark, d, "transcript")
+    return flat(S.runs(h, s.terms).drop("setting"))
 
 
-def scored(spark, d, p=DEFAULT):
-    corpus, terms, denoms, h = hits(spark, d)
-    ok = S.gate(S.summarise(h, denoms, S.thresholds(denoms)))
-    return S.score_fields(ok, S.ordered_subsequence(h, ok.where("corpus = 'transcript'"), terms), corpus.lengths, corpus.stats, p)
+def scored(spark, d):
+    corpus, s = prepared(spark, d)
+    return S.scored_fields(corpus, s)
 
 
 def q19(spark, d):
@@ -127,10 +91,14 @@ def q19(spark, d):
 
 
 def q20(spark, d):
-    r = C.fields(strips(spark, d))
+    tokens = S.build(strips(spark, d)).tokens
     b = DEFAULT.description_length_normalization
     pivot = F.greatest(F.lit(0.01), 1 - b + b * F.col("len") / F.col("avg_len"))
-    return flat(C.field_lengths(r).join(C.corpus_stats(r), "corpus").select("doc", "corpus", "field", pivot.alias("pivot")))
+    return flat(C.field_lengths(tokens).join(C.corpus_stats(tokens), "corpus").select("doc", "corpus", "field", pivot.alias("pivot")))
+
+
+def q21(spark, d):
+    return flat(S.best_field(scored(spark, d)).select("query_id", "doc", F.col("tf").alias("field"), F.col("t").alias("score")))
 
 
 def q23(spark, d):
@@ -138,24 +106,29 @@ def q23(spark, d):
 
 
 def q25(spark, d):
-    return flat(S.fuse(scored(spark, d)))
+    return flat(S.fuse(scored(spark, d)).drop("setting"))
 
 
 def q26(spark, d):
-    corpus, terms, denoms, h = hits(spark, d)
-    rare = h.where("corpus = 'description'")
-    out = S.highlight_ranges(rare, denoms, C.spans(corpus.fields.where("corpus = 'description'")))
-    return flat(out.select("query_id", "doc", F.transform("ranges", lambda r: F.concat_ws("-", r["start"], r["end"])).alias("ranges")))
+    """Highlights of gated fields of both corpora."""
+    out = []
+    for name in ("transcript", "description"):
+        corpus, s, h = gated_hits(spark, d, name)
+        out.append(S.highlight_ranges(h, s.denoms, C.spans(corpus.tokens.where(F.col("corpus") == name).select(*C.WHERE, "text"))))
+    both = out[0].unionByName(out[1])
+    return flat(both.select(*KEY, F.transform("ranges", lambda r: F.concat_ws("-", r["start"], r["end"])).alias("ranges")))
 
 
 def q27(spark, d):
     marks = spark.createDataFrame([(1, "###"), (2, " | "), (3, "!!"), (4, "   ")], "query_id long, query string")
-    return flat(S.literal_search(C.fields(strips(spark, d)), marks))
+    return flat(S.literal_search(rows(spark, d), marks))
 
 
-def found(spark, d):
-    out = S.text_search(S.build(strips(spark, d)), asked(spark, d))
-    return R.ranked(out.join(strips(spark, d).select("doc", "date", "id"), "doc"))
+def found(spark, d, p=DEFAULT):
+    """Ranked results; scores are rounded, so that equal texts tie whatever the order of their sums."""
+    corpus = S.build(strips(spark, d))
+    out = S.text_search(corpus, asked(spark, d), p).withColumn("score", F.round("score", 9))
+    return R.ranked(out.join(corpus.strips.select("doc", "date", "id"), "doc"))
 
 
 def q28(spark, d):
@@ -167,11 +140,14 @@ def q29(spark, d):
 
 
 def q30(spark, d):
-    knobs = params_table(spark, [("base", DEFAULT), ("tight", DEFAULT.but(description_coverage_floor=0.5))])
-    t = S.thresholds(stages(spark, d)[4]).where("corpus = 'description'").crossJoin(F.broadcast(knobs))
-    floor = F.col("description_coverage_floor")
-    required = F.when(F.col("effective") == 0, 0.0).otherwise(floor + (1 - floor) / F.col("effective"))
-    return flat(t.select("label", "query_id", required.alias("required")))
+    """Required coverage under two settings, by the operator itself."""
+    from ..params import Settings
+
+    knobs = Settings((DEFAULT, DEFAULT.but(description_coverage_floor=0.5)))
+    corpus = S.build(strips(spark, d))
+    limits = S.stages(corpus, asked(spark, d), knobs).limits
+    names = params_table(spark, [("base", knobs.rows[0]), ("tight", knobs.rows[1])]).select("label", F.when(F.col("label") == "base", 0).otherwise(1).alias("setting"))
+    return flat(limits.join(names, "setting").select("label", "query_id", "corpus", "required"))
 
 
 def flagship(spark, d):
@@ -196,10 +172,13 @@ def v05(spark, d):
 
 
 def v06(spark, d):
-    from ..functions.text import words
-
-    df = table(spark, d, "benchmark").select("item_id", "text", F.array(F.struct(F.lit(0).alias("start"), F.length(F.element_at(words(F.col("text")), 1)).alias("end"))).alias("ranges"))
-    return flat(R.render_snippets(df).select("item_id", "html"))
+    """The first word and the last ten characters marked; where they overlap the later mark is left out, as are empty ones."""
+    n = F.length("text")
+    first = F.struct(F.lit(0).alias("start"), F.length(F.element_at(words(F.col("text")), 1)).alias("end"))
+    last = F.struct(F.greatest(F.lit(0), n - 10).alias("start"), n.alias("end"))
+    inner = F.struct(F.lit(1).alias("start"), F.lit(2).alias("end"))
+    df = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("doc"), "text", F.array(first, inner, last).alias("ranges"))
+    return flat(R.render_snippets(df).select("doc", F.md5("html").alias("hash")))
 
 
 def v07(spark, d):
@@ -207,34 +186,87 @@ def v07(spark, d):
 
 
 def v08(spark, d):
-    from .bindings import printed
-
     queries = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"))
-    return flat(R.result_counts(queries, printed(spark, d).where("collection % 2 = 0").select(F.col("collection").alias("query_id"))))
+    return flat(R.result_counts(queries, rare(spark, d).select(F.col("collection").alias("query_id"))))
+
+
+#: SQL's edit distance counts bytes, so letters beyond ASCII become other signs that no word has.
+ONE_BYTE = "translate({}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#$%&()*')"
 
 
-TERMS = "WITH " + VOCAB_SQL + "," + ASKED_SQL + """,
-tk AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS seq FROM (SELECT query_id, string_split(query, ' ') AS ws FROM asked WHERE query <> '')),
+def swap_sql(a, b):
+    """SQL: a and b differ by one swap of neighbours."""
+    at = f"list_position(list_transform(range(1, length({a}) + 1), lambda i: {a}[i] <> {b}[i]), true)"
+    same = f"length({a}[p:p+1]) = 2 AND {a}[p:p+1] = reverse({b}[p:p+1]) AND {a}[p+2:] = {b}[p+2:]"
+    return f"coalesce(length({a}) = length({b}) AND list_transform([{at}], lambda p: coalesce(p > 0 AND {same}, false))[1], false)"
+
+
+QUERIES = "WITH RECURSIVE " + VOCAB_SQL + "," + ASKED_SQL + """,
+tk AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS seq FROM asked),
 ft AS (SELECT query_id, term, min(seq) AS f FROM tk GROUP BY query_id, term),
 qt AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY f) - 1 AS term_no FROM ft),
 terms AS (SELECT DISTINCT term FROM tk),
-exp AS (SELECT corpus, term, word, CASE WHEN term = word THEN 1.0 ELSE 0.85 END AS weight, idf FROM vocab JOIN terms ON starts_with(word, term)),
-ex AS (SELECT *, CAST(weight AS DOUBLE) * pow(idf, 1.25) AS contribution FROM exp),
-an AS (SELECT corpus, term, coalesce(max(idf) FILTER (term = word), CASE WHEN max(contribution) > 0 THEN arg_max(idf, contribution) ELSE 0 END) AS rarity,
+pre AS (SELECT corpus, term, word, CASE WHEN term = word THEN 1.0::DOUBLE ELSE 0.85 END AS weight FROM terms JOIN vocab ON starts_with(word, term)),
+allowed AS (SELECT term, CASE WHEN length(term) <= 7 THEN 1 ELSE 2 END AS most FROM terms WHERE length(term) > 3),
+spelt AS (SELECT DISTINCT word AS real_word, """ + ONE_BYTE.format("word") + """ AS word FROM vocab),
+near AS (SELECT a.term AS real_term, real_word, a.one AS term, word, most, levenshtein(word, a.one) AS lev FROM (SELECT term, most, """ + ONE_BYTE.format("term") + """ AS one FROM allowed) a
+  JOIN spelt ON abs(length(word) - length(a.one)) <= most AND word <> a.one AND levenshtein(word, a.one) <= 2 * most),
+cut AS (SELECT *, list_position(list_transform(range(1, greatest(length(word), length(term)) + 1), lambda i: word[i] <> term[i]), true) AS m FROM near),
+rest AS (SELECT *, word[m:] AS x, term[m:] AS y, word[m+1:] AS x1, term[m+1:] AS y1, word[m+2:] AS x2, term[m+2:] AS y2 FROM cut),
+""" + f"""edits AS (SELECT real_term AS term, real_word AS word, most, CASE WHEN lev = 1 OR ({swap_sql('word', 'term')}) THEN 1 WHEN lev = 2 OR (most = 2 AND (
+  (length(x) > 1 AND length(y) > 1 AND x[1:2] = reverse(y[1:2]) AND (levenshtein(x2, y2) <= 1 OR {swap_sql('x2', 'y2')}))
+  OR {swap_sql('x1', 'y1')} OR {swap_sql('x1', 'y')} OR {swap_sql('x', 'y1')})) THEN 2 ELSE 3 END AS d FROM rest),
+fuzzy AS (SELECT corpus, term, word, CASE WHEN d = 1 THEN 0.7::DOUBLE ELSE 0.55 END AS weight FROM edits JOIN vocab USING (word) WHERE d <= most),
+forms AS (SELECT word AS w FROM vocab UNION SELECT term FROM terms),{STEMS},
+kin AS (SELECT corpus, term, word, 0.7::DOUBLE AS weight FROM terms JOIN stems a ON a.w = term JOIN stems b ON b.stem = a.stem JOIN vocab ON word = b.w WHERE corpus = 'description'),
+routes AS (SELECT *, 'w' AS r FROM pre UNION ALL SELECT *, 'f' FROM fuzzy UNION ALL SELECT *, 's' FROM kin),
+exp AS (SELECT corpus, term, word, greatest(coalesce(max(weight) FILTER (r = 'w'), max(weight) FILTER (r = 'f'), 0), coalesce(max(weight) FILTER (r = 's'), 0)) AS weight, bool_or(r <> 'f') AS literal FROM routes GROUP BY ALL),
+""" + """ex AS (SELECT e.*, idf, weight * pow(idf, 1.25) AS contribution FROM exp e JOIN vocab USING (corpus, word)),
+an AS (SELECT corpus, term, coalesce(max(idf) FILTER (term = word), CASE WHEN max(contribution) > 0 THEN arg_max(idf, {'c': contribution, 'i': idf}) ELSE 0 END) AS rarity,
   coalesce(max(contribution) FILTER (term = word), max(contribution)) AS top FROM ex GROUP BY corpus, term),
 anchor AS (SELECT corpus, term, rarity, corpus = 'description' AND rarity < 1 AS suppressed, CASE WHEN corpus = 'description' AND rarity < 1 THEN 0 ELSE top END AS ceiling FROM an),
 den AS (SELECT q.query_id, n.corpus, q.term, q.term_no, coalesce(h.ceiling, CASE WHEN t.term IS NOT NULL THEN pow(greatest(0, ln(n.n_docs)), 1.25) ELSE 0 END) AS ceiling, coalesce(h.rarity, 0) AS rarity
   FROM qt q CROSS JOIN ndocs n LEFT JOIN anchor h ON h.term = q.term AND h.corpus = n.corpus LEFT JOIN anchor t ON t.term = q.term AND t.corpus <> n.corpus),
 thr AS (SELECT query_id, corpus, sum(ceiling) AS total, count(*) FILTER (ceiling > 0) AS live, CASE WHEN max(ceiling) > 0 THEN sum(ceiling) / max(ceiling) ELSE 0 END AS effective FROM den GROUP BY query_id, corpus),
 req AS (SELECT *, CASE WHEN effective = 0 THEN 0 WHEN corpus = 'transcript' THEN 0.4 + 0.6 / effective ELSE 0.05 + 0.95 / effective END AS required FROM thr),
-hit AS (SELECT q.query_id, p.corpus, p.doc, p.field, p.pos, q.term_no, e.weight, e.contribution FROM posts p JOIN ex e ON e.corpus = p.corpus AND e.word = p.word
-  JOIN qt q ON q.term = e.term JOIN anchor a ON a.corpus = e.corpus AND a.term = e.term AND NOT a.suppressed),
-pt AS (SELECT query_id, corpus, doc, field, term_no, count(*) AS n, max(contribution) AS best FROM hit GROUP BY ALL),
-sm AS (SELECT pt.query_id, pt.corpus, doc, field, sum(least(best, ceiling) * (1 + CASE WHEN pt.corpus = 'transcript' THEN 0.25 ELSE 0 END * log2(n))) AS base,
-  sum(least(best, ceiling)) AS achieved, count(*) AS matched, count(*) FILTER (ceiling > 0) AS literal_terms
-  FROM pt JOIN den USING (query_id, corpus, term_no) GROUP BY ALL),
+live AS (SELECT ex.* FROM ex JOIN anchor USING (corpus, term) WHERE NOT suppressed),
+"""
+QUERIES_ONLY = QUERIES.rstrip().rstrip(",") + " "
+TERMS = QUERIES + """wc AS (SELECT doc, corpus, field, word, count(*) AS n FROM posts GROUP BY ALL),
+pt AS (SELECT doc, corpus, field, term, sum(n) AS n, max(contribution) AS best, bool_or(literal) AS literal FROM wc JOIN live USING (corpus, word) GROUP BY ALL),
+sm AS (SELECT den.query_id, pt.corpus, doc, field, sum(least(best, ceiling) * (1 + CASE WHEN pt.corpus = 'transcript' THEN 0.25 ELSE 0 END * log2(n))) AS base,
+  sum(least(best, ceiling)) AS achieved, count(*) AS matched, count(*) FILTER (literal AND ceiling > 0) AS literal_terms
+  FROM pt JOIN den USING (corpus, term) GROUP BY ALL),
 su AS (SELECT sm.*, total, required, CASE WHEN total > 0 THEN achieved / total ELSE 0 END AS coverage, CASE WHEN live > 1 THEN literal_terms / live ELSE 1 END AS literal_share FROM sm JOIN req USING (query_id, corpus)),
-gate AS (SELECT * FROM su WHERE total > 0 AND coverage >= required AND literal_share >= 0.2 AND (corpus = 'transcript' OR achieved / greatest(1, matched) >= 2.5))
+gate AS (SELECT * FROM su WHERE total > 0 AND coverage >= required AND literal_share >= 0.2 AND (corpus = 'transcript' OR achieved / greatest(1, matched) >= 2.5)),
+hit AS (SELECT g.query_id, p.corpus, p.doc, p.field, p.pos, q.term_no, e.weight FROM gate g JOIN posts p USING (corpus, doc, field) JOIN live e ON e.corpus = p.corpus AND e.word = p.word
+  JOIN qt q ON q.term = e.term AND q.query_id = g.query_id),
+h AS (SELECT *, row_number() OVER w AS col, lag(pos) OVER w AS prev FROM hit WHERE corpus = 'transcript' WINDOW w AS (PARTITION BY query_id, corpus, doc, field ORDER BY pos, term_no)),
+pr AS (SELECT h.*, tk.seq, col - tk.seq AS diag FROM h JOIN qt USING (query_id, term_no) JOIN tk USING (query_id, term)),
+ne AS (SELECT *, CASE WHEN lag(col) OVER (PARTITION BY query_id, doc, field, diag ORDER BY col) = col - 1 AND prev = pos - 1 THEN 0 ELSE 1 END AS fresh FROM pr),
+isl AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, doc, field, diag ORDER BY col) AS i FROM ne),
+run AS (SELECT query_id, doc, field, max(w) AS run FROM (SELECT query_id, doc, field, diag, i, sum(weight) AS w FROM isl GROUP BY ALL) GROUP BY ALL),
+step AS (
+  SELECT CAST(-1 AS BIGINT) AS k, query_id, doc, field, col, term_no, weight, 0::DOUBLE AS best FROM h
+  UNION ALL
+  SELECT k, query_id, doc, field, col, term_no, weight, max(got) OVER (PARTITION BY query_id, doc, field ORDER BY col ROWS UNBOUNDED PRECEDING) FROM (
+    SELECT s.k + 1 AS k, s.query_id, doc, field, col, s.term_no, weight, greatest(best, CASE WHEN q.term_no = s.term_no AND weight > 0 THEN weight + coalesce(lag(best) OVER (PARTITION BY s.query_id, doc, field ORDER BY col), 0) ELSE 0 END) AS got
+    FROM step s JOIN tk ON tk.query_id = s.query_id AND tk.seq = s.k + 1 JOIN qt q ON q.query_id = tk.query_id AND q.term = tk.term)),
+lcs AS (SELECT query_id, doc, field, max(best) AS lcs FROM step GROUP BY ALL),
+seqs AS (SELECT lcs.*, run, n_seq FROM lcs JOIN run USING (query_id, doc, field) JOIN (SELECT query_id, count(*) AS n_seq FROM tk GROUP BY query_id) USING (query_id)),
+lens AS (SELECT corpus, avg(len(ws)) AS avg_len FROM split GROUP BY corpus),
+sc AS (SELECT g.query_id, g.corpus, g.doc, g.field, base / total / CASE WHEN g.corpus = 'transcript' THEN 1 ELSE greatest(0.01, 0.9 + 0.1 * len(ws) / avg_len) END AS strength,
+  coalesce(1 + lcs / n_seq + 2 * pow(run / n_seq, 2), 1) AS multiplier
+  FROM gate g JOIN split s ON s.doc = g.doc AND s.corpus = g.corpus AND s.field = g.field JOIN lens ON lens.corpus = g.corpus
+  LEFT JOIN seqs ON g.corpus = 'transcript' AND seqs.query_id = g.query_id AND seqs.doc = g.doc AND seqs.field = g.field),
+one AS (SELECT * FROM sc WHERE corpus = 'transcript' QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY strength * multiplier DESC, field DESC) = 1),
+tops AS (SELECT query_id, greatest(max(multiplier), 2) AS norm FROM one GROUP BY query_id),
+spoken AS (SELECT query_id, doc, field AS tf, strength * multiplier / norm AS t FROM one JOIN tops USING (query_id)),
+told AS (SELECT query_id, doc, strength * 0.7 AS d FROM sc WHERE corpus = 'description'),
+fused AS (SELECT query_id, doc, greatest(coalesce(t, 0), coalesce(d, 0)) + 0.15 * least(coalesce(t, 0), coalesce(d, 0)) AS score, t IS NOT NULL AND t >= coalesce(d, 0) AS prefer, tf FROM spoken FULL JOIN told USING (query_id, doc))
+"""
+RANKED = TERMS.rstrip() + """, ranked AS (SELECT f.query_id, f.doc, date, round(score, 9) AS score, CASE WHEN prefer THEN 'transcript' ELSE 'description' END AS source,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, date) AS position FROM fused f JOIN strips USING (doc))
 """
 F4 = "query_id, corpus, doc, field"
 SCORES = """WITH s AS (SELECT l_suppkey AS query_id, CAST(o_orderdate AS DATE) AS date, count(*) * 1.0 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -244,51 +276,55 @@ STEPS = TIER.format(r="CAST(score AS DOUBLE) / CAST(top AS DOUBLE)", a=0.85, b=0
 FIFTHS = TIER.format(r="CAST(score AS DOUBLE) / CAST(top AS DOUBLE)", a=0.8, b=0.6, c=0.4, e=0.2)
 STRETCH = TIER.format(r="CASE WHEN top = low THEN 1 ELSE CAST(score - low AS DOUBLE) / CAST(top - low AS DOUBLE) END", a=0.8, b=0.6, c=0.4, e=0.2)
 
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+SNIPPETS = f"""WITH t AS (SELECT doc_id AS doc, text, length(regexp_extract(lower(text), '[\\p{{L}}\\p{{N}}'']+')) AS e, length(text) AS n FROM documents WHERE text <> ''),
+m AS (SELECT *, nullif(e, 0) AS a FROM t),
+k AS (SELECT *, CASE WHEN a IS NULL THEN 0 WHEN a <= 1 THEN 2 ELSE a END AS b FROM m)
+SELECT doc, md5(CASE WHEN a IS NULL THEN NULL ELSE '<mark>' || {ESCAPED.format("text[1:a]")} || '</mark>' END
+  || CASE WHEN a <= 1 THEN '<mark>' || {ESCAPED.format("text[2:2]")} || '</mark>' ELSE '' END
+  || CASE WHEN greatest(0, n - 10) < b THEN {ESCAPED.format("text[b+1:]")} ELSE {ESCAPED.format("text[b+1:greatest(0, n-10)]")} || '<mark>' || {ESCAPED.format("text[greatest(0, n-10)+1:]")} || '</mark>' END) AS hash FROM k"""
+
 PLANS = {
     "q00_coverage_ranked": (flagship, TERMS + f""", b AS (SELECT query_id, doc, round(max(coverage), 9) AS score FROM gate WHERE corpus = 'transcript' GROUP BY ALL),
 o AS (SELECT b.*, date, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date, CAST(doc AS VARCHAR)) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM b JOIN strips USING (doc))
 SELECT query_id, doc, CAST(date AS VARCHAR) AS date, round(score, 6) AS score, position, total FROM o WHERE position <= 10"""),
-    "q01_query_terms": (q01, TERMS + "SELECT query_id, seq, term, term_no FROM tk JOIN qt USING (query_id, term)"),
-    "q02_prefix_expansion": (q02, TERMS + "SELECT corpus, term, word, CAST(weight AS DOUBLE) AS weight FROM exp"),
-    "q03_fuzzy_join": (q03, None),
-    "q04_inflection_expansion": (q04, None),
-    "q05_merged_expansion": (q05, None),
-    "q06_contribution": (q06, TERMS + "SELECT corpus, term, word, round(contribution, 6) AS contribution FROM ex"),
-    "q07_term_anchors": (q07, TERMS + "SELECT corpus, term, round(ceiling, 6) AS ceiling FROM anchor WHERE NOT suppressed"),
-    "q08_suppression": (q08, TERMS + "SELECT corpus, term, suppressed FROM anchor"),
-    "q09_denominators": (q09, TERMS + "SELECT query_id, corpus, term, round(ceiling, 6) AS ceiling FROM den"),
-    "q10_effective_terms": (q10, TERMS + "SELECT query_id, corpus, round(effective, 6) AS effective FROM thr"),
-    "q11_required_coverage": (q11, TERMS + "SELECT query_id, corpus, round(required, 6) AS required FROM req"),
-    "q12_hits": (q12, TERMS + f"SELECT {F4}, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions, CAST(sum(term_no) AS BIGINT) AS terms FROM hit GROUP BY {F4}"),
-    "q13_coverage": (q13, TERMS + f"SELECT {F4}, round(achieved, 6) AS achieved, round(coverage, 6) AS coverage, matched FROM su"),
-    "q14_repetition": (q14, TERMS + f"SELECT {F4}, round(base, 6) AS base FROM su"),
-    "q15_literal_share": (q15, TERMS + f"SELECT {F4}, round(literal_share, 6) AS literal_share FROM su"),
-    "q16_transcript_gate": (lambda s, d: gated(s, d, "transcript"), TERMS + "SELECT query_id, doc, field FROM gate WHERE corpus = 'transcript'"),
-    "q17_ordered_subsequence": (q17, None),
-    "q18_longest_run": (q18, TERMS + f""", h AS (SELECT hit.*, row_number() OVER w AS col, lag(pos) OVER w AS prev FROM hit JOIN gate USING ({F4}) WHERE corpus = 'transcript' WINDOW w AS (PARTITION BY {F4} ORDER BY pos, term_no)),
-pr AS (SELECT h.*, tk.seq, col - tk.seq AS diag FROM h JOIN qt USING (query_id, term_no) JOIN tk USING (query_id, term)),
-ne AS (SELECT *, CASE WHEN lag(col) OVER (PARTITION BY {F4}, diag ORDER BY col) = col - 1 AND prev = pos - 1 THEN 0 ELSE 1 END AS fresh FROM pr),
-isl AS (SELECT *, sum(fresh) OVER (PARTITION BY {F4}, diag ORDER BY col) AS i FROM ne)
-SELECT {F4}, round(max(w), 6) AS run FROM (SELECT {F4}, diag, i, CAST(sum(weight) AS DOUBLE) AS w FROM isl GROUP BY ALL) GROUP BY {F4}"""),
-    "q19_sequence_multiplier": (q19, None),
+    "q01_query_terms": (q01, QUERIES_ONLY + "SELECT query_id, seq, term, term_no FROM tk JOIN qt USING (query_id, term)"),
+    "q02_prefix_expansion": (q02, QUERIES_ONLY + "SELECT * FROM pre"),
+    "q03_fuzzy_join": (q03, QUERIES_ONLY + "SELECT * FROM fuzzy"),
+    "q04_inflection_expansion": (q04, QUERIES_ONLY + "SELECT * FROM kin"),
+    "q05_merged_expansion": (stage("expansion", "corpus", "term", "word", "weight", "literal"), QUERIES_ONLY + "SELECT * FROM exp"),
+    "q06_contribution": (stage("expansion", "corpus", "term", "word", "contribution"), QUERIES_ONLY + "SELECT corpus, term, word, round(contribution, 6) AS contribution FROM ex"),
+    "q07_term_anchors": (q07, QUERIES_ONLY + "SELECT corpus, term, round(ceiling, 6) AS ceiling FROM anchor WHERE NOT suppressed"),
+    "q08_suppression": (stage("anchor", "corpus", "term", "suppressed"), QUERIES_ONLY + "SELECT corpus, term, suppressed FROM anchor"),
+    "q09_denominators": (stage("denoms", "query_id", "corpus", "term", "ceiling"), QUERIES_ONLY + "SELECT query_id, corpus, term, round(ceiling, 6) AS ceiling FROM den"),
+    "q10_effective_terms": (stage("limits", "query_id", "corpus", "effective"), QUERIES_ONLY + "SELECT query_id, corpus, round(effective, 6) AS effective FROM thr"),
+    "q11_required_coverage": (stage("limits", "query_id", "corpus", "required"), QUERIES_ONLY + "SELECT query_id, corpus, round(required, 6) AS required FROM req"),
+    "q12_hits": (q12, QUERIES + f"ph AS (SELECT p.corpus, p.doc, p.field, p.pos, e.term FROM posts p JOIN live e ON e.corpus = p.corpus AND e.word = p.word), pn AS (SELECT corpus, doc, field, term, count(*) AS n, sum(pos) AS positions FROM ph GROUP BY ALL) SELECT {F4}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(positions) AS BIGINT) AS positions, CAST(sum(n * term_no) AS BIGINT) AS terms FROM pn JOIN qt USING (term) GROUP BY {F4}"),
+    "q13_coverage": (measure("achieved", "coverage", "matched"), TERMS + f"SELECT {F4}, round(achieved, 6) AS achieved, round(coverage, 6) AS coverage, matched FROM su"),
+    "q14_repetition": (measure("base"), TERMS + f"SELECT {F4}, round(base, 6) AS base FROM su"),
+    "q15_literal_share": (measure("literal_share"), TERMS + f"SELECT {F4}, round(literal_share, 6) AS literal_share FROM su"),
+    "q16_transcript_gate": (gated("transcript"), TERMS + "SELECT query_id, doc, field FROM gate WHERE corpus = 'transcript'"),
+    "q17_ordered_subsequence": (q17, TERMS + "SELECT query_id, 'transcript' AS corpus, doc, field, round(lcs, 6) AS lcs, round(run, 6) AS run, n_seq FROM seqs"),
+    "q18_longest_run": (q18, TERMS + "SELECT query_id, 'transcript' AS corpus, doc, field, round(run, 6) AS run FROM run"),
+    "q19_sequence_multiplier": (q19, TERMS + "SELECT query_id, doc, field, round(multiplier, 6) AS multiplier FROM sc WHERE corpus = 'transcript'"),
     "q20_length_pivot": (q20, "WITH " + VOCAB_SQL + ", a AS (SELECT corpus, avg(len(ws)) AS l FROM split GROUP BY corpus) SELECT doc, corpus, field, round(greatest(0.01, 0.9 + 0.1 * len(ws) / l), 6) AS pivot FROM split JOIN a USING (corpus)"),
-    "q21_best_field": (lambda s, d: flat(scored(s, d).where("corpus = 'transcript'").select("query_id", "doc", "field", "strength")), None),
-    "q22_description_gate": (lambda s, d: gated(s, d, "description"), TERMS + "SELECT query_id, doc, field FROM gate WHERE corpus = 'description'"),
-    "q23_description_score": (q23, TERMS + ", a AS (SELECT avg(len(ws)) AS l FROM split WHERE corpus = 'description') SELECT query_id, doc, round(base / total / greatest(0.01, 0.9 + 0.1 * len(ws) / l), 6) AS strength FROM gate JOIN split USING (doc, corpus, field), a WHERE corpus = 'description'"),
-    "q25_fusion": (q25, None),
-    "q26_highlight_ranges": (q26, TERMS + f""", ab AS (SELECT query_id, term_no, rarity >= 1 AS above FROM den WHERE corpus = 'description'),
-sh AS (SELECT *, bool_or(above) OVER (PARTITION BY query_id) AS anyone FROM ab),
-g AS (SELECT doc, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}'']+') AS gaps, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}'']+') AS ws FROM fields WHERE corpus = 'description'),
-one AS (SELECT doc, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, generate_subscripts(ws, 1) - 1 AS pos FROM g),
-e AS (SELECT doc, pos, length(w) AS n, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY doc ORDER BY pos) AS BIGINT) AS fin FROM one),
-u AS (SELECT DISTINCT query_id, doc, pos FROM hit JOIN sh USING (query_id, term_no) WHERE corpus = 'description' AND (above OR NOT anyone))
-SELECT query_id, doc, string_agg((fin - n) || '-' || fin, ',' ORDER BY fin) AS ranges FROM u JOIN e USING (doc, pos) GROUP BY query_id, doc"""),
+    "q21_best_field": (q21, TERMS + "SELECT query_id, doc, tf AS field, round(t, 6) AS score FROM spoken"),
+    "q22_description_gate": (gated("description"), TERMS + "SELECT query_id, doc, field FROM gate WHERE corpus = 'description'"),
+    "q23_description_score": (q23, TERMS + "SELECT query_id, doc, round(strength, 6) AS strength FROM sc WHERE corpus = 'description'"),
+    "q25_fusion": (q25, TERMS + "SELECT query_id, doc, round(score, 6) AS score, CASE WHEN prefer THEN 'transcript' ELSE 'description' END AS source, CASE WHEN prefer THEN tf ELSE 'description' END AS field FROM fused"),
+    "q26_highlight_ranges": (q26, TERMS.rstrip() + f""", ab AS (SELECT query_id, corpus, term_no, rarity >= CASE WHEN corpus = 'transcript' THEN 0.5 ELSE 1 END AS above FROM den),
+sh AS (SELECT *, bool_or(above) OVER (PARTITION BY query_id, corpus) AS anyone FROM ab),
+g AS (SELECT doc, corpus, field, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}'']+') AS gaps, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}'']+') AS ws FROM fields),
+o1 AS (SELECT doc, corpus, field, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, generate_subscripts(ws, 1) - 1 AS pos FROM g),
+e AS (SELECT doc, corpus, field, pos, length(w) AS n, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY doc, corpus, field ORDER BY pos) AS BIGINT) AS fin FROM o1),
+u AS (SELECT DISTINCT query_id, corpus, doc, field, pos FROM hit JOIN sh USING (query_id, corpus, term_no) WHERE above OR NOT anyone)
+SELECT query_id, corpus, doc, field, string_agg((fin - n) || '-' || fin, ',' ORDER BY fin) AS ranges FROM u JOIN e USING (doc, corpus, field, pos) GROUP BY query_id, corpus, doc, field"""),
     "q27_literal_search": (q27, "WITH " + VOCAB_SQL + """, m AS (SELECT * FROM (VALUES (1, '###'), (2, '|'), (3, '!!')) t(query_id, q)),
 c AS (SELECT query_id, doc, corpus, field, CAST((length(text) - length(replace(lower(text), q, ''))) / length(q) AS DOUBLE) AS score FROM fields, m WHERE contains(lower(text), q))
 SELECT CAST(query_id AS BIGINT) AS query_id, doc, score, corpus AS source, field FROM c QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY corpus DESC, score DESC, field DESC) = 1"""),
-    "q28_ranked_search": (q28, None),
+    "q28_ranked_search": (q28, RANKED + "SELECT query_id, doc, CAST(date AS VARCHAR) AS date, round(score, 6) AS score, source, position FROM ranked"),
     "q29_empty_query": (q29, "SELECT item_id AS query_id FROM benchmark WHERE item_id % 2 <> 0"),
-    "q30_parameters": (q30, TERMS + "SELECT label, query_id, round(CASE WHEN effective = 0 THEN 0 ELSE f + (1 - f) / effective END, 6) AS required FROM thr, (VALUES ('base', 0.05::DOUBLE), ('tight', 0.5::DOUBLE)) k(label, f) WHERE corpus = 'description'"),
+    "q30_parameters": (q30, QUERIES_ONLY + "SELECT label, query_id, corpus, round(CASE WHEN effective = 0 THEN 0 WHEN corpus = 'transcript' THEN 0.4 + 0.6 / effective ELSE f + (1 - f) / effective END, 6) AS required FROM thr, (VALUES ('base', 0.05::DOUBLE), ('tight', 0.5::DOUBLE)) k(label, f)"),
     "o01_rank_order": (lambda s, d: flat(R.ranked(scores(s, d)).select("query_id", "date", "position")), SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date) AS position FROM w"),
     "o02_date_order": (lambda s, d: flat(R.order_by_date(scores(s, d)).select("query_id", "date")), SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date FROM w ORDER BY date"),
     "o03_top_k": (lambda s, d: flat(R.top_k(scores(s, d), 10).select("query_id", "date", "position", "total")), SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date) AS position, n AS total FROM w QUALIFY position <= 10"),
@@ -297,7 +333,7 @@ SELECT CAST(query_id AS BIGINT) AS query_id, doc, score, corpus AS source, field
     "v03_tier_stretch": (tiers("stretch"), SCORES + f" SELECT query_id, CAST(date AS VARCHAR) AS date, {STRETCH} FROM w"),
     "v04_tier_quantile": (tiers("quantile"), SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date, CAST(least(5, greatest(1, 5 - floor(r * 5 / n))) AS BIGINT) AS tier FROM w"),
     "v05_best_tier_per_date": (v05, SCORES + f", t AS (SELECT query_id % 2 AS query_id, date, {STEPS} FROM w) SELECT query_id, CAST(date AS VARCHAR) AS date, max(tier) AS tier FROM t GROUP BY query_id, date"),
-    "v06_snippets": (v06, None),
+    "v06_snippets": (v06, SNIPPETS),
     "v07_report_columns": (v07, SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date, dayname(date) || ', ' || monthname(date) || ' ' || day(date) || ', ' || year(date) AS date_label, 'Date' AS source_label, CASE WHEN dayofweek(date) = 0 THEN 1.427::DOUBLE ELSE 3.098::DOUBLE END AS ratio FROM w"),
-    "v08_result_counts": (v08, "SELECT s_suppkey AS query_id, coalesce(n, 0) AS n, n IS NULL AS empty FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 2 = 0 GROUP BY 1) ON l_suppkey = s_suppkey"),
+    "v08_result_counts": (v08, f"WITH {RARE_SQL} SELECT s_suppkey AS query_id, coalesce(n, 0) AS n, n IS NULL AS empty FROM supplier LEFT JOIN (SELECT collection, count(*) AS n FROM rare GROUP BY 1) ON collection = s_suppkey"),
 }

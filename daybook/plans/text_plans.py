@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import shingles, words
 from ..operators import corpus as C
-from .bindings import FIELDS_SQL, POSTS_SQL, STRIPS_SQL, VOCAB_SQL, WORD_SQL, flat, strips, table
+from .bindings import FIELDS_SQL, POSTS_SQL, STEMS, STRIPS_SQL, VOCAB_SQL, WORD_SQL, flat, strips, table
 
 #: A lexicon of words that the given texts do have.
 LEXICON = {"thand": ["th", "and"], "ofthe": ["of", "the"], "anin": ["an", "in"], "inthe": ["in", "the"], "onon": ["on", "on"]}
@@ -16,9 +16,12 @@ def rows(spark, d):
     return C.fields(strips(spark, d))
 
 
+def tokens(spark, d):
+    return C.tokenised(strips(spark, d))
+
+
 def vocab(spark, d):
-    r = rows(spark, d)
-    return C.vocabulary(C.postings(r), r)
+    return C.vocabulary(tokens(spark, d))
 
 
 def t01(spark, d):
@@ -30,15 +33,15 @@ def t02(spark, d):
 
 
 def t03(spark, d):
-    return flat(C.postings(rows(spark, d), LEXICON))
+    return flat(C.postings(C.tokenised(strips(spark, d), LEXICON)))
 
 
 def t05(spark, d):
-    return flat(C.corpus_stats(rows(spark, d)).select("corpus", "n_docs"))
+    return flat(C.document_counts(tokens(spark, d)))
 
 
 def t06(spark, d):
-    return flat(C.corpus_stats(rows(spark, d)))
+    return flat(C.corpus_stats(tokens(spark, d)))
 
 
 def t08(spark, d):
@@ -80,7 +83,7 @@ SELECT doc, corpus, field, row_number() OVER (PARTITION BY doc, corpus, field OR
     "t05_document_count": (t05, "WITH " + VOCAB_SQL + " SELECT * FROM ndocs"),
     "t06_field_length": (t06, "WITH " + VOCAB_SQL + ", l AS (SELECT corpus, round(avg(len(ws)), 6) AS avg_len FROM split GROUP BY corpus) SELECT * FROM ndocs JOIN l USING (corpus)"),
     "t07_idf": (lambda s, d: flat(vocab(s, d).select("corpus", "word", "idf")), "WITH " + VOCAB_SQL + " SELECT corpus, word, round(idf, 6) AS idf FROM vocab"),
-    "t08_inflection_families": (t08, None),
+    "t08_inflection_families": (t08, "WITH " + VOCAB_SQL + ", forms AS (SELECT DISTINCT word AS w FROM vocab)," + STEMS + " SELECT corpus, stem, array_to_string(list_sort(list(word)), ',') AS words FROM vocab JOIN stems ON w = word GROUP BY corpus, stem"),
     "t09_compound_mining": (t09, "WITH " + PAIRS + f""", w AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc, unnest(ws) AS word FROM tok) GROUP BY word),
 cuts AS (SELECT word, df, unnest(range(3, length(word) - 2)) AS cut FROM w WHERE length(word) >= 6 AND word <> 'thand'),
 ok AS (SELECT c.word, c.cut, b."left", b."right" FROM cuts c JOIN bigrams b ON b."left" = c.word[1:c.cut] AND b."right" = c.word[c.cut + 1:] WHERE b.df >= 2 AND b.df >= c.df)
@@ -89,6 +92,6 @@ SELECT word, "left", "right" FROM ok QUALIFY row_number() OVER (PARTITION BY wor
     "t11_combined_text": (t11, "WITH " + COMBINED + " SELECT doc, md5(text) AS hash FROM texts"),
     "t12_shingles": (t12, f"SELECT DISTINCT item_id, array_to_string(list_slice(ws, p, p + 2), ' ') AS shingle FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS ws FROM benchmark))"),
     "t13_informative": (lambda s, d: flat(C.informative(vocab(s, d), 1.0).select("corpus", "word")), "WITH " + VOCAB_SQL + " SELECT corpus, word FROM vocab WHERE ln(n_docs / df) >= 1.0"),
-    "t14_term_counts": (lambda s, d: flat(C.term_counts(C.postings(rows(s, d)))), "WITH " + POSTS_SQL + " SELECT doc, word, count(*) AS n FROM posts GROUP BY doc, word"),
+    "t14_term_counts": (lambda s, d: flat(C.term_counts(C.postings(tokens(s, d)))), "WITH " + POSTS_SQL + " SELECT doc, word, count(*) AS n FROM posts GROUP BY doc, word"),
     "t15_fields": (lambda s, d: flat(rows(s, d).select("doc", "corpus", "field", F.md5("text").alias("hash"))), "WITH " + FIELDS_SQL + " SELECT doc, corpus, field, md5(text) AS hash FROM fields"),
 }

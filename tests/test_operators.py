@@ -1,6 +1,7 @@
 """Small tables with known answers for the archive, search, filter, date, result and evaluation operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from daybook.operators import evaluate as E
 from daybook.operators import filters as L
 from daybook.operators import results as R
 from daybook.operators import search as S
-from daybook.params import DEFAULT
+from daybook.params import DEFAULT, GRID, Settings
 from daybook.sources import archive as A
 from daybook.streaming import toggles
 
@@ -43,7 +44,47 @@ def test_subsequence_breaks_runs_not_order():
     terms, pos, w = np.array([0, 1, 2]), np.array([4, 5, 6]), np.ones(3)
     assert S.subsequence([0, 1, 2], [False] * 3, terms, pos, w) == (3.0, 3.0)
     assert S.subsequence([0, 1, 2], [False, True, False], terms, pos, w) == (3.0, 2.0)
-    assert S._distance("ca", "ac") == 1 and S._distance("ca", "abc") == 3
+
+
+def restricted_distance(a, b):
+    """Edits with neighbouring letters swapped as one, no letter edited twice, by the textbook table."""
+    rows = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            best = min(rows[i - 1, j] + 1, rows[i, j - 1] + 1, rows[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                best = min(best, rows[i - 2, j - 2] + 1)
+            rows[i, j] = best
+    return rows[len(a), len(b)]
+
+
+def test_edit_distance(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(0, 9)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("ca", "ac"), ("ca", "abc"), ("abcd", "badc"), ("", ""), ("abcdef", "badcef")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == min(3, restricted_distance(r.a, r.b)) for r in got) and {r.d for r in got} == {0, 1, 2, 3}
+
+
+def test_fuzzy_expansion_finds_every_near_word(spark):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 11))) for _ in range(900)})
+    terms, vocab = words[::7], words
+    got = S.expand_fuzzy(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([("transcript", w) for w in vocab], "corpus string, word string"))
+    want = set()
+    for t in terms:
+        most = 0 if len(t) <= 3 else 1 if len(t) <= 7 else 2
+        want |= {(t, w, 0.7 if d == 1 else 0.55) for w in vocab if w != t and (d := restricted_distance(t, w)) <= most}
+    assert {(r.term, r.word, r.weight) for r in got.collect()} == want and len(want) > 50
+
+
+def test_many_settings_at_once(spark, corpus):
+    q = spark.createDataFrame([(0, "snow man"), (1, "freezes tiger"), (2, "the box of snow"), (3, "transmogrifer box")], "query_id long, query string")
+    trials = [DEFAULT, DEFAULT.but(rarity_exponent=2.0), DEFAULT.but(description_idf_floor=0.25, description_preference=1.0), DEFAULT.but(transcript_inflection_weight=0.7, transcript_length_normalization=1.0)]
+    rows = lambda df: sorted((r.query_id, r.doc, round(r.score, 9), r.source, r.field) for r in df.collect())
+    together = S.text_search(corpus, q, Settings(tuple(trials)))
+    for i, p in enumerate(trials):
+        assert rows(together.where(F.col("setting") == i)) == rows(S.text_search(corpus, q, p)) != []
 
 
 def test_stems(spark):
@@ -95,8 +136,52 @@ def test_evaluation(spark):
     assert (got.queries, got.mrr, got.recall_at_1, got.zero_rate, got.median_results) == (3, pytest.approx(0.5), pytest.approx(1 / 3), pytest.approx(1 / 3), 1)
     assert E.near_miss_outcomes(res, lab).first().outcome == "decoy_wins"
     assert E.assign_split(spark.createDataFrame([("1985-11-18",)], "k string"), F.col("k")).first().split in ("test", "train")
-    best, value, log = E.sweep(lambda p: -abs(p.run_weight - 1), DEFAULT, {"run_weight": [0.5, 1.0, 2.0]}, passes=1)
-    assert best.run_weight == 1.0 and value == 0 and len(log) == 2
+
+
+def test_sweep(spark):
+    asked = []
+
+    def score(trials):
+        asked.extend(trials)
+        return [{"recited": r, "described": -abs(p.description_min_mass - 1.5), "combined": r - (p.run_weight == 0)} for p in trials for r in [-abs(p.run_weight - 1)]]
+
+    grid = {"run_weight": GRID["run_weight"], "description_min_mass": GRID["description_min_mass"]}
+    best, value, log = E.sweep(score, DEFAULT, grid)
+    assert (best.run_weight, best.description_min_mass, value["recited"]) == (1.0, 1.5, 0)
+    assert len(log) == 2 * (4 + 4) and len(asked) == len(set(asked))  # nothing is searched twice
+    trials = spark.createDataFrame(log, E.LOG)
+    ok = {(r.turn, r.knob, r.value) for r in E.accepted(trials).collect()}
+    assert ok == {(1, "run_weight", 1.0), (1, "description_min_mass", 0.0), (1, "description_min_mass", 1.0), (1, "description_min_mass", 1.5)} - {
+        (t, k, v) for t, k, v, _, gain, _, _ in log if gain <= 0.005
+    }
+    blocked, _, log = E.sweep(score, DEFAULT, grid, allowed=lambda p: p.run_weight != 1)
+    assert blocked.run_weight != 1 and any(row[-1] for row in log)
+    moves = E.confirm(DEFAULT, best, score, grid)
+    assert [(m[0], m[2], m[3], m[4]) for m in moves] == [("run_weight", 1.0, True, False), ("description_min_mass", 1.5, True, False)]
+    assert not E.accept(0.01, -0.1, False) and not E.accept(0.005, 0, False) and not E.accept(1, 0, True) and E.accept(1, 0, False)
+
+
+def test_guards(spark):
+    n = lambda *rows: spark.createDataFrame(rows, "query_id int, n int")
+    none = n((1, 5)).where("false")
+    assert E.check_guards(none, n((1, 5)), n((1, 2))).collect() == []
+    assert {r.guard for r in E.check_guards(n((1, 5)), n((1, 0)), n((1, 0))).collect()} == {"monotonicity", "empty_probe", "idle_correction"}
+
+
+def test_corrections(spark):
+    said = spark.createDataFrame([(1, "snow"), (2, "snows"), (3, "snowman"), (4, "show")], "doc int, word string")
+    res = spark.createDataFrame([(7, d) for d in (1, 2, 3, 4)], "query_id int, doc int")
+    got = E.corrections(res, said, spark.createDataFrame([(7, "snow")], "query_id int, query string"))
+    assert [r.doc for r in got.collect()] == [4]
+
+
+def test_dates_meet_by_their_parts(spark):
+    days = spark.sql("select explode(sequence(date'1996-01-01', date'1996-12-31')) as date")
+    part = lambda **k: [tuple(k.get(x) for x in ("year", "month", "day", "weekday"))]
+    rows = [(1, part(month=2, weekday=0)), (2, part(day=31)), (3, part(year=1996, month=2, day=30)), (4, part()), (5, part(month=5) + part(day=1))]
+    e = spark.createDataFrame(rows, "k int, candidates array<struct<year:int,month:int,day:int,weekday:int>>")
+    n = {r.k: r["count"] for r in L.match_dates(days, e, "k").groupBy("k").count().collect()}
+    assert n == {1: 4, 2: 7, 4: 366, 5: 31 + 11}
 
 
 def test_label_source_and_log_sink(spark, tmp_path):
@@ -113,10 +198,14 @@ def test_label_source_and_log_sink(spark, tmp_path):
 def test_toggle_stream(spark, tmp_path, sf):
     src = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type")
     src.write.parquet(str(tmp_path / "in"))
-    query = toggles.start(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), "toggled", str(tmp_path / "ck"))
-    query.processAllAvailable()
-    query.stop()
-    assert {tuple(r) for r in spark.table("toggled").collect()} == {tuple(r) for r in toggles.toggle_state(src).collect()}
+    for _ in range(2):  # the second run goes on from the first one's state with twice the events
+        stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+        query = toggles.start(stream, str(tmp_path / "state"), str(tmp_path / "ck"))
+        query.processAllAvailable()
+        query.stop()
+        rows = spark.read.parquet(str(tmp_path / "in"))
+        assert {tuple(r) for r in toggles.latest(spark, str(tmp_path / "state")).collect()} == {tuple(r) for r in toggles.toggle_state(rows).collect()}
+        src.limit(100).write.mode("append").parquet(str(tmp_path / "in"))
 
 
 def test_compounds(spark):
