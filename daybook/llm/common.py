@@ -1,80 +1,22 @@
-"""Reading tables, cutting lineage and splitting words: what every operator here shares."""
+"""Reading tables and splitting words: what every operator here shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import BROADCAST_BYTES, ROW_BYTES, discard, fit, settle
+
+__all__ = ["BROADCAST_BYTES", "ROW_BYTES", "SPACE", "discard", "fit", "settle", "table", "words_col", "words_of"]
+
 #: Fixed by the contracts: words are runs of anything but these six characters.
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: While a table is written: few rows in a batch between JVM and Python, as texts can be long, and shuffle files go when the write is over.
-WRITING = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-}
-#: Bytes that a row of two or three numbers takes in a broadcast hash relation, and the most that a broadcast may take.
-ROW_BYTES = 64
-BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def settings(spark: SparkSession, pairs: dict[str, str]) -> Iterator[None]:
-    """The session's settings changed for a moment, and put back."""
-    before = {k: spark.conf.get(k, None) for k in pairs}
-    for k, v in pairs.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A local session that names none (tests) gets a temporary one; on a
-    cluster that would be another folder on every machine, so it is an error."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        path = tempfile.mkdtemp(prefix="daybook-")
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there, so a lost
-    executor costs nothing that came before, and later plans scan only the columns they need.  The folder goes with the
-    application, or earlier by discard()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/daybook-{uuid.uuid4().hex}"
-    with settings(spark, WRITING):
-        df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/daybook-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """bytes.split() breaks at exactly the six ASCII spaces of SPACE."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -83,8 +25,3 @@ def words_of(text: str | None) -> list[bytes]:
 def words_col(col: str) -> F.Column:
     """The same words as an array column; null text has none."""
     return F.filter(F.split(F.coalesce(F.col(col), F.lit("")), SPACE), lambda w: w != "")
-
-
-def fit(df: DataFrame, bytes_per_row: int = ROW_BYTES, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay below limit bytes as a hash relation, else as it is (Spark shuffles)."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
