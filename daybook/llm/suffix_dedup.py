@@ -25,6 +25,8 @@ SHARD = 2 << 20
 #: An anchor with so many rows in one chunk, or in all, is common: its windows meet by name instead of in a shard.
 COMMON = 64
 COMMON_ALL = 2_000
+#: Windows named together.
+NAMED = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -276,30 +278,36 @@ def ranges(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
 
 def named_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, count) for the windows of common anchors: each has a 128-bit name, equal names are counted with a
-    map-side sum, and a chunk sends a name once."""
+    map-side sum, and NAMED windows at a time send a name once, so memory follows neither the text nor its repeats."""
+
+    def told(names: list[bytes], doc: list[int], pos: list[int]) -> Iterator[pd.DataFrame]:
+        two = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+        own = pd.DataFrame({"n1": two[:, 0], "n2": two[:, 1], "doc": np.array(doc, np.int64), "pos": np.array(pos, np.int64)})
+        own = own.drop_duplicates()
+        size = own.groupby(["n1", "n2"])["pos"].transform("size").to_numpy()
+        once = ~own.duplicated(["n1", "n2"]).to_numpy()
+        known = ranges(own["doc"].to_numpy()[size > 1], own["pos"].to_numpy()[size > 1])
+        yield own[once].assign(size=np.minimum(size[once], 2), count=1)
+        yield pd.DataFrame({"n1": 0, "n2": 0, "doc": known["doc_id"], "pos": known["start"], "size": 0, "count": known["count"]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
+        names, doc, pos = [], [], []
         for part in chunks(batches, "z", CHUNK // 2):
-            names, doc, pos = [], [], []
             for d, z, runs in zip(part["doc"], part["z"], part["runs"], strict=True):
                 text = unpack(z)
                 for r in runs:
-                    if r["kind"] == COMMON_RUN:
-                        a, b = r["start"], r["start"] + r["count"]
+                    end = r["start"] + r["count"] if r["kind"] == COMMON_RUN else r["start"]
+                    for a in range(r["start"], end, NAMED):
+                        b = min(end, a + NAMED)
                         names += [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(a, b)]
                         doc += [d] * (b - a)
                         pos += range(a, b)
-            if not names:
-                continue
-            two = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            own = pd.DataFrame({"n1": two[:, 0], "n2": two[:, 1], "doc": np.array(doc, np.int64), "pos": np.array(pos, np.int64)})
-            own = own.drop_duplicates()
-            size = own.groupby(["n1", "n2"])["pos"].transform("size").to_numpy()
-            once = ~own.duplicated(["n1", "n2"]).to_numpy()
-            known = ranges(own["doc"].to_numpy()[size > 1], own["pos"].to_numpy()[size > 1])
-            yield own[once].assign(size=np.minimum(size[once], 2), count=1)
-            yield pd.DataFrame({"n1": 0, "n2": 0, "doc": known["doc_id"], "pos": known["start"], "size": 0, "count": known["count"]})
+                        if len(names) >= NAMED:
+                            yield from told(names, doc, pos)
+                            names, doc, pos = [], [], []
+        if names:
+            yield from told(names, doc, pos)
 
     rows = settle(texts.mapInPandas(scan, "n1 long, n2 long, doc long, pos int, size int, count int"))
     open_rows = rows.where("size > 0")

@@ -63,10 +63,11 @@ def hard():
     return texts
 
 
-@pytest.mark.parametrize("common", [(64, 2000), (2, 5)])
+@pytest.mark.parametrize("common", [(64, 2000, 1 << 18), (2, 5, 1 << 18), (2, 5, 37)])
 def test_hard_texts(spark, hard, monkeypatch, common):
     monkeypatch.setattr(suffix_dedup, "COMMON", common[0])
     monkeypatch.setattr(suffix_dedup, "COMMON_ALL", common[1])
+    monkeypatch.setattr(suffix_dedup, "NAMED", common[2])
     df = spark.createDataFrame(list(hard.items()), "doc_id long, text string").repartition(6)
     assert run(df) == by_hand({d: (t or "").encode() for d, t in hard.items()})
 
