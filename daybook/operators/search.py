@@ -224,17 +224,36 @@ def hits(tokens: DataFrame, live: DataFrame, terms: DataFrame, gated: DataFrame
     return own.join(asked, ["setting", "query_id", "corpus", "word"]).select(*out)
 
 
-def summarise(counts: DataFrame, live: DataFrame, denoms: DataFrame, limits: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+def heads(denoms: DataFrame, limits: DataFrame) -> DataFrame:
+    """(setting, query_id, corpus, term): a field that reaches the required coverage has one of these terms at least.
+
+    From the largest ceiling down, a term is a head while it and the terms behind it could still reach what is required: all that
+    come later cannot, even together."""
+    rest = Window.partitionBy("setting", "query_id", "corpus").orderBy("ceiling", "term_no")
+    ends = denoms.withColumn("rest", F.sum("ceiling").over(rest)).join(limits, ["setting", "query_id", "corpus"])
+    return ends.where(F.col("rest") >= F.col("required") * F.col("total") * (1 - 1e-9)).select("setting", "query_id", "corpus", "term")
+
+
+def summarise(counts: DataFrame, live: DataFrame, denoms: DataFrame, limits: DataFrame, p: Params | Settings = DEFAULT, head: DataFrame | None = None) -> DataFrame:
     """Per query and field: base, achieved, matched, coverage, literal_share and the limits.
 
     counts has the words of each field (corpus.word_counts, dealt by document).  What a field holds of a term does not
     depend on the query, so it is summed once for all queries that have the term, per contribution (one word of one term), then
-    per term, then per query.  Every key holds the document, so the sums need no shuffle but that of counts."""
+    per term, then per query.  Every key holds the document, so the sums need no shuffle but that of counts.  With head (see
+    heads) only fields with a head term of a query are summed for it, which leaves out none that the gate would pass."""
     p = settings(p)
     where = ["setting", *C.WHERE]
     word = counts.join(fit(live.select("setting", "corpus", "word", "term", "contribution", "literal"), 160), ["corpus", "word"]).groupBy(*where, "term", "contribution").agg(F.sum("n").alias("n"), F.max("literal").alias("literal"))
     term = word.groupBy(*where, "term").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("contribution").alias("best"), F.max("literal").alias("literal"))
-    term = term.join(fit(denoms.select("setting", "query_id", "corpus", "term", "ceiling"), 160), ["setting", "corpus", "term"])
+    asked = fit(denoms.select("setting", "query_id", "corpus", "term", "ceiling"), 160)
+    if head is None:
+        term = term.join(asked, ["setting", "corpus", "term"])
+    else:
+        own = term.groupBy(*where).agg(F.collect_list(F.struct("term", "n", "most", "best", "literal")).alias("own"))
+        met = own.select(*where, "own", F.explode("own.term").alias("term")).join(fit(head, 160), ["setting", "corpus", "term"])
+        met = met.groupBy(*where).agg(F.first("own").alias("own"), F.collect_set("query_id").alias("queries"))
+        met = met.select(*where, "own", F.explode("queries").alias("query_id")).select(*FIELD, F.inline("own"))
+        term = met.join(asked, ["setting", "query_id", "corpus", "term"])
     times = F.col("most") + p.of("repeat_variety") * (F.col("n") - F.col("most"))
     got = F.least("best", "ceiling")
     field = term.groupBy(*FIELD).agg(
@@ -373,6 +392,7 @@ class Stages:
     live: DataFrame
     denoms: DataFrame
     limits: DataFrame
+    heads: DataFrame
 
 
 def stages(corpus: Corpus, queries: DataFrame, p: Params | Settings = DEFAULT, routes: tuple[str, ...] = ROUTES, pairs: DataFrame | None = None) -> Stages:
@@ -380,13 +400,14 @@ def stages(corpus: Corpus, queries: DataFrame, p: Params | Settings = DEFAULT, r
     expansion = settle(expand(reached(terms, corpus.vocab, routes) if pairs is None else pairs, p))
     anchor = settle(anchors(expansion, p))
     denoms = settle(denominators(terms, anchor, corpus.stats, p))
-    return Stages(terms, expansion, anchor, settle(unsuppressed(expansion, anchor)), denoms, settle(thresholds(denoms, p)))
+    limits = settle(thresholds(denoms, p))
+    return Stages(terms, expansion, anchor, settle(unsuppressed(expansion, anchor)), denoms, limits, settle(heads(denoms, limits)))
 
 
 def scored_fields(corpus: Corpus, s: Stages, p: Params | Settings = DEFAULT, counts: DataFrame | None = None) -> DataFrame:
     """Gated fields with their strength and multiplier; positions are looked at in gated transcripts only."""
     counts = C.word_counts(corpus.tokens) if counts is None else counts
-    gated = settle(gate(summarise(counts, s.live, s.denoms, s.limits, p), p))
+    gated = settle(gate(summarise(counts, s.live, s.denoms, s.limits, p, s.heads), p))
     spoken = gated.where("corpus = 'transcript'")
     sequence = ordered_subsequence(hits(corpus.tokens.where("corpus = 'transcript'"), s.live, s.terms, spoken), s.terms)
     return score_fields(gated, sequence, C.field_lengths(corpus.tokens), corpus.stats, p)

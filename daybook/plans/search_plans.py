@@ -56,18 +56,23 @@ def summary(spark, d):
     return S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits)
 
 
+def passing(corpus, s):
+    """Fields that pass the gate; only those with a head term are summed."""
+    return S.gate(S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits, head=s.heads))
+
+
 def measure(*columns):
     return lambda spark, d: flat(summary(spark, d).select(*KEY, *columns))
 
 
 def gated(name):
-    return lambda spark, d: flat(S.gate(summary(spark, d)).where(F.col("corpus") == name).select("query_id", "doc", "field"))
+    return lambda spark, d: flat(passing(*prepared(spark, d)).where(F.col("corpus") == name).select("query_id", "doc", "field"))
 
 
 def gated_hits(spark, d, name):
     """(the corpus, the stages, the hits in gated fields of one corpus)."""
     corpus, s = prepared(spark, d)
-    ok = S.settle(S.gate(S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits)).where(F.col("corpus") == name))
+    ok = S.settle(passing(corpus, s).where(F.col("corpus") == name))
     return corpus, s, S.hits(corpus.tokens.where(F.col("corpus") == name), s.live, s.terms, ok)
 
 
@@ -152,8 +157,9 @@ def q30(spark, d):
 
 def flagship(spark, d):
     """Coverage-ranked documents for every query, the first ten of each."""
-    s = S.gate(summary(spark, d)).where("corpus = 'transcript'").groupBy("query_id", "doc").agg(F.max(F.round("coverage", 9)).alias("score"))
-    return flat(R.top_k(s.join(strips(spark, d).select("doc", "date", F.col("doc").cast("string").alias("id")), "doc"), 10).select("query_id", "doc", "date", "score", "position", "total"))
+    corpus, made = prepared(spark, d)
+    s = passing(corpus, made).where("corpus = 'transcript'").groupBy("query_id", "doc").agg(F.max(F.round("coverage", 9)).alias("score"))
+    return flat(R.top_k(s.join(corpus.strips.select("doc", "date", F.col("doc").cast("string").alias("id")), "doc"), 10).select("query_id", "doc", "date", "score", "position", "total"))
 
 
 def scores(spark, d):
