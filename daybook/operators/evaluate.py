@@ -300,15 +300,20 @@ def remembered(score: Scores) -> Scores:
 def sweep(score: Scores, start: Params, grid: dict[str, tuple[str, tuple[float, ...]]] = GRID, allowed: Callable[[Params], bool] | None = None, passes: int = 2):
     """Coordinate search: each knob in turn takes the value that accept() likes best, judged by the knob's objective.
 
-    score searches and evaluates many settings in one distributed job and gives recited, described and combined of each; the
-    loop is over the knobs only.  allowed is asked only about a value that would win.  Returns (best, its scores, log rows of
-    turn, knob, value, objective, gain, change of the combined score, blocked)."""
+    score searches and evaluates many settings in one distributed job and gives recited, described and combined of each.  All
+    values of the knobs ahead are scored in one job from the best so far, and again only after a move, so there are as many jobs
+    as moves and one or two more.  allowed is asked only about a value that would win.  Returns (best, its scores, log rows of turn, knob, value,
+    objective, gain, change of the combined score, blocked)."""
     score = remembered(score)
-    best, value, log = start, score([start])[0], []
+    around = lambda p, knobs: [p.but(**{k: float(v)}) for k in knobs for v in grid[k][1] if v != getattr(p, k)]
+    best, log, knobs = start, [], list(grid)
+    value, moved = score([start, *around(start, knobs)])[0], False
     for turn in range(1, passes + 1):
-        for knob, (objective, values) in grid.items():
-            chosen, top = best, value
-            trials = [best.but(**{knob: float(v)}) for v in values if v != getattr(best, knob)]
+        for place, knob in enumerate(knobs):
+            if moved:
+                score(around(best, [*knobs[place:], *(knobs[:place] if turn < passes else [])]))
+            objective, chosen, top = grid[knob][0], best, value
+            trials = around(best, [knob])
             for trial, got in zip(trials, score(trials), strict=True):
                 gain, change = got[objective] - top[objective], got["combined"] - value["combined"]
                 wins = accept(gain, change, False)
@@ -316,7 +321,7 @@ def sweep(score: Scores, start: Params, grid: dict[str, tuple[str, tuple[float,
                 log.append((turn, knob, float(getattr(trial, knob)), objective, gain, change, blocked))
                 if accept(gain, change, blocked):
                     chosen, top = trial, got
-            best, value = chosen, top
+            best, value, moved = chosen, top, chosen != best
     return best, value, log
 
 

@@ -211,3 +211,24 @@ def test_toggle_stream(spark, tmp_path, sf):
 def test_compounds(spark):
     t = spark.createDataFrame([(1, "snow man snow man"), (2, "a snow man"), (3, "snowman")], "doc long, text string")
     assert [tuple(r) for r in C.mine_compounds(t, []).collect()] == [("snowman", "snow", "man")]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from daybook import tables
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=dict, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        tables.shared_dir(SimpleNamespace(sparkContext=context))
+    context.getConf = lambda: {"spark.checkpoint.dir": "file:///shared/"}
+    assert tables.shared_dir(SimpleNamespace(sparkContext=context)) == "file:///shared"
+
+
+def test_written_tables_leave_the_session_as_it_was(spark):
+    from daybook import tables
+
+    before = {k: spark.conf.get(k, None) for k in tables.WRITING}
+    df = tables.settle(spark.range(5))
+    assert {k: spark.conf.get(k, None) for k in tables.WRITING} == before and df.count() == 5
+    tables.discard(df)
