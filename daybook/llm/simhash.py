@@ -175,7 +175,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     are texts shuffled for it)."""
     groups = settle(near_copies(docs))
     keep = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(fit(keep), "doc_id", "left_semi")
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
     if not groups.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
