@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, line_dedup, packing, quality_classifier, quality_rules, recompression, simhash, suffix_dedup, warc
+from . import (
+    decontamination,
+    html_extraction,
+    line_dedup,
+    packing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    recompression,
+    simhash,
+    source_divergence,
+    source_mixing,
+    suffix_dedup,
+    warc,
+)
 from .common import table
 
 OPERATORS = {
@@ -14,9 +28,18 @@ OPERATORS = {
     "op7_simhash_blocks": ("documents", simhash.op7),
     "op8_induced_suffix_sorting": ("documents", suffix_dedup.op8),
     "op10_site_line_dedup": ("documents", line_dedup.op10),
+    "op11_periodic_runs": ("documents", periodic_runs.op11),
+    "op12_source_divergence": ("documents", source_divergence.op12),
+    "op13_source_mixing": ("documents", source_mixing.op13),
 }
 
-SQL = {"op6_recompression": recompression.SQL, "op2_revisit_resolution": warc.SQL, "op10_site_line_dedup": line_dedup.SQL}
+SQL = {
+    "op2_revisit_resolution": warc.SQL,
+    "op6_recompression": recompression.SQL,
+    "op10_site_line_dedup": line_dedup.SQL,
+    "op12_source_divergence": source_divergence.SQL,
+    "op13_source_mixing": source_mixing.SQL,
+}
 
 
 def queries() -> dict:
