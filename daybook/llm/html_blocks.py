@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,19 +18,16 @@ BLOCK = frozenset(
 )
 #: Fixed values (HTML standard): elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|head"
+#: Elements whose content is no text of the page, up to their end tag.
+RAW = "script|style|noscript|template|title|svg|math|iframe|object|canvas"
 #: An opening tag ends open elements of these names, up to the given container.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
 }
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_RAW = re.compile(rf"<({RAW})\b", re.I)
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -42,6 +40,73 @@ FADE = 0.75
 MARK = "data-main"
 
 
+class _Ahead:
+    """The next place of a pattern, looked up in rising places: a look-up inside the last gap costs nothing."""
+
+    def __init__(self, page: str, pattern: str) -> None:
+        self.page, self.search, self.low, self.at = page, re.compile(pattern).search, 0, -1
+
+    def __call__(self, place: int) -> int:
+        if not self.low <= place <= self.at:
+            m = self.search(self.page, place)
+            self.low, self.at = place, m.start() if m else len(self.page)
+        return self.at
+
+
+class _Tags:
+    """Where tags end, each place of a page looked at a few times however many tags never end."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.name_end, self.first = _Ahead(page, r"[\s/>]"), _Ahead(page, "[>\"']")
+        self.next, self.close = re.compile("[>\"']").search, _Ahead(page, ">")
+        self.dead: set[int] = set()
+
+    def end(self, place: int) -> int:
+        """The > that ends a tag whose attributes begin at place, not counting those in quotes; -1 if there is none.
+
+        What follows a mark outside quotes does not depend on where the tag began, so the marks met by a tag without an
+        end are dead for all later tags."""
+        at, met = self.first(place), []
+        while at < len(self.page) and at not in self.dead:
+            if self.page[at] == ">":
+                return at
+            met.append(at)
+            shut = self.page.find(self.page[at], at + 1)
+            if shut < 0:
+                break
+            m = self.next(self.page, shut + 1)
+            at = m.start() if m else len(self.page)
+        self.dead.update(met)
+        return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of every tag; name is empty for what is no text of the page."""
+    tags, at = _Tags(page), page.find("<")
+    while at >= 0:
+        mark, stop, found = page[at + 1 : at + 2], -1, ("", False, "")
+        raw = _RAW.match(page, at)
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4) + 3
+            stop = stop if stop > 2 else len(page)
+        elif raw and (shut := tags.close(raw.end())) < len(page):
+            m = _RAW_ENDS[raw[1].lower()].search(page, shut + 1)
+            stop = m.end() if m else len(page)
+        else:
+            begin = at + 1 + (mark == "/")
+            if page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha():
+                name = tags.name_end(begin)
+                end = tags.end(name) if name < len(page) else -1
+                if end >= 0:
+                    stop, found = end + 1, (page[begin:name].lower(), mark == "/", page[name:end])
+            if stop < 0 and mark and mark in "!?/" and (shut := tags.close(at + 2)) < len(page):
+                stop = shut + 1
+        if stop >= 0:
+            yield (at, stop, *found)
+        at = page.find("<", max(stop, at + 1))
+
+
 class Element:
     """An open element: its name, the words of its class, id and role, and the element around it.
 
@@ -111,7 +176,7 @@ def blocks(page: str | None) -> list[Block]:
 
     References are decoded, white space becomes single spaces, and empty blocks are left out.  Unclosed and stray
     tags are taken as browsers do for the common cases (a paragraph ends at the next block, an item at the next item).
-    The work is linear in the page, however deep its elements stand in each other.
+    The work is linear in the page, however deep its elements stand in each other and however many tags never end.
     """
     page, out, held, linked, at = page or "", [], [], 0, 0
     stack = _Open()
@@ -132,11 +197,10 @@ def blocks(page: str | None) -> list[Block]:
         if stack.elements and stack.elements[-1].link:
             linked += len(text)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, stop, name, ends, attributes in _tokens(page):
+        if start > at:
+            say(page[at:start])
+        at = stop
         if not name:
             continue
         if name == "br":
@@ -144,7 +208,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-        if m[2]:
+        if ends:
             place = stack.last((name,))
             if place >= 0:
                 stack.cut(place)
@@ -156,8 +220,8 @@ def blocks(page: str | None) -> list[Block]:
         if name in CLOSES:
             ended, until = CLOSES[name]
             stack.end(tuple(ended.split()), until)
-        if not m[4].rstrip().endswith("/") or name in BLOCK:
-            stack.push(Element(name, _names(m[4]), here()))
+        if not attributes.rstrip().endswith("/") or name in BLOCK:
+            stack.push(Element(name, _names(attributes), here()))
     if at < len(page):
         say(page[at:])
     flush()

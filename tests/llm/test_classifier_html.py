@@ -213,3 +213,35 @@ def test_extraction_of_odd_rows(spark, net):
     got = html_extraction.extract(df, net, ["page_id", "url"]).collect()
     assert sorted(r.n_chars for r in got)[:3] == [0, 0, 0] and len(got) == 4
     assert html_extraction.op4(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "part,end",
+    [("<a ", ""), ("<b x='", ""), ("<script x ", ""), ("<a", ""), ("<a ", "'x' 'y'"), ("<b x=\"'", "'"), ("<!--", ""), ("</", ""), ("<p>", "<i '" * 20_000 + '">')],
+)
+def test_tags_that_never_end_take_linear_time(part, end):
+    import time
+
+    from daybook.llm import html_blocks
+
+    began = time.time()
+    found = html_blocks.blocks("<p>one</p>" + part * 60_000 + end)
+    assert found[0].text == "one" and time.time() - began < 3
+
+
+def test_tags_end_where_a_pattern_says(spark):
+    import random
+    import re
+
+    from daybook.llm import html_blocks
+
+    plain = re.compile(
+        rf"<!--.*?(?:-->|\Z)|<({html_blocks.RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+        re.S | re.I,
+    )
+    dice = random.Random(4)
+    bits = ["<", ">", "/", '"', "'", " ", "a", "<a ", "</a>", "<script", "</script>", "<!--", "-->", "<!", "=", "<p>", "</p", "é", "\n", "<scripts>", '<A HREF="x>y">']
+    for _ in range(20_000):
+        page = "".join(dice.choice(bits) for _ in range(dice.randrange(25)))
+        want = [(m.start(), m.end(), (m[3] or "").lower(), bool(m[3] and m[2]), m[4] or "") for m in plain.finditer(page)]
+        assert list(html_blocks._tokens(page)) == want, page
