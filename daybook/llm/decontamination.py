@@ -222,11 +222,14 @@ def _align(index: Index, codes: np.ndarray, item: np.ndarray, diagonal: np.ndarr
 
 
 def _original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the normalised text as spans of the text itself."""
-    places: list[int] = []
-    for token in _TOKEN.finditer(text):
-        places += [token.end() - len(token[0].rstrip())] * bool(places)  # the gap before a token
+    """Spans of the normalised text as spans of the text itself, whose letters may grow when lower-cased."""
+    lower, places = text.lower(), []
+    grown = None if len(lower) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
+    for token in _TOKEN.finditer(lower):
+        places += [token.start()] * bool(places)  # the gap before a token
         places += range(token.start(), token.end())
+    if grown:
+        places = [grown[i] for i in places]
     last = len(places) - 1
     return [(places[max(0, min(a, last))], places[max(0, min(b - 1, last))] + 1) for a, b in spans]
 
@@ -333,4 +336,5 @@ def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a passage of the benchmark; null and blank texts stay, as do all columns."""
     return clean(docs, table(spark, sf_dir, "benchmark"))

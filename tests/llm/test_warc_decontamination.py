@@ -133,3 +133,11 @@ def test_contaminated_and_clean(spark, sf):
     odd = docs.selectExpr("cast(null as long) doc_id", "cast(null as string) text", "1 item_id").limit(2)
     assert dc.contaminated(odd, bench).count() == 0 and dc.clean(odd, bench).count() == 2
     assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.clean(docs, bench.limit(0)).count() == 200
+
+
+def test_spans_where_letters_grow_in_lower_case():
+    item = "the quick brown fox jumps over the lazy dog and runs away from the old grey wolf"
+    index = dc.Index([(5, item)])
+    for before in ("İ" * 10 + " ", "aİb " * 5, "", "ẞ İ, "):
+        (_, _, edits, _, start, end), = dc.matches(index, [before + item.upper() + " end"])
+        assert (edits, start, end) == (0, len(before), len(before) + len(item))
