@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import fit, settle, words_of
 from .components import components
-from .near_copies import near_copies
+from .near_copies import near_copies, set_name
 
 BITS = 64
 
@@ -171,11 +171,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id.  Groups are linked by five-word shingle sets
     with a Jaccard similarity of 0.8 or more, checked exactly; op7's fingerprints have no part in it.
 
-    A document without an id cannot be compared by it and stays; of rows repeating a kept id one stays (only then
-    are texts shuffled for it)."""
+    A document without an id cannot be compared by it and stays.  Rows of one id with different texts are different
+    documents, each with its own group; only rows of such ids are looked at again, and of equal ones one stays."""
     groups = settle(near_copies(docs))
-    keep = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    if not groups.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
+    keep = groups.where("kept").select(F.col("id").alias("doc_id"), "fp").distinct()
+    often = settle(groups.where("id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"))
+    named = docs.where("doc_id is not null")
+    if often.isEmpty():
+        named = named.join(keep, "doc_id", "left_semi")
+    else:
+        once = named.join(fit(often), "doc_id", "left_anti").join(keep, "doc_id", "left_semi")
+        rows = named.join(fit(often), "doc_id", "left_semi").select("doc_id", set_name("text").alias("fp"), F.struct(*named.columns).alias("row"))
+        rows = rows.join(keep, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
+        named = once.unionByName(rows.select("row.*"))
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
