@@ -35,7 +35,7 @@ def parts(col: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     split = F.transform(
         words(col),
         lambda w, i: F.transform(
-            F.coalesce(F.try_element_at(table, w), F.array(w)), lambda p: F.struct(i.alias("token"), p.alias("word"))
+            F.when(w.isin(*lexicon), F.try_element_at(table, w)).otherwise(F.array(w)), lambda p: F.struct(i.alias("token"), p.alias("word"))
         ),
     )
     return F.flatten(split)

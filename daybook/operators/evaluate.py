@@ -228,22 +228,23 @@ def reach(days: DataFrame, expressions: DataFrame, key: str) -> DataFrame:
     return match_dates(days, expressions, key).groupBy(key).agg(F.count("*").alias("n"))
 
 
-def monotonicity(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(shorter, longer) whose longer query has more results than the shorter; counts(query_id, n)."""
-    a = counts.select(F.col("query_id").alias("shorter"), F.col("n").alias("n_shorter"))
-    b = counts.select(F.col("query_id").alias("longer"), F.col("n").alias("n_longer"))
-    return pairs.join(a, "shorter").join(b, "longer").where("n_longer > n_shorter")
+def monotonicity(counts: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """pairs(shorter, longer) whose longer query has more results than the shorter; counts(by, query_id, n)."""
+    a = counts.select(*by, F.col("query_id").alias("shorter"), F.col("n").alias("n_shorter"))
+    b = counts.select(*by, F.col("query_id").alias("longer"), F.col("n").alias("n_longer"))
+    return pairs.join(a, "shorter").join(b, [*by, "longer"]).where("n_longer > n_shorter")
 
 
-def collapse(counts: DataFrame, baseline: DataFrame, share: float = 0.5) -> DataFrame:
-    """Probes with fewer than share of their baseline's results."""
-    both = baseline.select("query_id", F.col("n").alias("before")).join(counts, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def collapse(counts: DataFrame, baseline: DataFrame, share: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Probes with fewer than share of their baseline's results; with by, counts has a row for each of its values and every probe."""
+    before = baseline.select("query_id", F.col("n").alias("before"))
+    both = before.join(counts, "query_id", "inner" if by else "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return both.where(F.col("n") < F.ceil(F.col("before") * share))
 
 
-def bloat(counts: DataFrame, baseline: DataFrame, share: float = 1.5) -> DataFrame:
-    """One row if the mean number of results is over share of the baseline's."""
-    a, b = counts.agg(F.avg("n").alias("after")), baseline.agg(F.avg("n").alias("before"))
+def bloat(counts: DataFrame, baseline: DataFrame, share: float = 1.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of by) if the mean number of results is over share of the baseline's."""
+    a, b = counts.groupBy(*by).agg(F.avg("n").alias("after")), baseline.agg(F.avg("n").alias("before"))
     return a.crossJoin(F.broadcast(b)).where((F.col("before") > 0) & (F.col("after") > share * F.col("before")))
 
 

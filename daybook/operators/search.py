@@ -120,8 +120,8 @@ def expand_fuzzy(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     reach = F.when(F.length("word") >= 6, 2).when(F.length("word") >= 3, 1).otherwise(0)
     known = _with_lengths(vocab.select("word").distinct(), asked)
     known = known.where(F.exists("lengths", lambda n: F.abs(n - F.length("word")) <= 2)).select("word", F.explode(_deletions("word", reach)).alias("key"))
-    asked = asked.select("term", "most", F.explode(_deletions("term", F.col("most"))).alias("key"))
-    met = known.join(asked, "key").where("word <> term and abs(length(word) - length(term)) <= most")
+    asked = settle(asked.select("term", "most", F.explode(_deletions("term", F.col("most"))).alias("key")))
+    met = known.join(fit(asked, 96), "key").where("word <> term and abs(length(word) - length(term)) <= most")
     met = met.select("term", "word", "most").distinct().where("levenshtein(word, term) <= 2 * most")  # a swap is two edits there
     met = met.withColumn("d", edit_distance(F.col("word"), F.col("term"))).where("d <= most")
     weight = F.when(F.col("d") == 1, 0.7).otherwise(0.55)
@@ -151,11 +151,15 @@ def expand(pairs: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
     """(setting, corpus, term, word, weight, literal, contribution, idf) of reached pairs: an edit route counts only without an
     exact or prefix one; a stem lifts the weight to the corpus's, where that is over 0."""
     p = settings(p)
+    return weighed(p.spread(pairs), p).select("setting", "corpus", "term", "word", "weight", "literal", "contribution", "idf")
+
+
+def weighed(pairs: DataFrame, p: Settings) -> DataFrame:
+    """pairs(setting, corpus, w, f, s, idf, ...) that count in their setting, with weight, literal and contribution instead of w, f, s."""
     stem = p.by_corpus("inflection_weight")
-    one = p.spread(pairs).withColumn("s", F.when((stem > 0) & F.col("s").isNotNull(), stem)).where("w is not null or f is not null or s is not null")
+    one = pairs.withColumn("s", F.when((stem > 0) & F.col("s").isNotNull(), stem)).where("w is not null or f is not null or s is not null")
     weight = F.greatest(F.coalesce("w", "f", F.lit(0.0)), F.coalesce("s", F.lit(0.0)))
-    literal = F.col("w").isNotNull() | F.col("s").isNotNull()
-    one = one.select("setting", "corpus", "term", "word", weight.alias("weight"), literal.alias("literal"), "idf")
+    one = one.withColumns({"weight": weight, "literal": F.col("w").isNotNull() | F.col("s").isNotNull()}).drop("w", "f", "s")
     return one.withColumn("contribution", F.col("weight") * F.pow("idf", p.of("rarity_exponent")))
 
 
@@ -260,6 +264,11 @@ def summarise(counts: DataFrame, live: DataFrame, denoms: DataFrame, limits: Dat
         F.sum(got * (1 + p.by_corpus("repeat_weight") * F.log2(times))).alias("base"), F.sum(got).alias("achieved"), F.count("*").alias("matched"),
         F.count_if(F.col("literal") & (F.col("ceiling") > 0)).alias("literal_terms"),
     )
+    return covered(field, limits)
+
+
+def covered(field: DataFrame, limits: DataFrame) -> DataFrame:
+    """field(setting, query_id, corpus, achieved, literal_terms, ...) with the limits, coverage and literal_share."""
     field = field.join(fit(limits, 160), ["setting", "query_id", "corpus"])
     share = F.when(F.col("live") > 1, F.col("literal_terms") / F.col("live")).otherwise(1.0)
     coverage = F.when(F.col("total") > 0, F.col("achieved") / F.col("total")).otherwise(0.0)
@@ -322,11 +331,20 @@ def runs(hit: DataFrame, terms: DataFrame) -> DataFrame:
 
 def score_fields(gated: DataFrame, sequence: DataFrame, lengths: DataFrame, stats: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
     """Adds strength (pivoted by field length) and the sequence multiplier (1 for descriptions)."""
-    p = settings(p)
-    b = p.by_corpus("length_normalization")
-    pivot = F.when((b == 0) | (F.col("avg_len") == 0), 1.0).otherwise(F.greatest(F.lit(0.01), 1 - b + b * F.col("len") / F.col("avg_len")))
     out = gated.join(lengths, ["doc", "corpus", "field"]).join(F.broadcast(stats.select("corpus", "avg_len")), "corpus")
-    out = out.withColumn("strength", F.col("base") / F.col("total") / pivot).join(sequence, FIELD, "left")
+    return strengths(out.join(sequence, FIELD, "left"), p)
+
+
+def length_pivot(p: Params | Settings = DEFAULT) -> Column:
+    """By how much a field of length len is divided where avg_len is the mean."""
+    b = settings(p).by_corpus("length_normalization")
+    return F.when((b == 0) | (F.col("avg_len") == 0), 1.0).otherwise(F.greatest(F.lit(0.01), 1 - b + b * F.col("len") / F.col("avg_len")))
+
+
+def strengths(rows: DataFrame, p: Params | Settings = DEFAULT) -> DataFrame:
+    """rows(base, total, len, avg_len, lcs, run, n_seq, ...) with strength and multiplier."""
+    p = settings(p)
+    out = rows.withColumn("strength", F.col("base") / F.col("total") / length_pivot(p))
     bonus = 1 + p.of("sequence_weight") * F.col("lcs") / F.col("n_seq") + p.of("run_weight") * F.pow(F.col("run") / F.col("n_seq"), F.lit(2))
     return out.withColumn("multiplier", F.coalesce(bonus, F.lit(1.0)))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import index as I
+from ..tables import forget_at_end, shared_dir
+
 START, END = "1985-11-18", "1995-12-31"
 SPAN = (1985, 1995)
 GAPS = [("1991-05-05", "1992-02-01"), ("1994-04-03", "1994-12-31")]
@@ -30,6 +35,13 @@ def strips(spark: SparkSession, d: str) -> DataFrame:
     return own.join(talk, "doc", "left").withColumn("id", F.lit(None).cast("string"))
 
 
+def stored(spark: SparkSession, d: str) -> I.Index:
+    """The index of the strips of d, built by the first search of an application and opened by its path by the others."""
+    path = f"{shared_dir(spark)}/daybook-index-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    forget_at_end(spark, path)
+    return I.stored(strips(spark, d), path)
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """query_id, query: the benchmark's texts, whole."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

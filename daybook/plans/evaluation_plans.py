@@ -11,10 +11,11 @@ from ..operators import corpus as C
 from ..operators import evaluate as E
 from ..operators import results as R
 from ..operators import search as S
-from ..params import DEFAULT, Settings
+from ..operators import tuning as T
+from ..params import DEFAULT
 from ..tables import settle
-from .bindings import ASKED_SQL, PRINTED_SQL, STEMS, STRIPS_SQL, VOCAB_SQL, asked, flat, printed, strips, table
-from .search_plans import QUERIES, RANKED, TERMS, found
+from .bindings import ASKED_SQL, PRINTED_SQL, STEMS, STRIPS_SQL, VOCAB_SQL, asked, flat, printed, stored, strips, table
+from .search_plans import QUERIES, RANKED, TERMS, found, once
 from .text_plans import vocab
 
 
@@ -116,43 +117,69 @@ def e01_search(spark, d):
     return flat(E.evaluate(found(spark, d), targets(spark, d)))
 
 
-def scorer(spark, d):
-    """Scores of many settings in one job: what no parameter touches (words, routes, counts) is written once."""
-    corpus, labels = S.build(strips(spark, d)), settle(targets(spark, d).where("class in ('A', 'B', 'C')"))
-    queries = labels.select("query_id", "query")
-    pairs = settle(S.reached(S.query_terms(queries), corpus.vocab))
-    counts = settle(C.word_counts(corpus.tokens).join(pairs.select("corpus", "word").distinct(), ["corpus", "word"], "left_semi"))
-    docs = corpus.strips.select("doc", "date", "id")
+def tuner(spark, d, size=None):
+    """A tuner on the labels of classes A, B and C (a stratified sample of size, if it is given) with its guards: the first half of a
+    query is a shorter query of its own, described queries (B) are probes, and queries without a target are hollow.
 
-    def score(trials):
-        p = Settings(tuple(trials))
-        out = S.fuse(S.scored_fields(corpus, S.stages(corpus, queries, p, pairs=pairs), p, counts), p).withColumn("score", F.round("score", 9))
-        ranked = R.ranked(out.join(docs, "doc"), ("setting", "query_id"))
-        got = {r["setting"]: r.asDict() for r in E.reciprocal_ranks(ranked, labels, len(trials)).collect()}
-        return [got[i] for i in range(len(trials))]
+    A pair that the shipped settings break already cannot guard anything and is left out, as are probes without a result."""
+    index = stored(spark, d)
+    every = targets(spark, d)
+    labels = every.where("date is not null and class in ('A', 'B', 'C')").withColumn("status", F.lit("validated"))
+    labels = settle(labels if size is None else E.subsample(labels, size, 20260810))
+    words = F.split(F.trim("query"), " +")
+    half = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.size(words) / 2).cast("int")), " ")
+    shorter = every.select((-1 - F.col("query_id")).alias("query_id"), half.alias("query"))
+    hollow = settle(every.where("date is null").select("query_id"))
+    asked_ = settle(labels.select("query_id", "query").unionByName(every.where("date is null").select("query_id", "query")).unionByName(shorter))
+    pairs_ = every.select((-1 - F.col("query_id")).alias("shorter"), F.col("query_id").alias("longer"))
+    probe = settle(labels.where("class = 'B'").select("query_id"))
+    tune = T.Tuner(index, asked_, labels)
+    ranked = tune.ranked([DEFAULT]).groupBy("query_id").agg(F.count("*").alias("n"))
+    counts_ = settle(asked_.select("query_id").join(ranked, "query_id", "left").na.fill(0, ["n"]))
+    holds = settle(pairs_.join(E.monotonicity(counts_, pairs_), ["shorter", "longer"], "left_anti"))
+    some = settle(probe.join(counts_.where("n > 0"), "query_id", "left_semi"))
+    tune.guards = T.Guards(holds, some, hollow)
+    return tune
 
-    return score
+
+#: Queries of a sweep.
+SWEPT = 250
+
+
+@once
+def swept(spark, d):
+    """(best settings, log rows) of the sweep of the whole grid in two passes, on a sample and under its guards."""
+    tune = tuner(spark, d, SWEPT)
+    best, _, log = E.sweep(tune, DEFAULT, allowed=tune.allowed)
+    return best, log
 
 
 def e15(spark, d):
-    """The whole grid in two passes: one job for all values of a knob."""
-    log = E.sweep(scorer(spark, d), DEFAULT)[2]
-    return flat(spark.createDataFrame(log, E.LOG))
+    return flat(spark.createDataFrame(swept(spark, d)[1], E.LOG))
+
 
+def e21(spark, d):
+    """The moves of the sweep, each undone on all labels."""
+    rows = E.confirm(DEFAULT, swept(spark, d)[0], tuner(spark, d))
+    return flat(spark.createDataFrame(rows, "knob string, before double, after double, kept boolean, at_edge boolean"))
 
-#: Knobs that act after the fields are scored.
+
+#: Knobs that act after the fields are scored, which SQL can follow.
 LAST = {k: E.GRID[k] for k in ("description_preference", "agreement_bonus")}
 
 
-def e16(spark, d):
-    """The moves from the shipped settings that the sweep's rule accepts, of the two knobs that join transcripts and descriptions."""
-    score = scorer(spark, d)
-    trials = [(k, DEFAULT.but(**{k: float(v)})) for k, (_, values) in LAST.items() for v in values if v != getattr(DEFAULT, k)]
-    base, *got = score([DEFAULT, *(p for _, p in trials)])
-    rows = [(1, k, float(getattr(p, k)), LAST[k][0], g[LAST[k][0]] - base[LAST[k][0]], g["combined"] - base["combined"], False) for (k, p), g in zip(trials, got, strict=True)]
-    table_ = spark.createDataFrame(rows, E.LOG)
-    ok = E.accepted(table_).select("knob", "value", F.lit(True).alias("accepted"))
-    return flat(table_.join(ok, ["knob", "value"], "left").select("knob", "value", "gain", "change", F.coalesce("accepted", F.lit(False)).alias("accepted")))
+def moves(grid):
+    """The moves from the shipped settings to every value of the grid's knobs, and whether the sweep's rule accepts them without guards."""
+
+    def plan(spark, d):
+        trials = [(k, DEFAULT.but(**{k: float(v)})) for k, (_, values) in grid.items() for v in values if v != getattr(DEFAULT, k)]
+        base, *got = tuner(spark, d)([DEFAULT, *(p for _, p in trials)])
+        rows = [(1, k, float(getattr(p, k)), grid[k][0], g[grid[k][0]] - base[grid[k][0]], g["combined"] - base["combined"], False) for (k, p), g in zip(trials, got, strict=True)]
+        table_ = spark.createDataFrame(rows, E.LOG)
+        ok = E.accepted(table_).select("knob", "value", F.lit(True).alias("accepted"))
+        return flat(table_.join(ok, ["knob", "value"], "left").select("knob", "value", "gain", "change", F.coalesce("accepted", F.lit(False)).alias("accepted")))
+
+    return plan
 
 
 def e17(spark, d):
@@ -184,7 +211,7 @@ def e20(spark, d):
 
 
 def e22(spark, d):
-    return flat(E.subsample(labelled(spark, d), 20, 7).groupBy("class").agg(F.count("*").alias("n")))
+    return flat(E.subsample(labelled(spark, d), 20, 7).select("query_id", "class"))
 
 
 def e23(spark, d):
@@ -270,12 +297,16 @@ PLANS = {
     "e13_label_problems": (e13, RES.rstrip() + ", ev AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') SELECT query_id, 'repeated_id' AS problem FROM lab WHERE query_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT query_id, 'no_target' FROM lab WHERE class <> 'D' AND date IS NULL UNION ALL SELECT query_id, 'unknown_target' FROM lab WHERE date IS NOT NULL AND date NOT IN (SELECT date FROM ev) UNION ALL SELECT query_id, 'decoy_is_target' FROM lab WHERE decoy = date UNION ALL SELECT query_id, 'no_reason' FROM lab WHERE status = 'ambiguous' AND reason IS NULL"),
     "e14_split": (e14, "WITH " + STRIPS_SQL + f", k AS (SELECT doc, CAST(date AS VARCHAR) AS key FROM strips) SELECT doc, CASE WHEN ({FNV}) % 1000 < 200 THEN 'test' ELSE 'train' END AS split FROM k"),
     "e15_sweep": (e15, None),
-    "e16_accept": (e16, MOVES),
+    "e16_accept": (moves(LAST), MOVES),
+    "e16_all_knobs": (moves(E.GRID), None),
+    "e21_confirmation": (e21, None),
     "e17_monotonicity": (e17, RES.rstrip() + ", c AS (SELECT collection AS q, count(*) AS n FROM p GROUP BY 1) SELECT a.q AS shorter, b.q AS longer, a.n AS n_shorter, b.n AS n_longer FROM c a JOIN c b ON b.q = a.q + 1 WHERE b.n > a.n"),
     "e18_collapse": (e18, f"WITH {PRINTED_SQL}, c AS (SELECT collection AS query_id, count(*) AS before, count(*) FILTER (flag = 'N') AS n FROM printed GROUP BY 1) SELECT * FROM c WHERE n < ceil(before * 0.5)"),
     "e19_bloat": (e19, f"WITH {PRINTED_SQL}, c AS (SELECT collection, count(*) AS n FROM printed GROUP BY 1), b AS (SELECT collection, count(*) AS n FROM printed WHERE flag = 'N' GROUP BY 1), m AS (SELECT (SELECT avg(n) FROM c) AS after, (SELECT avg(n) FROM b) AS before) SELECT round(after, 6) AS after, round(before, 6) AS before FROM m WHERE before > 0 AND after > 1.5 * before"),
     "e20_corrections": (e20, CORRECTED),
-    "e22_subsample": (e22, RES.rstrip() + " SELECT class, CAST(CASE WHEN (SELECT count(*) FROM lab) <= 20 THEN count(*) ELSE least(count(*), greatest(1, round(count(*) / (SELECT count(*) FROM lab) * 20))) END AS BIGINT) AS n FROM lab GROUP BY class"),
+    "e22_subsample": (e22, RES.rstrip() + """, z AS (SELECT query_id, class, count(*) OVER () AS every, count(*) OVER (PARTITION BY class) AS own,
+  row_number() OVER (PARTITION BY class ORDER BY md5('7:' || query_id), query_id) AS r FROM lab)
+SELECT query_id, class FROM z WHERE r <= CASE WHEN every <= 20 THEN own ELSE greatest(1, round(own / every * 20)) END"""),
     "e23_sample": (e23, "SELECT doc_id AS doc FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50"),
     "e24_selection": (e24, RES.rstrip() + f", k AS (SELECT *, CAST(query_id AS VARCHAR) AS key FROM lab) SELECT class, count(*) AS n FROM k WHERE class IN ('A', 'B', 'C') AND status = 'validated' AND ({FNV}) % 1000 >= 200 GROUP BY class"),
     "e25_golden": (e25, "WITH " + STRIPS_SQL + ", q AS (SELECT item_id, text AS query FROM benchmark) SELECT 'A-' || md5(query) AS query_id, query, CAST(date AS VARCHAR) AS date, 'A' AS class FROM q JOIN strips ON doc = item_id"),

@@ -6,20 +6,48 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import corpus as C
+from ..operators import index as I
 from ..operators import results as R
 from ..operators import search as S
 from ..params import DEFAULT, params_table
-from .bindings import ASKED_SQL, RARE_SQL, STEMS, VOCAB_SQL, asked, flat, rare, strips, table
+from .bindings import ASKED_SQL, RARE_SQL, STEMS, VOCAB_SQL, asked, flat, rare, stored, table
 from .text_plans import rows, vocab
 
 KEY = ["query_id", "corpus", "doc", "field"]
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(make):
+    """make(spark, d), whose written tables last as long as the application: made by the first query that asks for them."""
+
+    def get(spark, d):
+        key = make.__name__, spark.sparkContext.applicationId, d
+        if key not in _MADE:
+            _MADE[key] = make(spark, d)
+        return _MADE[key]
+
+    return get
+
+
+@once
 def prepared(spark, d):
-    corpus = S.build(strips(spark, d))
+    corpus = stored(spark, d)
     return corpus, S.stages(corpus, asked(spark, d))
 
 
+@once
+def questions(spark, d):
+    """(the index, the written tables of the queries on it)."""
+    index = stored(spark, d)
+    return index, I.ask(index, asked(spark, d))
+
+
+def asks(name, *columns):
+    return lambda spark, d: flat(getattr(questions(spark, d)[1], name).select(*columns))
+
+
 def q01(spark, d):
     return flat(S.query_terms(asked(spark, d)).select("query_id", "seq", "term", "term_no"))
 
@@ -42,13 +70,11 @@ def stage(name, *columns):
 
 
 def q07(spark, d):
-    return flat(prepared(spark, d)[1].anchor.where("not suppressed").select("corpus", "term", "ceiling"))
+    return flat(questions(spark, d)[1].anchor.where("not suppressed").select("corpus", "term", "ceiling"))
 
 
 def q12(spark, d):
-    corpus, s = prepared(spark, d)
-    h = S.hits(corpus.tokens, s.live, s.terms)
-    return flat(h.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("term_no").alias("terms")))
+    return flat(I.hit_sums(*questions(spark, d)).drop("setting"))
 
 
 def summary(spark, d):
@@ -56,9 +82,10 @@ def summary(spark, d):
     return S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits)
 
 
-def passing(corpus, s):
-    """Fields that pass the gate; only those with a head term are summed."""
-    return S.gate(S.summarise(C.word_counts(corpus.tokens), s.live, s.denoms, s.limits, head=s.heads))
+def passing(index, a):
+    """Fields that pass the gate; only those that can reach the required coverage are looked at."""
+    found = S.settle(I.candidates(index, a))
+    return I.passed(I.measured(index, found, a, lines=False), a.limits)
 
 
 def measure(*columns):
@@ -66,13 +93,13 @@ def measure(*columns):
 
 
 def gated(name):
-    return lambda spark, d: flat(passing(*prepared(spark, d)).where(F.col("corpus") == name).select("query_id", "doc", "field"))
+    return lambda spark, d: flat(passing(*questions(spark, d)).where(F.col("corpus") == name).select("query_id", "doc", "field"))
 
 
 def gated_hits(spark, d, name):
     """(the corpus, the stages, the hits in gated fields of one corpus)."""
     corpus, s = prepared(spark, d)
-    ok = S.settle(passing(corpus, s).where(F.col("corpus") == name))
+    ok = S.settle(passing(*questions(spark, d)).where(F.col("corpus") == name))
     return corpus, s, S.hits(corpus.tokens.where(F.col("corpus") == name), s.live, s.terms, ok)
 
 
@@ -87,8 +114,7 @@ def q18(spark, d):
 
 
 def scored(spark, d):
-    corpus, s = prepared(spark, d)
-    return S.scored_fields(corpus, s)
+    return S.settle(I.scored_fields(*questions(spark, d)))
 
 
 def q19(spark, d):
@@ -96,10 +122,10 @@ def q19(spark, d):
 
 
 def q20(spark, d):
-    tokens = S.build(strips(spark, d)).tokens
-    b = DEFAULT.description_length_normalization
-    pivot = F.greatest(F.lit(0.01), 1 - b + b * F.col("len") / F.col("avg_len"))
-    return flat(C.field_lengths(tokens).join(C.corpus_stats(tokens), "corpus").select("doc", "corpus", "field", pivot.alias("pivot")))
+    """Both corpora at the descriptions' normalization."""
+    index = stored(spark, d)
+    pivot = S.length_pivot(DEFAULT.but(transcript_length_normalization=DEFAULT.description_length_normalization))
+    return flat(C.field_lengths(index.tokens).join(index.stats, "corpus").select("doc", "corpus", "field", pivot.alias("pivot")))
 
 
 def q21(spark, d):
@@ -131,9 +157,9 @@ def q27(spark, d):
 
 def found(spark, d, p=DEFAULT):
     """Ranked results; scores are rounded, so that equal texts tie whatever the order of their sums."""
-    corpus = S.build(strips(spark, d))
-    out = S.text_search(corpus, asked(spark, d), p).withColumn("score", F.round("score", 9))
-    return R.ranked(out.join(corpus.strips.select("doc", "date", "id"), "doc"))
+    index = stored(spark, d)
+    out = I.text_search(index, asked(spark, d), p).withColumn("score", F.round("score", 9))
+    return R.ranked(out.join(index.strips, "doc"))
 
 
 def q28(spark, d):
@@ -141,7 +167,10 @@ def q28(spark, d):
 
 
 def q29(spark, d):
-    return flat(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "  ").otherwise("the").alias("query")).where(F.trim("query") != "").select("query_id"))
+    """Results of every query and of a blank one with the negative of its number beside it: blank ones have none."""
+    own = asked(spark, d)
+    blank = own.select((-1 - F.col("query_id")).alias("query_id"), F.lit(" \t ").alias("query"))
+    return flat(I.text_search(stored(spark, d), own.unionByName(blank)).groupBy("query_id").agg(F.count("*").alias("n")))
 
 
 def q30(spark, d):
@@ -149,17 +178,17 @@ def q30(spark, d):
     from ..params import Settings
 
     knobs = Settings((DEFAULT, DEFAULT.but(description_coverage_floor=0.5)))
-    corpus = S.build(strips(spark, d))
-    limits = S.stages(corpus, asked(spark, d), knobs).limits
+    index, a = questions(spark, d)
+    limits = I.ask(index, asked(spark, d), knobs, known=a).limits
     names = params_table(spark, [("base", knobs.rows[0]), ("tight", knobs.rows[1])]).select("label", F.when(F.col("label") == "base", 0).otherwise(1).alias("setting"))
     return flat(limits.join(names, "setting").select("label", "query_id", "corpus", "required"))
 
 
 def flagship(spark, d):
     """Coverage-ranked documents for every query, the first ten of each."""
-    corpus, made = prepared(spark, d)
-    s = passing(corpus, made).where("corpus = 'transcript'").groupBy("query_id", "doc").agg(F.max(F.round("coverage", 9)).alias("score"))
-    return flat(R.top_k(s.join(corpus.strips.select("doc", "date", F.col("doc").cast("string").alias("id")), "doc"), 10).select("query_id", "doc", "date", "score", "position", "total"))
+    index, a = questions(spark, d)
+    s = passing(index, a).where("corpus = 'transcript'").groupBy("query_id", "doc").agg(F.max(F.round("coverage", 9)).alias("score"))
+    return flat(R.top_k(s.join(index.strips.select("doc", "date", F.col("doc").cast("string").alias("id")), "doc"), 10).select("query_id", "doc", "date", "score", "position", "total"))
 
 
 def scores(spark, d):
@@ -237,6 +266,12 @@ thr AS (SELECT query_id, corpus, sum(ceiling) AS total, count(*) FILTER (ceiling
 req AS (SELECT *, CASE WHEN effective = 0 THEN 0 WHEN corpus = 'transcript' THEN 0.4 + 0.6 / effective ELSE 0.05 + 0.95 / effective END AS required FROM thr),
 live AS (SELECT ex.* FROM ex JOIN anchor USING (corpus, term) WHERE NOT suppressed),
 """
+#: Stems of the vocabulary and the terms, made once, and nothing else of a search.
+KIN = "WITH " + VOCAB_SQL + "," + ASKED_SQL + f""",
+terms AS MATERIALIZED (SELECT DISTINCT unnest(ws) AS term FROM asked),
+known AS MATERIALIZED (SELECT word FROM vocab WHERE corpus = 'description'),
+forms AS MATERIALIZED (SELECT word AS w FROM known UNION SELECT term FROM terms),{STEMS.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")}
+SELECT 'description' AS corpus, term, word, 0.7::DOUBLE AS weight FROM terms JOIN stems a ON a.w = term JOIN stems b ON b.stem = a.stem JOIN known ON word = b.w"""
 QUERIES_ONLY = QUERIES.rstrip().rstrip(",") + " "
 TERMS = QUERIES + """wc AS (SELECT doc, corpus, field, word, count(*) AS n FROM posts GROUP BY ALL),
 pt AS (SELECT doc, corpus, field, term, sum(n) AS n, max(contribution) AS best, bool_or(literal) AS literal FROM wc JOIN live USING (corpus, word) GROUP BY ALL),
@@ -297,14 +332,14 @@ SELECT query_id, doc, CAST(date AS VARCHAR) AS date, round(score, 6) AS score, p
     "q01_query_terms": (q01, QUERIES_ONLY + "SELECT query_id, seq, term, term_no FROM tk JOIN qt USING (query_id, term)"),
     "q02_prefix_expansion": (q02, QUERIES_ONLY + "SELECT * FROM pre"),
     "q03_fuzzy_join": (q03, QUERIES_ONLY + "SELECT * FROM fuzzy"),
-    "q04_inflection_expansion": (q04, QUERIES_ONLY + "SELECT * FROM kin"),
+    "q04_inflection_expansion": (q04, KIN),
     "q05_merged_expansion": (stage("expansion", "corpus", "term", "word", "weight", "literal"), QUERIES_ONLY + "SELECT * FROM exp"),
     "q06_contribution": (stage("expansion", "corpus", "term", "word", "contribution"), QUERIES_ONLY + "SELECT corpus, term, word, round(contribution, 6) AS contribution FROM ex"),
     "q07_term_anchors": (q07, QUERIES_ONLY + "SELECT corpus, term, round(ceiling, 6) AS ceiling FROM anchor WHERE NOT suppressed"),
-    "q08_suppression": (stage("anchor", "corpus", "term", "suppressed"), QUERIES_ONLY + "SELECT corpus, term, suppressed FROM anchor"),
-    "q09_denominators": (stage("denoms", "query_id", "corpus", "term", "ceiling"), QUERIES_ONLY + "SELECT query_id, corpus, term, round(ceiling, 6) AS ceiling FROM den"),
-    "q10_effective_terms": (stage("limits", "query_id", "corpus", "effective"), QUERIES_ONLY + "SELECT query_id, corpus, round(effective, 6) AS effective FROM thr"),
-    "q11_required_coverage": (stage("limits", "query_id", "corpus", "required"), QUERIES_ONLY + "SELECT query_id, corpus, round(required, 6) AS required FROM req"),
+    "q08_suppression": (asks("anchor", "corpus", "term", "suppressed"), QUERIES_ONLY + "SELECT corpus, term, suppressed FROM anchor"),
+    "q09_denominators": (asks("denoms", "query_id", "corpus", "term", "ceiling"), QUERIES_ONLY + "SELECT query_id, corpus, term, round(ceiling, 6) AS ceiling FROM den"),
+    "q10_effective_terms": (asks("limits", "query_id", "corpus", "effective"), QUERIES_ONLY + "SELECT query_id, corpus, round(effective, 6) AS effective FROM thr"),
+    "q11_required_coverage": (asks("limits", "query_id", "corpus", "required"), QUERIES_ONLY + "SELECT query_id, corpus, round(required, 6) AS required FROM req"),
     "q12_hits": (q12, QUERIES + f"ph AS (SELECT p.corpus, p.doc, p.field, p.pos, e.term FROM posts p JOIN live e ON e.corpus = p.corpus AND e.word = p.word), pn AS (SELECT corpus, doc, field, term, count(*) AS n, sum(pos) AS positions FROM ph GROUP BY ALL) SELECT {F4}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(positions) AS BIGINT) AS positions, CAST(sum(n * term_no) AS BIGINT) AS terms FROM pn JOIN qt USING (term) GROUP BY {F4}"),
     "q13_coverage": (measure("achieved", "coverage", "matched"), TERMS + f"SELECT {F4}, round(achieved, 6) AS achieved, round(coverage, 6) AS coverage, matched FROM su"),
     "q14_repetition": (measure("base"), TERMS + f"SELECT {F4}, round(base, 6) AS base FROM su"),
@@ -329,7 +364,7 @@ SELECT query_id, corpus, doc, field, string_agg((fin - n) || '-' || fin, ',' ORD
 c AS (SELECT query_id, doc, corpus, field, CAST((length(text) - length(replace(lower(text), q, ''))) / length(q) AS DOUBLE) AS score FROM fields, m WHERE contains(lower(text), q))
 SELECT CAST(query_id AS BIGINT) AS query_id, doc, score, corpus AS source, field FROM c QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY corpus DESC, score DESC, field DESC) = 1"""),
     "q28_ranked_search": (q28, RANKED + "SELECT query_id, doc, CAST(date AS VARCHAR) AS date, round(score, 6) AS score, source, position FROM ranked"),
-    "q29_empty_query": (q29, "SELECT item_id AS query_id FROM benchmark WHERE item_id % 2 <> 0"),
+    "q29_empty_query": (q29, RANKED + "SELECT query_id, count(*) AS n FROM ranked GROUP BY query_id"),
     "q30_parameters": (q30, QUERIES_ONLY + "SELECT label, query_id, corpus, round(CASE WHEN effective = 0 THEN 0 WHEN corpus = 'transcript' THEN 0.4 + 0.6 / effective ELSE f + (1 - f) / effective END, 6) AS required FROM thr, (VALUES ('base', 0.05::DOUBLE), ('tight', 0.5::DOUBLE)) k(label, f)"),
     "o01_rank_order": (lambda s, d: flat(R.ranked(scores(s, d)).select("query_id", "date", "position")), SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date) AS position FROM w"),
     "o02_date_order": (lambda s, d: flat(R.order_by_date(scores(s, d)).select("query_id", "date")), SCORES + " SELECT query_id, CAST(date AS VARCHAR) AS date FROM w ORDER BY date"),

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: While a table is written: few rows in a batch between JVM and Python, as texts can be long, and shuffle files go when the write is over.
@@ -21,7 +21,7 @@ BROADCAST_BYTES = 8 << 20
 
 
 @contextmanager
-def settings(spark: SparkSession, pairs: dict[str, str]) -> Iterator[None]:
+def changed(spark: SparkSession, pairs: dict[str, str]) -> Iterator[None]:
     """The session's settings changed for a moment, and put back."""
     before = {k: spark.conf.get(k, None) for k in pairs}
     for k, v in pairs.items():
@@ -52,10 +52,9 @@ def settle(df: DataFrame) -> DataFrame:
     application, or earlier by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/daybook-{uuid.uuid4().hex}"
-    with settings(spark, WRITING):
+    with changed(spark, WRITING):
         df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +68,31 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """path is deleted when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with no: the number, from 0, of each row in that order.  Rows are ranged, sorted within their ranges and numbered there; only
+    the sizes of the ranges, one row each, meet in one task."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = settle(rows)
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", part).join(fit(sizes), "_part")
+    return out.withColumn("no", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
 def fit(df: DataFrame, bytes_per_row: int = ROW_BYTES, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay below limit bytes as a hash relation, else as it is (Spark shuffles)."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
+    """df with a broadcast hint if its counted rows stay below limit bytes as a hash relation; else with a hint for a merge join, so
+    that Spark does not broadcast it for being small as a file."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df.hint("merge")
