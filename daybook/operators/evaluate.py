@@ -92,15 +92,16 @@ def recite(pairs: DataFrame) -> DataFrame:
     """Adds run, overlap, length and share to pairs(query, text): how much of the query the text says word for word."""
 
     def measures(x):
-        q, t, joined = x["q"], x["t"], x["j"]
-        n = F.size(q)
-        said = lambda a, b: F.contains(joined, F.array_join(F.slice(q, a, b - a + 1), " "))
-        spans = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda a: F.array_max(F.transform(F.sequence(a, F.greatest(n, F.lit(1))), lambda b: F.when(said(a, b), b - a + 1).otherwise(0))))
+        q, joined, n = x["q"], x["j"], F.size(x["q"])
+        said = lambda best, end: F.contains(joined, F.array_join(F.slice(q, end - best, best + 1), " "))
+        # the run that ends here can be one word longer than the best so far, not more: its first words were a run one step ago
+        longest = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda best, end: F.when(said(best, end), best + 1).otherwise(best))
+        common = lambda both: F.size(F.filter(q, lambda w: F.array_contains(both, w)))
         return F.struct(
-            F.when(n > 0, F.array_max(spans)).otherwise(0).alias("run"),
-            F.when(n > 0, F.size(F.filter(q, lambda w: F.array_contains(t, w))) / n).alias("overlap"),
+            F.when(n > 0, longest).otherwise(0).alias("run"),
+            F.when(n > 0, let(F.array_intersect(q, x["t"]), common) / n).alias("overlap"),
             n.alias("length"),
-            (n / F.greatest(F.lit(1), F.size(t))).alias("share"),
+            (n / F.greatest(F.lit(1), F.size(x["t"]))).alias("share"),
         )
 
     both = let(words(F.col("text")), lambda t: F.struct(words(F.col("query")).alias("q"), t.alias("t"), F.array_join(t, " ").alias("j")))

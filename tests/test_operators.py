@@ -232,3 +232,21 @@ def test_written_tables_leave_the_session_as_it_was(spark):
     df = tables.settle(spark.range(5))
     assert {k: spark.conf.get(k, None) for k in tables.WRITING} == before and df.count() == 5
     tables.discard(df)
+
+
+def test_recitation_matches_every_span_tried(spark):
+    import re
+    import time
+
+    dice = random.Random(6)
+    some = lambda n: " ".join(dice.choice(["a", "ba", "ab", "cab", "d'e"]) for _ in range(n))
+    rows = [(i, some(dice.randrange(1, 12)), some(dice.randrange(0, 60))) for i in range(60)] + [(90, "--", "a b"), (91, "a a b", "")]
+    for r in E.recite(spark.createDataFrame(rows, "k int, query string, text string")).collect():
+        q, t = (re.findall("[a-z']+", x) for x in (r.query, r.text))
+        spans = [b - a for a in range(len(q)) for b in range(a + 1, len(q) + 1) if " ".join(q[a:b]) in " ".join(t)]
+        assert (r.run, r.length, r.share) == (max(spans, default=0), len(q), len(q) / max(1, len(t)))
+        assert r.overlap == (sum(w in t for w in q) / len(q) if q else None)
+    text = " ".join(f"w{i % 997}" for i in range(5000))
+    began = time.time()
+    row = E.recite(spark.createDataFrame([("x " + " ".join(text.split()[500:1500]) + " y", text)], "query string, text string")).first()
+    assert (row.run, row.length) == (1000, 1002) and time.time() - began < 20
