@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..sources import archive as A
+from ..tables import forget_at_end, shared_dir
 from .bindings import PRINTED_SQL, RARE_SQL, STRIPS_SQL, flat, printed, rare, strips, table
 
 
@@ -96,6 +99,37 @@ def s13(spark, d):
     return flat(A.export_descriptions(strips(spark, d), F.col("doc")).select("key", F.md5("text").alias("hash")))
 
 
+def place(spark):
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/daybook-archive-{uuid.uuid4().hex}"
+    forget_at_end(spark, path)
+    return path
+
+
+def s14(spark, d):
+    """The strips written as JSON and read back."""
+    path, own = place(spark), strips(spark, d).select("doc", "date", "transcript", "description")
+    A.write_archive(own, path, "json")
+    return flat(A.load_optional(spark, path, "doc long, date date, transcript string, description string", "json").select("doc", "date", F.md5("transcript").alias("hash"), F.md5("description").alias("told")))
+
+
+def s16(spark, d):
+    """A log of order counts by day, appended once for each order status, and read back."""
+    path, schema = place(spark), "status string, date date, n long"
+    orders = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"))
+    for status in ("F", "O", "P"):
+        A.append_log(orders.where(F.col("status") == status), path)
+    return flat(A.read_log(spark, path, schema))
+
+
+def s18(spark, d):
+    """Strips whose descriptions are missing as a whole, and the number of labels of a file that is there."""
+    none = A.load_optional(spark, f"{d}/no-descriptions.parquet", A.DESCRIPTIONS)
+    labels = A.load_optional(spark, f"{d}/labels.parquet", "doc_id long, quality int")
+    own = A.attach_descriptions(strips(spark, d), none, F.col("doc")).join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left")
+    return flat(own.select("doc", F.col("description").isNull().alias("bare"), "quality"))
+
+
 def s17(spark, d):
     out = A.by_date(strips(spark, d).select("date", "doc"), ["doc"])
     return flat(out.select("date", F.transform("strips", lambda x: x["doc"]).alias("docs")))
@@ -141,6 +175,9 @@ PLANS = {
     "s11_strip_volumes": (s11, """SELECT DISTINCT l_suppkey AS collection, 'complete' AS edition, '{"label":"label"}' AS kept FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "s12_collection_extras": (s12, f"WITH {RARE_SQL}, kept AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT collection FROM rare)) SELECT s_suppkey AS collection, CAST(0 AS BIGINT) AS pos, s_name AS text FROM kept UNION ALL SELECT s_suppkey, 1, 'note' FROM kept"),
     "s13_export_descriptions": (s13, f"WITH {STRIPS_SQL} SELECT CAST(doc AS VARCHAR) AS key, md5(description) AS hash FROM strips WHERE description <> ''"),
+    "s14_write_archive": (s14, f"WITH {STRIPS_SQL} SELECT doc, CAST(date AS VARCHAR) AS date, md5(transcript) AS hash, md5(nullif(description, '')) AS told FROM strips"),
+    "s16_append_log": (s16, "SELECT o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1, 2"),
+    "s18_load_optional": (s18, f"WITH {STRIPS_SQL} SELECT doc, true AS bare, CAST(quality AS BIGINT) AS quality FROM strips LEFT JOIN labels ON doc_id = doc"),
     "s17_by_date": (s17, f"WITH {STRIPS_SQL} SELECT CAST(date AS VARCHAR) AS date, array_to_string(list_sort(list(doc)), ',') AS docs FROM strips GROUP BY date"),
     "s19_attach_descriptions": (s19, f"WITH {STRIPS_SQL} SELECT doc, md5(nullif(description, '')) AS hash FROM strips"),
     "o04_union_results": (o04, "SELECT c_custkey AS key, c_name AS name, CAST(NULL AS BIGINT) AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,13 +123,28 @@ def attach_descriptions(strips: DataFrame, descriptions: DataFrame, key: Column)
 
 
 def write_archive(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("errorifexists").format(fmt).save(path)
+    """Write df under path, all of it or nothing: readers see the folder only when it is whole.  An existing one is an error."""
+    spark = df.sparkSession
+    target, staged = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    df.write.format(fmt).save(staged.toString())
+    if not files.rename(staged, target):
+        files.delete(staged, True)
+        raise FileExistsError(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Add the rows of df to the JSON lines under path; rows of a failed append are not there."""
     df.write.mode("append").json(path)
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows that were appended under path; none if there is no log yet."""
+    return load_optional(spark, path, schema, "json")
+
+
 def load_labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(labels, bad lines with their numbers and text); blank lines are skipped.
 
