@@ -173,15 +173,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without an id cannot be compared by it and stays.  Rows of one id with different texts are different
     documents, each with its own group; only rows of such ids are looked at again, and of equal ones one stays."""
-    groups = settle(near_copies(docs))
-    keep = groups.where("kept").select(F.col("id").alias("doc_id"), "fp").distinct()
+    groups = near_copies(docs)
     often = settle(groups.where("id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"))
+    gone = groups.where("id is not null and not kept").select(F.col("id").alias("doc_id")).union(often).distinct()
     named = docs.where("doc_id is not null")
-    if often.isEmpty():
-        named = named.join(keep, "doc_id", "left_semi")
-    else:
-        once = named.join(fit(often), "doc_id", "left_anti").join(keep, "doc_id", "left_semi")
+    out = named.join(fit(settle(gone)), "doc_id", "left_anti")
+    if not often.isEmpty():
+        keep = groups.where("kept").select(F.col("id").alias("doc_id"), "fp").distinct()
         rows = named.join(fit(often), "doc_id", "left_semi").select("doc_id", set_name("text").alias("fp"), F.struct(*named.columns).alias("row"))
         rows = rows.join(keep, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
-        named = once.unionByName(rows.select("row.*"))
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        out = out.unionByName(rows.select("row.*"))
+    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
