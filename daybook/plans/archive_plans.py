@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..sources import archive as A
-from ..tables import forget_at_end, shared_dir
-from .bindings import PRINTED_SQL, RARE_SQL, STRIPS_SQL, flat, printed, rare, strips, table
+from ..tables import dealt, forget_at_end, shared_dir
+from .bindings import PRINTED_SQL, RARE_SQL, STRIPS_SQL, flat, printed, printed_rows, rare, strips, table
 
 
 def s01(spark, d):
@@ -42,7 +42,8 @@ def apps(spark, d):
 
 
 def s05(spark, d):
-    out = A.attach_appearances(table(spark, d, "orders").select(F.col("o_orderkey").alias("key")), apps(spark, d), "key")
+    orders = dealt(table(spark, d, "orders").select(F.col("o_orderkey").alias("key")), printed_rows(spark, d), "key")
+    out = A.attach_appearances(orders, apps(spark, d), "key")
     return flat(out.select("key", F.transform("appearances", lambda a: F.concat_ws(":", a["collection"], F.array_join(a["pages"].cast("array<string>"), "+"))).alias("appearances")))
 
 
@@ -62,7 +63,7 @@ def s07(spark, d):
 
 
 def ranges(spark, d):
-    return A.date_ranges(printed(spark, d).select("collection", "date"))
+    return A.date_ranges(dealt(printed(spark, d).select("collection", "date"), printed_rows(spark, d), "collection"))
 
 
 def s08(spark, d):

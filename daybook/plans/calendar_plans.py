@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import calendars as K
 from ..sources import archive as A
 from ..streaming import toggles
+from ..tables import dealt
 from .archive_plans import apps, books
-from .bindings import CALENDAR_SQL, END, GAPS, PRINTED_SQL, RARE_SQL, START, STRIPS_SQL, flat, printed, rare, strips, table
+from .bindings import CALENDAR_SQL, END, GAPS, PRINTED_SQL, RARE_SQL, START, STRIPS_SQL, flat, printed, printed_rows, rare, strips, table
 
 
 def days(spark):
@@ -24,7 +25,7 @@ def c02(spark, d):
 
 
 def c03(spark, d):
-    r = A.date_ranges(printed(spark, d).select("collection", "date"))
+    r = A.date_ranges(dealt(printed(spark, d).select("collection", "date"), printed_rows(spark, d), "collection"))
     sundays = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("collection"))
     return flat(K.in_collection(order_days(spark), r, sundays))
 

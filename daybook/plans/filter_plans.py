@@ -8,7 +8,8 @@ from ..functions import dates as D
 from ..operators import calendars as K
 from ..operators import evaluate as E
 from ..operators import filters as L
-from .bindings import CALENDAR_SQL, END, GAPS, START, STRIPS_SQL, flat, printed, strips, table
+from ..tables import dealt
+from .bindings import CALENDAR_SQL, END, GAPS, START, STRIPS_SQL, flat, printed, printed_rows, strips, table
 
 SPAN_ORDERS = (1995, 2001)
 
@@ -62,6 +63,7 @@ def f13(spark, d):
 
 def f14(spark, d):
     one = printed(spark, d).groupBy("key", "collection").agg((F.count("*") * 1.0).alias("n"), F.first("date").alias("date"))
+    one = dealt(one, printed_rows(spark, d), "collection")
     share = one.withColumn("share", F.col("n") / F.sum("n").over(L.Window.partitionBy("collection")))
     return flat(L.apply_filters(share.withColumn("transcript", F.lit("t")), L.Spec(months=(2,))).select("key", "collection", "share"))
 
@@ -161,7 +163,8 @@ def d08(spark, d):
 def d09(spark, d):
     one = printed(spark, d).groupBy(F.col("collection").alias("query_id"), F.col("key").alias("doc")).agg((F.count("*") / 10).alias("score"), F.first("date").alias("date")).withColumn("source", F.lit("transcript"))
     strong = one.where(F.month("date") == 2).select((F.col("query_id") % 7 + 1).alias("query_id"), "doc").distinct().withColumn("strength", F.lit(1.5))
-    return flat(L.with_date_matches(one.select("query_id", "doc", "score", "source"), strong))
+    own = lambda df: dealt(df, printed_rows(spark, d), "query_id", "doc")
+    return flat(L.with_date_matches(own(one.select("query_id", "doc", "score", "source")), own(strong)))
 
 
 def d10(spark, d):

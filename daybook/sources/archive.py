@@ -71,7 +71,8 @@ def attach_appearances(df: DataFrame, appearances: DataFrame, key: str) -> DataF
     """Appearances as an array of structs, null where there are none."""
     row = F.struct("collection", "edition", "volume", "pages")
     own = appearances.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_list(row)).alias("appearances"))
-    return df.join(own, df[key].cast("string") == own["_key"], "left").drop("_key")
+    same = df[key] if df.schema[key].dataType == own.schema["_key"].dataType else df[key].cast("string")  # a key that is not cast stays dealt as it is
+    return df.join(own, same == own["_key"], "left").drop("_key")
 
 
 def date_ranges(dates: DataFrame, by: str = "collection") -> DataFrame:
