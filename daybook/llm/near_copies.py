@@ -1,4 +1,5 @@
-"""Near copies by the exact Jaccard similarity of word shingles: MinHash bands find candidates, every link is checked."""
+"""Near copies by the exact Jaccard similarity of word shingles: SimHash fingerprints by their pigeonhole blocks propose links, MinHash
+bands those of texts whose fingerprints lie further apart, and every link is checked."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, fit, settle, words_of
 from .components import components
+from .pigeonhole import links as blocks, majority
 
 SHINGLE = 5
 #: Two texts are linked where their shingle sets have a Jaccard similarity of 4 / 5 or more.
@@ -60,7 +62,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, n, keys): a 128-bit name of the shingle set, its size and its band keys, for every row."""
+    """(id, fp, n, keys, sim): a 128-bit name of the shingle set, its size, its band keys and its SimHash fingerprint, for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,11 +74,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "n": [len(s) for s in sets],
                     "keys": [bands(s) for s in sets],
+                    "sim": np.array([majority(s) for s in sets], np.uint64).view(np.int64),
                 }
             )
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(
-        scan, f"id {kind}, fp binary, n long, keys array<long>"
+        scan, f"id {kind}, fp binary, n long, keys array<long>, sim long"
     )
 
 
@@ -105,12 +108,22 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes(node, n, sim) whose fingerprints differ by four bits or fewer; equal fingerprints are one before the blocks."""
+    own = nodes.where("n > 0").select("node", "sim")
+    firsts = settle(own.groupBy("sim").agg(F.min("node").alias("b"), F.count("*").alias("c")))
+    same = own.join(firsts.where("c > 1").drop("c"), "sim").where("node != b").select(F.col("node").alias("a"), "b")
+    out = settle(same.unionByName(blocks(firsts.select(F.col("sim").alias("fp"), F.col("b").alias("node")))))
+    discard(firsts)
+    return out
+
+
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, cap: int = CAP) -> DataFrame:
-    """Edges (a, b) that join the nodes(node, id, fp, n, keys) whose texts have the least similarity.
+    """Edges (a, b) that join the nodes(node, id, fp, n, keys, sim) whose texts have the least similarity.
 
     A node's text is that of a row of docs with its id whose shingle set has the name fp: rows of one id may differ.
 
-    The stars of the bands give clusters of candidates; each text goes once to its cluster, where all its pairs are
+    The links that fingerprints propose and the stars of the bands give clusters of candidates; each text goes once to its cluster, where all its pairs are
     compared.  A cluster over the caps is cut into chunks that each link their own texts; then the first text of each
     group found so far asks all chunks of its cluster, and last every text outside the cluster's largest group does.
     Of two texts in different groups one is outside the largest, so no pair is lost, and a dense cluster ships each of
@@ -118,7 +131,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, cap: in
     """
     rows = nodes.select("node", F.explode("keys").alias("key"))
     roots = settle(rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    clusters = settle(components(rows.join(roots, "key").select(F.col("node").alias("a"), "b").where("a != b")))
+    near = proposed(nodes)
+    stars = rows.join(roots, "key").select(F.col("node").alias("a"), "b").where("a != b")
+    clusters = settle(components(stars.unionByName(near)))
     sizes = nodes.join(clusters, "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     k = F.ceil(F.greatest(F.col("c") / cap, F.col("n") / CAP_SHINGLES)).cast("int")
     hot = settle(sizes.select("component", k.alias("k")).where("k > 1"))
@@ -142,7 +157,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, cap: in
         before, found = found, settle(found.unionByName(_asked(texts, named, asks)))
         for done in (before, groups, named):
             discard(done)
-    for done in (roots, clusters, hot, dealt):
+    for done in (roots, near, clusters, hot, dealt):
         discard(done)
     return found
 
@@ -229,7 +244,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the shingle set.  Null ids take the component of their node (null if no row of it has an id) and are never kept.
     The result is a written table; what it was made from is deleted."""
     made = settle(sketches(docs, id_col, text_col))
-    nodes = made.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = made.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sim").alias("sim"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()))
     edges = links(docs, nodes, id_col, text_col, cap)
     groups = components(edges)

@@ -84,3 +84,22 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (0, near + " end"), (2, alone), (2, None), (None, a)], key=str)
     got = {(r.id, r.component, r.kept) for r in near_copies.near_copies(docs).collect()}
     assert {(1, 1, True), (6, 1, False), (2, 0, False), (0, 0, True), (2, 2, True), (None, 1, False)} == got
+
+
+def test_fingerprints_propose_links_and_the_check_decides(spark, monkeypatch):
+    """Without a band, pairs within four bits are still found by their blocks, and one that is not similar enough is not linked."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words + ["end"]), 3: " ".join(f"v{i}" for i in range(50))}
+    own = {d: near_copies.shingles(t) for d, t in texts.items()}
+    sims = {d: near_copies.majority(s) for d, s in own.items()}
+    assert (sims[1] ^ sims[2]).bit_count() <= 4 < (sims[1] ^ sims[3]).bit_count()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.sim for r in near_copies.sketches(docs).collect()} == {d: int(np.uint64(s).view(np.int64)) for d, s in sims.items()}
+    nodes = near_copies.sketches(docs).withColumn("node", F.col("id")).withColumn("keys", F.array().cast("array<long>"))
+    assert {tuple(r) for r in near_copies.links(docs, nodes, "doc_id", "text").collect()} == {(2, 1)}
+    nodes = nodes.withColumn("sim", F.lit(5).cast("long"))  # equal fingerprints of texts that are not similar
+    assert len(near_copies.proposed(nodes).collect()) == 2
+    assert {tuple(r) for r in near_copies.links(docs, nodes, "doc_id", "text").collect()} == {(2, 1)}
