@@ -21,7 +21,7 @@ def tokens(spark, d):
 
 
 def vocab(spark, d):
-    return C.vocabulary(tokens(spark, d))
+    return C.vocabulary_of(strips(spark, d))
 
 
 def t01(spark, d):
@@ -37,7 +37,7 @@ def t03(spark, d):
 
 
 def t05(spark, d):
-    return flat(C.document_counts(tokens(spark, d)))
+    return flat(C.document_counts(rows(spark, d)))
 
 
 def t06(spark, d):
