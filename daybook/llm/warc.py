@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Fixed names (RFC 9110, RFC 9111): fields of a 304 response that never replace those of the stored response.
 KEPT_FIELDS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -64,7 +66,8 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     As-of join in two steps: inside a slice of time a window finds the last response; for revisits without
     one, the last response of earlier slices, where each slice is one row.  So a URL with any share of
     the records is spread over its slices.  Of responses at one instant the largest record_id counts.  Rows
-    without URL or date are unresolved; repeated rows repeat; other columns are ignored.
+    without URL or date are unresolved; repeated rows repeat; other columns are ignored.  Headers are parsed once,
+    into a written table that the steps read.
     """
     full = (F.col("warc_type") == "response") & (F.col("http_status") == 200)
     row = records.select(
@@ -77,7 +80,7 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
         F.col("payload_digest").alias("digest"),
     ).where("full or asks")
     slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (slice_seconds * 1_000_000)).cast("long")
-    row = row.withColumn("slot", slot)
+    row = settle(row.withColumn("slot", slot))
     known = "canonical_url is not null and at is not null"
     stored = F.when(F.col("full"), F.struct("record_id", "h", "digest"))
     inside = Window.partitionBy("canonical_url", "slot").orderBy("at", F.col("full").cast("int"), "record_id")

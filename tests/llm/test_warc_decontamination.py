@@ -141,3 +141,10 @@ def test_spans_where_letters_grow_in_lower_case():
     for before in ("İ" * 10 + " ", "aİb " * 5, "", "ẞ İ, "):
         (_, _, edits, _, start, end), = dc.matches(index, [before + item.upper() + " end"])
         assert (edits, start, end) == (0, len(before), len(before) + len(item))
+
+
+def test_headers_are_parsed_once(spark, sf):
+    """What follows the written records parses no header block and no URL again."""
+    out = warc.resolve_revisits(warc.records(spark.read.parquet(f"{sf}/pages.parquet")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "regexp_extract" not in plan and out.count() > 0
